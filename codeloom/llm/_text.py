@@ -63,10 +63,13 @@ class _Powers:
         self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self) -> tuple:
+        return _Powers, (np.uint64(self.base),)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, PIECE + 4096)
-            self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (np.uint64(self.base), np.uint64(self.inverse)))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (np.uint64(self.base), np.uint64(self.inverse)))
         return self.up[:n], self.down[:n]
 
 

@@ -17,6 +17,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op4_quality_classifier": op4_quality_classifier, "op6_quality_rules": op6_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
