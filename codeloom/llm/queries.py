@@ -17,6 +17,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.quality import classify
 
@@ -29,6 +35,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op4_quality_classifier": op4_quality_classifier, "op6_quality_rules": op6_quality_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_classifier": op4_quality_classifier, "op6_quality_rules": op6_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
