@@ -35,6 +35,56 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_classifier": op4_quality_classifier, "op6_quality_rules": op6_quality_rules}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.chat import digest, format_chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digest(format_chat(rows.unionByName(extra)))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_chat_format": op5_chat_format,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
