@@ -101,7 +101,7 @@ def _cut(docs: DataFrame, t: int) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == text else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names)
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add("n_removed", LongType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("n_removed", LongType()))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:

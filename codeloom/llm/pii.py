@@ -73,10 +73,11 @@ def matches(text: Column, pattern: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Array of (start, rank, kind, end, value) by start, then kind as listed."""
-    parts = []
-    for rank, kind in enumerate(KINDS):
-        good = F.filter(matches(text, PATTERNS[kind]), lambda m, kind=kind: valid(kind, m["value"]))
-        parts.append(F.transform(good, lambda m, kind=kind, rank=rank: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value"))))
+    def of_kind(rank: int, kind: str) -> Column:
+        good = F.filter(matches(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+
+    parts = [of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
     return F.array_sort(F.concat(*parts))
 
 
