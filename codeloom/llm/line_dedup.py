@@ -82,10 +82,14 @@ def repeated(docs: DataFrame, t: int) -> DataFrame:
     return late.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("places"))
 
 
+#: Columns of this operator on their way; columns of docs keep their names.
+ID, KEY, PLACES, LINES, REMOVED = (f"_line_dedup_{c}" for c in ("id", "key", "places", "lines", "removed"))
+
+
 def _cut(docs: DataFrame, t: int) -> DataFrame:
-    """docs with the lines of the runs at `places` taken out of text; n_removed says how many."""
-    text, places = docs.columns.index("text"), docs.columns.index("places")
-    names = [*docs.columns, "n_removed"]
+    """docs with the lines of the runs at PLACES taken out of text; REMOVED says how many."""
+    text, places = docs.columns.index("text"), docs.columns.index(PLACES)
+    names = [*docs.columns, REMOVED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = bytes([0x20, *range(0x09, 0x0E)])
@@ -101,25 +105,28 @@ def _cut(docs: DataFrame, t: int) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == text else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names)
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("n_removed", LongType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(REMOVED, LongType()))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """docs with all its columns; text without later repeats of runs of min_lines lines or more; n_lines and n_removed."""
-    spark = docs.sparkSession
-    _tables.bounded_batches(spark)
-    own = "codeloom_id"
-    keyed = docs.drop("n_lines", "n_removed", "places", "text_key").withColumn("text", F.col("text").cast("string"))
-    keyed = keyed.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID))).withColumn("text_key", F.xxhash64("text"))
-    late = repeated(keyed.select(F.col(own).alias("doc_id"), "text_key", "text"), min_lines).withColumnRenamed("doc_id", own)
-    late = _tables.stored(late)
-    ids = late.select(own).distinct()
+def cut_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+    """docs with all its columns, text without later repeats of runs of min_lines lines or more, and LINES and REMOVED."""
+    _tables.bounded_batches(docs.sparkSession)
+    keyed = docs.withColumn("text", F.col("text").cast("string"))
+    keyed = keyed.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID))).withColumn(KEY, F.xxhash64("text"))
+    late = repeated(keyed.select(F.col(ID).alias("doc_id"), F.col(KEY).alias("text_key"), "text"), min_lines)
+    late = _tables.stored(late.select(F.col("doc_id").alias(ID), F.col("text_key").alias(KEY), F.col("places").alias(PLACES)))
+    ids = late.select(ID).distinct()
     if late.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
-    order = [c for c in keyed.columns if c not in (own, "text_key")]
-    rest = keyed.join(ids, own, "left_anti").select(*order, lines, F.lit(0).cast("long").alias("n_removed"))
-    some = keyed.join(ids, own, "left_semi").join(late, [own, "text_key"], "left")
-    same = some.where("places is null").select(*order, lines, F.lit(0).cast("long").alias("n_removed"))
-    cut = _cut(some.where("places is not null").select(*order, lines, "places"), min_lines).select(*order, "n_lines", "n_removed")
-    return rest.unionByName(same).unionByName(cut)
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias(LINES)
+    none = F.lit(0).cast("long").alias(REMOVED)
+    rest = keyed.join(ids, ID, "left_anti").select(*docs.columns, lines, none)
+    some = keyed.join(ids, ID, "left_semi").join(late, [ID, KEY], "left")
+    same = some.where(F.col(PLACES).isNull()).select(*docs.columns, lines, none)
+    cut = _cut(some.where(F.col(PLACES).isNotNull()).select(*docs.columns, lines, PLACES), min_lines)
+    return rest.unionByName(same).unionByName(cut.select(*docs.columns, LINES, REMOVED))
+
+
+def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+    """doc_id, text, n_lines and n_removed of every row of docs."""
+    return cut_lines(docs.select("doc_id", "text"), min_lines).withColumnsRenamed({LINES: "n_lines", REMOVED: "n_removed"})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import _tables
 from codeloom.llm.decontam import keep_clean
-from codeloom.llm.line_dedup import line_dedup
+from codeloom.llm.line_dedup import REMOVED, cut_lines
 from codeloom.llm.ngram_join import keep_one
 from codeloom.llm.packing import best_fit
 from codeloom.llm.quality import keep_good
@@ -26,9 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of runs of three lines or more; documents that have nothing left go."""
-    out = line_dedup(docs).withColumn("left", F.coalesce(F.trim("text"), F.lit("")) != "").where("n_removed = 0 or left")
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[changed.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    removed = F.col(REMOVED)
+    out = cut_lines(docs).where((removed == 0) | (F.trim("text") != ""))
+    changed = lambda c: F.when(removed > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+    return out.select(*[changed(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
