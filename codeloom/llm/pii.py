@@ -35,6 +35,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 REACH, SUPPORT, DISCLOSURE = 64, 3, 0.9
+#: Terms (8 bytes each) and texts that are broadcast at most; beyond, joins are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Prefix sums go over blocks of so many matches, so that texts with very many matches don't cost the square.
 BLOCK = 256
 
@@ -119,8 +121,13 @@ def revealing(rows: DataFrame) -> DataFrame:
     n = kept.count()
     code = lambda c: F.xxhash64(c)
     held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))
-    wanted = pair.select(code(F.col("term")).alias("code")).distinct()
-    c_t = rows.select(F.explode(held).alias("code")).join(wanted, "code", "left_semi").groupBy("code").agg(F.count(F.lit(1)).alias("c_t"))
+    wanted = _tables.stored(pair.select(code(F.col("term")).alias("code")).distinct())
+    every = rows.select(F.explode(held).alias("code"))
+    if wanted.count() <= BROADCAST_ROWS:
+        c_t = every.join(F.broadcast(wanted), "code", "left_semi").groupBy("code").agg(F.count(F.lit(1)).alias("c_t"))
+    else:
+        # Counted before they are shuffled.
+        c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
     strength = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(F.lit(float(n)) / F.col("c_e"))
     told = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where((F.col("c_e") < n) & (strength >= DISCLOSURE)).select("term", "entity")
     spans = near.join(told, ["term", "entity"]).select(*place, "start", "end", "term").distinct()
@@ -134,7 +141,7 @@ def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
     # Base spans once, without texts; texts of the rows that have spans go along for their contexts.
     extra = _tables.stored(revealing(rows))
-    out = rows.join(F.broadcast(extra) if extra.count() <= 100_000 else extra, ["doc_id", "text_key"], "left")
+    out = rows.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
     # A term inside a base span is part of it.
     outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
