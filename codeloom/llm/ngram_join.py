@@ -15,7 +15,9 @@ exact sets.
 Copies (equal sets) are one class from the start.  In a bucket every class is
 compared with the smallest first; only classes that this leaves in different
 components are compared with each other, so a large group of near copies
-costs as many comparisons as it has members.  Components are exact, whatever
+costs as many comparisons as it has members.  A parity sketch of each set
+bounds the difference of two sets from below, so pairs that are not linked
+hardly ever need their sets.  Components are exact, whatever
 the group sizes: no bucket, partner or row is capped.
 
 Classes are 64-bit fingerprints of sets of 64-bit shingle hashes.  Null, empty
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import _tables, _text
@@ -39,6 +41,11 @@ from codeloom.llm._text import mix
 
 #: Ratio of a band's sizes, and the count from which a segment's content is frequent.
 BAND, FREQUENT = 1.6, 64
+#: Size of a bucket from which one-deletion neighbourhoods cost less than comparing its members.
+LARGE = 4096
+#: 64-bit words of a parity sketch.
+SKETCH = 32
+ODD = [f"o{k}" for k in range(SKETCH)]
 #: Classes a task remembers so as not to send a copy's signatures again (only to save work).
 REMEMBERED = 1 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are fetched by a shuffled join.
@@ -150,19 +157,35 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cls, shingles) of every row."""
+    """(cls, size, o0.., shingles) of every row; o0.. hold a parity sketch, a bit for each of 64 * SKETCH buckets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in _text.slices(batch, "text"):
+            for a, b, data, offsets in _text.slices(batch, "text"):
                 s = Sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([pa.array(s.cls), pa.ListArray.from_arrays(pa.array(s.of.astype(np.int32)), pa.array(s.h.view(np.int64)))], ["cls", "shingles"])
+                bits = np.zeros((b - a) * 64 * SKETCH, np.uint8)
+                np.add.at(bits, s.doc * (64 * SKETCH) + (mix(s.h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(64 * SKETCH)).astype(np.int64), 1)
+                odd = np.packbits(bits.reshape(b - a, -1) & 1, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(s.of.astype(np.int32)), pa.array(s.h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.cls), pa.array(s.size.astype(np.int32)), *(pa.array(odd[:, k]) for k in range(SKETCH)), lists], ["cls", "size", *ODD, "shingles"])
+
+    return docs.select("text").mapInArrow(run, "cls long, size int, " + ", ".join(f"{o} long" for o in ODD) + ", shingles array<long>")
 
-    return docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
+
+def _close(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two sets may be linked, by size and parity sketch.
+
+    A shingle that only one of them has flips one bit, so the bits that differ are at most as many as such shingles.
+    """
+    flipped = sum((F.bit_count(F.col(f"{x}.{o}").bitwiseXOR(F.col(f"{y}.{o}"))) for o in ODD), F.lit(0))
+    return flipped * (num + den) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (den - num)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by their exact sets."""
+    """The pairs (a, b) of classes that are similar enough: by their sketches first, then by their exact sets."""
+    sketch = sets.select("cls", "size", *ODD)
+    x, y = (sketch.select(F.col("cls").alias(c), F.struct("size", *ODD).alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    pairs = pairs.join(y, "b").join(x, "a").where(_close("x", "y", num, den)).select("a", "b")
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("same", F.size(F.array_intersect("sa", "sb")))
@@ -226,11 +249,12 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, ids: DataFrame
     rest = members_left.where("cls <> low").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     open_ = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
     rest = _tables.stored(rest.join(open_, "key"))
-    pair = lambda x, on, but: x.alias("x").join(x.alias("y"), on).where("x.comp <> y.comp").where(but).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    more = pair(rest.where(F.col("n") <= FREQUENT).drop("n"), ["key"], F.expr("x.cls < y.cls"))
-    if not rest.where(F.col("n") > FREQUENT).isEmpty():
-        near = _neighbours(rest.where(F.col("n") > FREQUENT).drop("n"), sets, num, den)
-        more = more.unionByName(pair(near, ["key", "variant"], F.expr("(x.whole or y.whole) and x.cls <> y.cls")))
+    sketched = lambda rows: rows.join(sets.select("cls", "size", *ODD), "cls")
+    pair = lambda x, on, but: x.alias("x").join(x.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [F.col("x.comp") != F.col("y.comp"), but, _close("x", "y", num, den)]).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    more = pair(sketched(rest.where(F.col("n") <= LARGE)), ["key"], F.expr("x.cls < y.cls"))
+    if not rest.where(F.col("n") > LARGE).isEmpty():
+        near = _neighbours(rest.where(F.col("n") > LARGE).drop("n"), sets, num, den)
+        more = more.unionByName(pair(sketched(near), ["key", "variant"], F.expr("(x.whole or y.whole) and x.cls <> y.cls")))
     late = _tables.stored(verified(more.distinct(), sets, num, den))
     if late.isEmpty():
         return comp
