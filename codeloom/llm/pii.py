@@ -52,7 +52,7 @@ def _luhn(digits: Column) -> Column:
 def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         parts = F.split(match, r"\.")
-        return F.forall(parts, lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(parts, lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).cast("int"), F.lit(0)) <= 255)
+        return F.forall(parts, lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(parts, lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).try_cast("int"), F.lit(0)) <= 255)
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
@@ -104,9 +104,9 @@ def _context(text: Column, span: Column) -> Column:
 
 
 def revealing(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text, spans)."""
+    """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text, base)."""
     place = ["doc_id", "text_key"]
-    near = rows.where(F.size("spans") > 0).select(*place, "text", F.explode("spans").alias("span"))
+    near = rows.where(F.size("base") > 0).select(*place, "text", F.explode("base").alias("span"))
     near = near.select(*place, F.concat(F.col("span.kind"), F.lit(":"), F.lower("span.value")).alias("entity"), _context(F.col("text"), F.col("span")).alias("context"))
     near = _tables.stored(near.select(*place, "entity", F.explode_outer("context").alias("c")).select(*place, "entity", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.term").alias("term")).distinct())
     # Pre-aggregated per text, so copies of a text count once.
@@ -138,16 +138,16 @@ def revealing(rows: DataFrame) -> DataFrame:
 def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): counts and digest of base spans, all spans, and with_text the sanitised text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
     # Base spans once, without texts; texts of the rows that have spans go along for their contexts.
     extra = _tables.stored(revealing(rows))
     out = rows.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
     # A term inside a base span is part of it.
-    outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    every = F.array_sort(F.concat("spans", outside))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    columns = [F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), *(count(k) for k in KINDS), F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(every).alias("spans")]
+    outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    every = F.array_sort(F.concat("base", outside))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    columns = [F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans")]
     if with_text:
         # Overlapping spans are blanked from the last one's start on; what overlaps is left to the earlier span.
         pieces = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))

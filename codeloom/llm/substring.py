@@ -158,6 +158,7 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 near = np.zeros(len(w.start) + 1, bool)
                 for k in range(a, b):
                     p = np.asarray(places[k].values) + w.of[k - a]
+                    p = p[p < w.of[k - a + 1]]  # places of another text with this id
                     for back in range(block):
                         near[np.maximum(p - back, w.of[k - a])] = True
                 at, code = w.grams(window)
