@@ -222,7 +222,10 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, ids: DataFrame
     spark = docs.sparkSession
     sig = signatures(docs, n, num, den)
     shared = sig.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "low", "n")
-    members = _tables.stored(sig.join(_tables.stored(shared), "key").select("key", "low", "n", "cls").distinct())
+    shared = _tables.stored(shared)
+    _tables.release(spark)
+    members = _tables.stored(sig.join(shared, "key").select("key", "low", "n", "cls").distinct())
+    _tables.dropped(shared)
     _tables.release(spark)
     # Allocation: frequent segments are left out by sets that have few of them.
     frequent = members.where(F.col("n") > FREQUENT)
@@ -244,6 +247,7 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, ids: DataFrame
     sets = _tables.stored(sets.dropDuplicates(["cls"]))
     star = members_left.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
     found = _tables.stored(verified(star, sets, num, den))
+    _tables.release(spark)
     # Classes of one bucket that are not connected yet, but for the smallest one, which has been compared with all.
     comp = _tables.stored(_tables.components(found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
     rest = members_left.where("cls <> low").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))

@@ -28,10 +28,11 @@ from codeloom.llm import _tables
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: A match starts where a run of its first class starts, or where the match before ended; possessive runs never backtrack.
+#: Of cards, runs of too few digits, which would fail the check, are not even matched.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 REACH, SUPPORT, DISCLOSURE = 64, 3, 0.9
@@ -62,25 +63,40 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches, in code points: between the matches are the pieces that a split leaves."""
+    """Array of (start, end, value) of all matches in a short text, in code points: between matches are the pieces that a split leaves."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, k: F.length(F.get(gaps, k)) + F.length(m))
-    block = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(steps, b * BLOCK + 1, BLOCK), F.lit(0), lambda a, x: a + x))
-    before = lambda k: F.aggregate(F.slice(block, 1, F.floor(k / BLOCK).cast("int")), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(steps, (F.floor(k / BLOCK) * BLOCK).cast("int") + 1, k % BLOCK + 1), F.lit(0), lambda a, x: a + x)
+    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
+    before = lambda k: F.aggregate(F.slice(steps, F.lit(1), k + 1), F.lit(0), lambda a, x: a + x)
     spans = F.transform(found, lambda m, k: F.struct((before(k) - F.length(m)).alias("start"), before(k).alias("end"), m.alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, rank, kind, end, value) by start, then kind as listed."""
-    def of_kind(rank: int, kind: str) -> Column:
-        good = F.filter(matches(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+def with_base(rows: DataFrame) -> DataFrame:
+    """rows(.., text) with base: array of (start, rank, kind, end, value) by start, then kind as listed.
 
-    parts = [of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
-    return F.array_sort(F.concat(*parts))
+    Step by step in columns, as what a lambda refers to is evaluated again for each element: matches, the lengths
+    from one match's end to the next one's, their sums by block, and only then places.
+    """
+    found, step, block, span = ({k: f"_{name}_{k}" for k in KINDS} for name in ("found", "step", "block", "span"))
+    out = rows.withColumns({found[k]: F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)) for k in KINDS})
+    none = F.array().cast("array<int>")
+    gap = lambda k: F.slice(F.split("text", PATTERNS[k], -1), F.lit(1), F.size(found[k]))
+    out = out.withColumns({step[k]: F.when(F.size(found[k]) > 0, F.zip_with(found[k], gap(k), lambda m, g: F.length(m) + F.length(g))).otherwise(none) for k in KINDS})
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    blocks = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(step[k]) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(step[k], b * BLOCK + 1, BLOCK)))
+    out = out.withColumns({block[k]: F.when(F.size(step[k]) > 0, blocks(k)).otherwise(none) for k in KINDS})
+
+    def places(rank: int, kind: str) -> Column:
+        def place(m: Column, k: Column) -> Column:
+            end = total(F.slice(block[kind], F.lit(1), F.floor(k / BLOCK).cast("int"))) + total(F.slice(step[kind], (F.floor(k / BLOCK) * BLOCK).cast("int") + 1, k % BLOCK + 1))
+            return F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
+
+        return F.filter(F.transform(found[kind], place), lambda s: valid(kind, s["value"]))
+
+    out = out.withColumns({span[k]: places(rank, k) for rank, k in enumerate(KINDS)})
+    return out.withColumn("base", F.array_sort(F.concat(*span.values()))).select(*rows.columns, "base")
 
 
 def listed(spans: Column) -> Column:
@@ -103,10 +119,10 @@ def _context(text: Column, span: Column) -> Column:
     return F.concat(moved(on_left, left_at), moved(on_right, span["end"]))
 
 
-def revealing(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text, base)."""
+def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text) with spans(.., base)."""
     place = ["doc_id", "text_key"]
-    near = rows.where(F.size("base") > 0).select(*place, "text", F.explode("base").alias("span"))
+    near = spans.where(F.size("base") > 0).select(*place, "text", F.explode("base").alias("span"))
     near = near.select(*place, F.concat(F.col("span.kind"), F.lit(":"), F.lower("span.value")).alias("entity"), _context(F.col("text"), F.col("span")).alias("context"))
     near = _tables.stored(near.select(*place, "entity", F.explode_outer("context").alias("c")).select(*place, "entity", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.term").alias("term")).distinct())
     # Pre-aggregated per text, so copies of a text count once.
@@ -130,18 +146,20 @@ def revealing(rows: DataFrame) -> DataFrame:
         c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
     strength = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(F.lit(float(n)) / F.col("c_e"))
     told = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where((F.col("c_e") < n) & (strength >= DISCLOSURE)).select("term", "entity")
-    spans = near.join(told, ["term", "entity"]).select(*place, "start", "end", "term").distinct()
+    marked = near.join(told, ["term", "entity"]).select(*place, "start", "end", "term").distinct()
     struct = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))
-    return spans.groupBy(*place).agg(F.array_sort(F.collect_set(struct)).alias("extra"))
+    return marked.groupBy(*place).agg(F.array_sort(F.collect_set(struct)).alias("extra"))
 
 
 def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): counts and digest of base spans, all spans, and with_text the sanitised text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    # Base spans once, without texts; texts of the rows that have spans go along for their contexts.
-    extra = _tables.stored(revealing(rows))
-    out = rows.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    # Written once: base spans, and the texts that have some.
+    text = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
+    spans = _tables.stored(with_base(rows).select("doc_id", "text_key", "base", text.alias("text")))
+    extra = _tables.stored(revealing(rows, spans))
+    out = spans.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
     # A term inside a base span is part of it.
     outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
