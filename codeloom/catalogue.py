@@ -604,6 +604,29 @@ def repo_closure(spark, sf):  # noqa: ANN001, ANN201
     return R.repo_closure(rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
 
 
+@query("""select 'C:' || c_custkey as src, 'S:' || l_suppkey as dst from (select distinct c_custkey, c_nationkey, l_suppkey from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey) join supplier on s_suppkey = l_suppkey
+where c_nationkey = s_nationkey or (c_nationkey < s_nationkey and s_nationkey - c_nationkey <= 3)""")
+def cross_repo_gate(spark, sf):  # noqa: ANN001, ANN201
+    t = lambda n: graph.table(spark, sf, n)
+    imports = graph.edges(spark, sf).where("predicate = 'IMPORTS'").select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path"))
+    repo = t("customer").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").alias("repo")).unionByName(t("supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_nationkey").alias("repo")))
+    nations = t("nation").select(F.col("n_nationkey").alias("src"))
+    allowed = nations.join(nations.withColumnRenamed("src", "dst"), (F.col("dst") > F.col("src")) & (F.col("dst") - F.col("src") <= 3))
+    return R.gate_cross_repo(imports, repo, allowed).select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+
+
+@query("""select n, count(*) as files from (select len(string_split(path, '/')) - 1 as n from nodes where kind = 'file') group by 1""", True)
+def suffix_index(spark, sf):  # noqa: ANN001, ANN201
+    return R.suffix_index(graph.nodes(spark, sf).where("kind = 'file'").select("path")).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""select doc_id, substr(h1, 1, 8) as first_id, substr(h2, 1, 8) as legacy_id from (select doc_id, sha256('ws:' || lower(source) || ':' || hash || ':v1') as h1, sha256('ws:' || source || ':' || hash) as h2 from (select doc_id, source, sha256(coalesce(text, '')) as hash from documents))""")
+def replaces_chain(spark, sf):  # noqa: ANN001, ANN201
+    d = graph.table(spark, sf, "documents")
+    chain = V.replaces(F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256), ["v1", "v2"], F.lit("ws"))
+    return d.select("doc_id", F.substring(chain[0], 1, 8).alias("first_id"), F.substring(chain[2], 1, 8).alias("legacy_id"))
+
+
 # ---- context, stitching, savings, output --------------------------------------------------------------------------
 
 
@@ -615,7 +638,7 @@ def context_budget(spark, sf):  # noqa: ANN001, ANN201
 
 @query("""select id, case when seq % 6 = 0 then 0 when seq % 6 = 1 then 10 + seq when seq % 6 = 2 then 20 when seq % 6 = 3 then 21 when seq % 6 = 4 then 30 + least(seq, 10) else 40 end as score from (select 'B:' || n_nationkey as id, n_nationkey as seq from nation)""")
 def evidence_rank(spark, sf):  # noqa: ANN001, ANN201
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("target", "claim", "caller", "callee", "relationship", "other")]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("target", "structural", "claim", "decision", "relationship", "provenance")]), (F.col("n_nationkey") % 6 + 1).cast("int"))
     return C.rank_evidence(graph.table(spark, sf, "nation").select(F.concat(F.lit("B:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("seq"), kind.alias("kind"))).select("id", "score")
 
 
@@ -630,7 +653,7 @@ def stitch_edges(spark, sf):  # noqa: ANN001, ANN201
     return C.stitch(provides.select("ws", "name"), consumes)
 
 
-@query("select event_type as command, sum(event_id % 1000)::bigint as tokens, round(sum(event_id % 1000) * 6.6 / 1e6, 6) as money, round(sum(event_id % 1000) * 0.5 / 1e3, 6) as water_ml from events group by 1")
+@query("select event_type as command, sum(event_id % 1000)::bigint as tokens, round(sum(event_id % 1000) * 33.0 / 1e6, 6) as money, round(sum(event_id % 1000) * 2 / 1e3, 6) as water_ml from events group by 1")
 def savings(spark, sf):  # noqa: ANN001, ANN201
     return C.savings(graph.table(spark, sf, "events").select(F.col("event_type").alias("command"), (F.col("event_id") % 1000).alias("tokens")))
 

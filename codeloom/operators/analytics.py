@@ -10,6 +10,14 @@ from codeloom.functions import text as X
 #: Fixed values.
 CONTAINERS = ("class", "object", "trait", "interface", "module", "file")
 CALLABLES = ("function", "method")
+TYPES = ("interface", "type", "type_alias", "enum", "sealed_trait", "trait", "abstract_class")
+MODEL_WORDS = ("model", "models", "schema", "db", "database", "entity", "entities", "domain")
+#: Words that place a name in a flow.
+FLOW_WORDS = {
+    "conflict-resolution": ("conflict", "merge", "conflicts"), "resolution": ("resolve", "resolution", "match", "select", "pick", "lookup", "resolver", "matcher", "selector"),
+    "parsing": ("parse", "decode", "read", "tokenize", "lex", "parser", "decoder", "reader", "lexer"), "impact analysis": ("impact",), "explanation": ("explain", "render"),
+    "ingestion": ("ingest", "store", "persist", "save", "ingestion"), "scoring": ("score", "rank", "weight", "evaluate"),
+}
 
 
 def rank_by(edges: DataFrame, nodes: DataFrame, predicates: list[str], kind: str, n: int = 10, of: str = "dst") -> DataFrame:
@@ -95,13 +103,13 @@ def infer_role(f: DataFrame) -> DataFrame:
 
 def risk(f: DataFrame) -> DataFrame:
     """category and risk_level of f(kind, name, path, callers, callees, importers, dependents, member_callers, buckets)."""
-    kind, t = F.lower("kind"), X.word_tokens(F.concat_ws(" ", "name", "path"))
+    kind, t = F.lower("kind"), X.word_tokens(F.concat_ws(" ", "name", F.regexp_replace(X.basename(F.col("path")), r"\.[^.]+$", "")))
     container, callable_ = kind.isin(*CONTAINERS), kind.isin(*CALLABLES)
-    flow = X.has_any(t, "ingest", "parse", "resolve", "auth", "login", "payment", "checkout", "sync", "search", "render")
+    flow = X.has_any(t, *[w for words in FLOW_WORDS.values() for w in words])
     total = F.col("importers") + F.col("dependents") + F.col("member_callers")
     category = (
-        F.when(kind.isin("interface", "type", "enum", "type_alias"), "foundation")
-        .when((kind == "file") & X.has_any(t, "model", "models", "type", "types", "schema") & (F.col("members") > 0), "foundation")
+        F.when(kind.isin(*TYPES), "foundation")
+        .when((kind == "file") & X.has_any(t, *MODEL_WORDS) & (F.col("members") > 0), "foundation")
         .when(container & X.has_any(X.word_tokens(F.col("name")), "client", "adapter"), "boundary")
         .when(container & X.has_any(t, "client", "api", "backend") & ((F.col("callers") > 5) | (F.col("member_callers") > 10)), "boundary")
         .when(flow & callable_, "flow")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Budgets of a bundle, with their bounds.
-BUDGETS = {"entities": (1, 50, 200), "relationships": (1, 100, 500), "evidence": (1, 25, 100), "chars": (500, 12_000, 100_000)}
+BUDGETS = {"entities": (1, 50, 500), "relationships": (1, 100, 1000), "evidence": (1, 25, 200), "chars": (1000, 12_000, 1_000_000)}
+#: Prices of a million tokens in and out, and water for a thousand.
+PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0), "gpt-4o": (2.5, 10.0)}
+WATER_ML = 2.0
 
 
 def clamp(name: str, value: int | None) -> int:
@@ -21,13 +24,15 @@ def evidence_budget(evidence: DataFrame, group: str, most: int = 25, chars: int
     return rows.where((F.col("rn") <= most) & (F.col("running") <= chars))
 
 
+#: Scores of evidence; structural items and relationships also count their place.
+EVIDENCE = {"target": 0, "structural": 10, "claim": 20, "decision": 21, "conflict": 22, "intent": 23, "relationship": 30, "provenance": 40}
+
+
 def rank_evidence(items: DataFrame) -> DataFrame:
-    """items(kind, seq, id) with score: target 0, claims from 10, callers to members 20-23, relationships 30-40, the rest 40."""
-    score = (
-        F.when(F.col("kind") == "target", 0).when(F.col("kind") == "claim", 10 + F.col("seq")).when(F.col("kind") == "caller", 20).when(F.col("kind") == "callee", 21)
-        .when(F.col("kind") == "dependent", 22).when(F.col("kind") == "member", 23).when(F.col("kind") == "relationship", 30 + F.least("seq", F.lit(10))).otherwise(40)
-    )
-    return items.withColumn("score", score).orderBy("score", "id")
+    """items(kind, seq, id) with score, in the order of score and id; seq counts from 0 within a kind."""
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv]), F.col("kind"))
+    place = F.when(F.col("kind") == "structural", F.col("seq")).when(F.col("kind") == "relationship", F.least("seq", F.lit(10))).otherwise(0)
+    return items.withColumn("score", base + place).orderBy("score", "id")
 
 
 def stitch(provides: DataFrame, consumes: DataFrame) -> DataFrame:
@@ -36,7 +41,8 @@ def stitch(provides: DataFrame, consumes: DataFrame) -> DataFrame:
     return consumes.select(F.col("ws").alias("consumer"), "name").distinct().join(p, "name").where("consumer <> provider").select("consumer", "provider", "name")
 
 
-def savings(usage: DataFrame, input_price: float = 3.0, output_price: float = 15.0, water_ml: float = 0.5) -> DataFrame:
-    """usage(command, tokens): tokens saved by command with money (70 % input, 30 % output, per million) and water (per thousand)."""
-    money = F.sum("tokens") * (0.7 * input_price + 0.3 * output_price) / 1e6
-    return usage.groupBy("command").agg(F.sum("tokens").alias("tokens"), F.round(money, 6).alias("money"), F.round(F.sum("tokens") * water_ml / 1e3, 6).alias("water_ml")).orderBy(F.desc("tokens"), "command")
+def savings(usage: DataFrame, model: str = "opus") -> DataFrame:
+    """usage(command, tokens): tokens saved by command, with money (70 % of them read, 30 % written) and water."""
+    read, written = PRICES.get(model, PRICES["opus"])
+    money = (F.sum("tokens") * 0.7 * read + F.sum("tokens") * 0.3 * written) / 1e6
+    return usage.groupBy("command").agg(F.sum("tokens").alias("tokens"), F.round(money, 6).alias("money"), F.round(F.sum("tokens") / 1000 * WATER_ML, 6).alias("water_ml")).orderBy(F.desc("tokens"), "command")

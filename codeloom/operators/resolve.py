@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Method names that are too common to resolve globally.
-COMMODITY = ("get", "set", "map", "filter", "forEach", "push", "pop", "add", "remove", "has", "find", "then", "catch", "toString", "valueOf", "equals", "hashCode", "close", "open", "read", "write", "run", "call", "apply", "bind", "join", "split", "replace", "trim", "keys", "values", "entries")
+#: Names of built-in methods, too common to resolve globally, and the number of defining files that makes a name common.
+COMMODITY = (
+    "map", "forEach", "reduce", "reduceRight", "flatMap", "flat", "push", "pop", "shift", "unshift", "splice", "slice", "concat", "get", "set", "has", "keys", "values", "entries",
+    "then", "catch", "finally", "resolve", "race", "allSettled", "bind", "call", "apply", "stringify", "toString", "valueOf", "hasOwnProperty",
+)
 COMMON = 5
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,14 @@ EXTENSIONS = {
     "elixir": ".ex .exs", "lua": ".lua", "makefile": ".mk .makefile", "bash": ".sh .bash .zsh .ksh", "haskell": ".hs .lhs", "zig": ".zig", "html": ".html .htm .xhtml",
     "xml": ".xml .xsd .xsl .xslt .wsdl .csproj .vbproj .fsproj .props .targets .plist", "hcl": ".tf .tfvars .hcl", "css": ".css .scss .sass .less", "latex": ".tex .sty .cls .ltx .latex",
 }
-#: Directories that a walk does not enter.
-IGNORED = ("node_modules", "dist", "build", "target", "out", "vendor", "coverage", "__pycache__", "venv", "env", "bin", "obj")
+#: Directories that a walk does not enter, besides those that start with a dot.
+IGNORED = (
+    "node_modules", "dist", "build", "target", "out", "__pycache__", "venv", "coverage", "vendor", "Pods", "bin", "obj", "pkg",
+    "test", "tests", "__tests__", "spec", "specs", "e2e", "examples", "fixtures", "__mocks__", "__fixtures__",
+)
+#: Ends and beginnings of the names of generated files.
+GENERATED_ENDS = (".pb.go", "_deepcopy.go", "_mock.go", ".pb.ts", ".pb.js", "_pb.ts", "_pb.js")
+GENERATED_BEGINNINGS = ("zz_generated", "mock_")
 MAX_BYTES, MINIFIED_BYTES = 1 << 20, 200 * 1024
 
 
@@ -28,7 +36,12 @@ def language(path: Column) -> Column:
 
 
 def generated(path: Column) -> Column:
-    return F.rlike(F.lower(X.basename(path)), F.lit(r"(\.min\.(js|css)|\.bundle\.js|\.map|\.lock|\.pb\.go|\.g\.dart|_pb2\.py)$|^(generated[._-]|package-lock\.)"))
+    name, out = X.basename(path), F.lit(False)
+    for end in GENERATED_ENDS:
+        out = out | F.endswith(name, F.lit(end))
+    for beginning in GENERATED_BEGINNINGS:
+        out = out | F.startswith(name, F.lit(beginning))
+    return out
 
 
 def minified(text: Column) -> Column:
@@ -40,7 +53,8 @@ def minified(text: Column) -> Column:
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified, content, language) of the supported files under a root, below the size limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    parts = F.split("path", "/")
+    below = F.regexp_replace("path", "^(file:)?/*" + re.escape(root.removeprefix("file:").strip("/")), "")
+    parts = F.split(below, "/")
     hidden = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: (F.startswith(p, F.lit(".")) & (p != ".") & (p != "..")) | p.isin(*IGNORED))
     rows = files.where(F.col("length") <= MAX_BYTES).withColumn("language", language(F.col("path")))
     return rows.where(F.col("language").isNotNull() & ~generated(F.col("path")) & ~hidden).select("path", "length", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"), "language")

@@ -123,7 +123,7 @@ def test_imports_and_indexes(spark):
 def test_context(spark):
     e = spark.createDataFrame([("g", 1, "a", "xxx"), ("g", 2, "b", "y" * 20), ("g", 3, "c", "z")], "grp string, rank int, id string, text string")
     assert rows(C.evidence_budget(e, "grp", 5, 10), "id") == [("a",)]
-    assert C.clamp("entities", 999) == 200 and C.clamp("chars", None) == 12_000
+    assert C.clamp("entities", 999) == 500 and C.clamp("chars", None) == 12_000
 
 
 SAMPLES = {
@@ -156,7 +156,7 @@ def test_discover(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "src/a.py").write_text("x = 1\n")
-    (tmp_path / "src/a.min.js").write_text("x")
+    (tmp_path / "src/mock_a.js").write_text("x")
     (tmp_path / "node_modules/b.py").write_text("x")
     assert [r.path.rsplit("/", 1)[-1] for r in S.discover(spark, str(tmp_path)).collect()] == ["a.py"]
 
