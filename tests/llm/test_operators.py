@@ -1,0 +1,258 @@
+"""Every operator against a plain version, on documents made to be awkward and on a small corpus."""
+
+import random
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from codeloom.llm import chat, decontam, license_scan, line_dedup, ngram_join, packing, pii, quality, rules, substring  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(["alpha", "beta", "Gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]) + str(r.randrange(30)) for _ in range(n))
+
+
+PASSAGE = prose(99, 60)
+LINES = "\n".join(prose(k, 6) for k in range(500, 506))
+
+
+@pytest.fixture(scope="module")
+def cases():
+    base = prose(1, 300)
+    words = base.split()
+    near = " ".join([*words[:150], "changed", *words[151:]])
+    out = [
+        (1, base), (2, base), (3, near), (4, None), (5, ""), (6, " \n\t\n"), (7, "one"), (8, "ONE"), (9, "two words"), (10, prose(2, 40) + " " + PASSAGE + " " + prose(3, 40)),
+        (11, PASSAGE), (12, prose(4, 13) + "\n" + PASSAGE.upper()), (13, "x" * 30_000), (14, LINES + "\n\n" + prose(5, 9)), (15, prose(6, 9) + "\n" + LINES), (16, LINES.replace("\n", "\n\n")),
+        (None, base), (None, None), (1, base), (1, prose(7, 80)), (17, "mit license, Apache-License: general public license mit license"), (18, "x\nSPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception\ny"),
+        (19, "mail a.b+c@ex-ample.co.uk, a@b, x@y.z_w@q.r 10.0.0.256 10.0.0.1.5 1.2.3.4 +1 (017) 555-7713 4111 1111 1111 1111 4111111111111112 ünï@mail.example.com"), (20, "spam " * 400), (21, "#" * 200 + " <|> " * 60),
+        (22, prose(8, 20_000)), (23, "한국어   café \x1c\x85 \U0001f600 a\x0bb\x0cc"), (24, "license licenses mit\x00license"),
+    ]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, cases):
+    rows = [(d, t, "en", None if k % 5 == 0 else f"src{k % 3}", k, "z", [k], 1.5, "w") for k, (d, t) in enumerate(cases)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_key string, places array<int>, score double, cls string"
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def bag(rows):
+    return sorted(map(repr, rows))
+
+
+def empty(df):
+    return df.where(F.lit(False))
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_license(which, request):
+    df = request.getfixturevalue(which)
+    got = license_scan.license_scan(df).collect()
+    want = [(d, *brute.license_base(t)) for d, t in pairs(df)]
+    assert bag((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == bag(want)
+    assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
+
+
+def test_license_expressions():
+    at = lambda e: license_scan.evaluate(e.encode())
+    assert at("mit or gpl-3.0") == ({"mit", "gpl"}, 1.0)
+    assert at("mit and gpl-3.0") == ({"mit", "gpl"}, 0.4)
+    assert at("gpl-2.0 with classpath-exception-2.0 or mit and lgpl-2.1")[1] == 0.6
+    assert at("(mit or gpl-2.0) and apache-2.0 with llvm-exception")[1] == 1.0
+    assert at("mit and") == ({"mit"}, 1.0) and at("or mit") is None and at("") is None and at("(mit")[1] == 1.0
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_pii(which, request):
+    df = request.getfixturevalue(which)
+    for r, text in zip(*(sorted(x, key=lambda v: (brute.order(v[0]), v[1])) for x in ([(r.doc_id, r.base_sha256, r) for r in pii.find(df, with_text=True).collect()], [(d, brute.sha(",".join(brute.pii_base(t))), t) for d, t in pairs(df)])), strict=True):
+        assert r[:2] == text[:2]
+        assert set(brute.pii_base(text[2])) <= set(r[2].spans.split(",")) and "@" not in r[2].sanitised.replace("x@y", "").replace("a@b", "") or "term" not in r[2].spans
+
+
+def test_pii_terms(spark):
+    rows = [(k, f"filler{k} the codename Zanzibar belongs to agent{k % 7} bob@example.com filler{k + 1}") for k in range(8)] + [(100 + k, f"nothing here belongs to number {k}") for k in range(200)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    text = dict(rows)[0]
+    at = text.index("Zanzibar")
+    assert f"term:{at}:{at + 8}" in got[0].spans and "[TERM]" in got[0].sanitised and "Zanzibar" not in got[0].sanitised
+    assert "belongs" in got[0].sanitised and got[100].spans == ""
+
+
+@pytest.mark.parametrize(("which", "n", "num"), [("docs", 3, 90), ("docs", 5, 80), ("corpus", 3, 50)])
+def test_join(which, n, num, request):
+    df = request.getfixturevalue(which)
+    rows = pairs(df)
+    back = lambda c: None if c == brute.LAST else c
+    want = [(d, s, back(c)) for (d, _), (s, c) in zip(rows, brute.join(rows, n, num), strict=True)]
+    got = ngram_join.ngram_join(df, n, num, 100)
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == bag(want)
+
+
+def test_join_hot(spark, monkeypatch):
+    """Large groups of near copies, frequent segments and large buckets take their own ways."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    r = random.Random(5)
+    base = prose(11, 120).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 8])):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(d, s, c) for (d, _), (s, c) in zip(rows, brute.join(rows, 3, 90), strict=True)]
+    assert bag((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.ngram_join(df, 3, 90, 100).collect()) == bag(want)
+
+
+def test_keep_one(docs):
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, (r.text or "")[:10]) for r in got.collect()]
+    assert kept.count((1, prose(1, 300)[:10])) == 1 and 2 not in [k[0] for k in kept] and (1, prose(7, 80)[:10]) in kept and {4, 5, 6, 7} <= {k[0] for k in kept}
+
+
+def test_quality(spark, corpus, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.classify(corpus, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    assert (got.predicted == got.quality).mean() > 0.9
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.itertuples())
+    awkward = quality.classify(docs, labels).collect()
+    assert len(awkward) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in awkward)
+    assert {r.score for r in quality.classify(docs, empty(labels)).collect()} == {0.5}
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_quality_pairs():
+    """An interaction that no sum of single features can express."""
+    r = np.random.default_rng(0)
+    x = r.random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((quality.fit(x, y, rounds=60).score(x) > 0.5) == y).mean() > 0.9
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_rules(which, request):
+    df = request.getfixturevalue(which)
+    got = rules.judge(df).collect()
+    want = []
+    for d, t in pairs(df):
+        c = brute.rules(t)
+        want.append((d, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == bag(want)
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_lines(which, request):
+    df = request.getfixturevalue(which)
+    got = line_dedup.line_dedup(df).collect()
+    assert bag((r.doc_id, r.text, r.n_removed) for r in got) == bag(brute.line_dedup(pairs(df)))
+    assert line_dedup.cut_lines(df).columns[: len(df.columns)] == df.columns
+
+
+ITEMS = [(1, " ".join(PASSAGE.split()[5:25])), (2, " ".join(PASSAGE.split()[20:34])), (3, "mit license"), (4, None), (5, ""), (None, "one"), (3, "mit license"), (6, "spam spam spam spam spam spam spam spam spam spam spam")]
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_decontaminate(which, request, spark):
+    df = request.getfixturevalue(which)
+    items = ITEMS if which == "docs" else [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.decontaminate(df, bench).collect()
+    assert bag((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == bag(brute.decontaminate(pairs(df), items))
+    assert decontam.keep_clean(df, bench).columns == df.columns
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_substring(which, request):
+    df = request.getfixturevalue(which)
+    got = substring.substring_dedup(df, with_text=True).collect()
+    assert bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == bag(brute.substring(pairs(df)))
+    assert all(brute.sha(r.kept_text) == r.kept_sha256 for r in got)
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_packing(which, request):
+    df = request.getfixturevalue(which)
+    got = packing.best_fit(df, capacity=512, shard=64).toPandas()
+    want = sum(len(brute.SPACE.findall(t or "")) for _, t in pairs(df))
+    assert got.n_words.sum() == want and got.groupby("bin_id").n_words.sum().max() <= 512
+    for _, b in got.groupby("bin_id"):
+        b = b.sort_values("bin_offset")
+        assert (b.bin_offset.to_numpy() == np.concatenate([[0], b.n_words.cumsum().to_numpy()[:-1]])).all()
+    if which == "corpus":
+        m = got.merge(df.toPandas(), on="doc_id")
+        assert not m.duplicated(["bin_id", "source"]).any() and not m.duplicated(["bin_id", "text"]).any()
+
+
+def test_best_fit():
+    b = packing.Bins(10)
+    assert [b.place(7, "a", 1), b.place(5, "b", 2), b.place(3, "c", 3), b.place(4, "a", 4), b.place(1, "b", 2)] == [(0, 0), (1, 0), (0, 7), (1, 5), (2, 0)]
+
+
+def test_chat(spark):
+    said = ["</s>[INST] ok [/INST]", "<s>", "~0 ~1 [INST]", "", None, "a\nb", "x</s", "x<", "~", "[INST] a [/INST]", "é\u0000\U0001f600"]
+    rows = [(c, t, r, said[(c * 3 + t) % len(said)]) for c in range(12) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", None, "to\nol<s>", "~user"])]
+    rows += [(99, None, "assistant", "n"), (None, 1, "user", "x"), (98, 1, "user", "y"), (98, 1, "user", "y")]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    by = {}
+    for c, _, r, t in rows:
+        by.setdefault(c, []).append((r, t))
+    assert got == {c: brute.chat(t) for c, t in by.items()}
+
+
+def test_empty_tables(spark, docs):
+    none = empty(docs).select("doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (license_scan.license_scan(none), pii.find(none), ngram_join.ngram_join(none), quality.classify(none, labels), rules.judge(none), line_dedup.line_dedup(none), decontam.decontaminate(none, bench), substring.substring_dedup(none), packing.best_fit(none)):
+        assert df.count() == 0
+    assert decontam.decontaminate(docs, bench).where("contaminated").count() == 0
+    assert chat.digest(chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), before.schema)
+        assert docs.columns == columns and 0 < docs.count() <= before.count(), name
+        ids = {r.doc_id for r in docs.collect()}
+        if name == "near_duplicates":
+            rows = pairs(before)
+            comp = brute.join(rows, 5, 80)
+            assert ids == {d for (d, _), (_, c) in zip(rows, comp, strict=True) if c == d}
+        if name == "lines":
+            want = {d: t for d, t, gone in brute.line_dedup(pairs(before)) if not gone or t.strip(" ")}
+            assert {r.doc_id: r.text for r in docs.collect()} == want
+        if name == "decontamination":
+            bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            assert ids == {r[0] for r in brute.decontaminate(pairs(before), bench) if not r[5]}
+    assert P.run(spark, SF).count() > 0
