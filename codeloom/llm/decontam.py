@@ -1,12 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Postings (document, position, term) are kept for the rarest terms of every
-benchmark window, rarity being counted over all documents.  Each posting moves
-to where the window would start (position less the term's offset); starts at
-which the lists of all KEYS rarest terms meet are the intersection.  The
-remaining terms of the window are then looked up at their places, in the
-documents that have such starts, which leaves exact phrases.  Starts at which
-the rarest terms meet only within SLOP words are proximity matches.
+Rarity is counted over all documents.  The index keeps postings (document,
+position) of the rarest term of every benchmark window; each posting moves to
+where the window would start.  At those starts the lists of the next rarest
+terms are intersected, then those of all terms, which leaves exact phrases.
+Starts at which the rarest terms meet only within SLOP words are proximity
+matches.  Frequent terms are looked up at starts that rare ones leave, so their
+postings never travel.
 
 A window that stands in several items is one window.  Null texts have no
 words.  Repeated rows have equal results; rows that share an id are told apart
@@ -16,7 +16,7 @@ item_ids count once; a null item_id has no name and is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import _tables
@@ -42,39 +42,35 @@ def windows(benchmark: DataFrame, length: int) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
     rows = items.select("item", F.explode(F.transform(starts, lambda k: F.slice("w", k, length))).alias("terms"))
     rows = rows.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return rows.select(F.sha2(F.array_join("terms", " "), 256).alias("win"), "terms", "items")
+    return rows.select(F.xxhash64("terms").alias("win"), "terms", "items")
 
 
 def occurrences(docs: DataFrame, wins: DataFrame, n_windows: int) -> DataFrame:
-    """(doc_id, text_key, win, start, length, exact) of docs(doc_id, text_key, w): exact phrase and proximity matches."""
+    """(doc_id, text_key, win, start, length, exact) of docs(doc_id, text_key, text): exact phrase and proximity matches."""
+    place = ["doc_id", "text_key"]
     terms = wins.select("win", F.posexplode("terms").alias("offset", "term"))
-    vocabulary = terms.select("term").distinct()
-    exploded = docs.select("doc_id", "text_key", F.posexplode("w").alias("pos", "term"))
-    counts = exploded.select("term").join(_small(vocabulary, 10 * n_windows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    exploded = docs.select(*place, F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    counts = exploded.select("term").join(_small(terms.select("term").distinct(), 10 * n_windows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counts = _tables.stored(counts)
-    # Rarest first; a term that no document has makes the window's list empty.
-    ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")))
-    keys = _tables.stored(ranked.where(F.col("rank") <= KEYS).select("win", "offset", "term", "rank").withColumn("n_keys", F.count(F.lit(1)).over(Window.partitionBy("win"))))
-    key_terms = _small(keys.select("term").distinct(), KEYS * n_windows)
-    postings = _tables.stored(exploded.join(key_terms, "term"))
-    moved = postings.join(_small(keys, KEYS * n_windows), "term").select("doc_id", "text_key", "win", "n_keys", "rank", (F.col("pos") - F.col("offset")).alias("start"))
-    moved = moved.where(F.col("start") > -SLOP)
-    place = ["doc_id", "text_key", "win"]
-    met = moved.groupBy(*place, "n_keys", "start").agg(F.count(F.lit(1)).alias("n")).where("n = n_keys and start >= 0").select(*place, "start")
-    met = _tables.stored(met)
-    # Within SLOP: every key term in the same stretch of starts, stretches overlapping by half.
-    stretch = F.explode(F.array(F.floor(F.col("start") / (2 * SLOP)), F.floor((F.col("start") + SLOP) / (2 * SLOP)) + F.lit(0.5)))
-    near = moved.select(*place, "n_keys", "rank", "start", stretch.alias("stretch")).groupBy(*place, "n_keys", "stretch").agg(F.count_distinct("rank").alias("n"), F.min("start").alias("start"))
-    near = near.where("n = n_keys and n_keys > 1").groupBy(*place).agg(F.min("start").alias("start"))
-    # The other terms, in the documents that are left.
-    ids = met.select("doc_id", "text_key").distinct()
-    n_ids = ids.count()
-    some = docs.join(_small(ids, n_ids), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
-    checked = some.join(met, ["doc_id", "text_key"]).join(_small(wins.select("win", "terms"), n_windows), "win")
-    checked = checked.where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
-    exact = _tables.stored(checked.select(*place, "start", F.size("terms").alias("length")))
-    near = near.join(exact.select(*place).distinct(), place, "left_anti").select(*place, "start", F.lit(0).alias("length"), F.lit(False).alias("exact"))
-    return exact.withColumn("exact", F.lit(True)).unionByName(near)
+    # Rarest first; a term that no document has comes first of all and leaves its window no postings.
+    ranked = terms.join(counts, "term", "left").groupBy("win").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))), 1, KEYS).alias("keys"))
+    keys = _tables.stored(ranked.select("win", F.col("keys")[0]["term"].alias("term"), F.col("keys")[0]["offset"].alias("offset"), F.expr("transform(slice(keys, 2, 100), k -> struct(k.offset, k.term))").alias("others")))
+    postings = exploded.join(_small(keys, n_windows), "term").select(*place, F.struct("win", (F.col("pos") - F.col("offset")).alias("start"), "others").alias("c"))
+    lists = _tables.stored(postings.groupBy(*place).agg(F.collect_list("c").alias("lists")))
+    # The other rare terms, in the documents that are left.
+    n_docs = lists.count()
+    some = docs.join(_small(lists.select(*place), n_docs), place, "left_semi").dropDuplicates(place).join(lists, place)
+    at = lambda k: F.coalesce(F.get("w", k), F.lit(""))
+    slop = F.array(*[F.lit(d) for d in range(-SLOP, SLOP + 1)])
+    close = lambda c: F.forall(c["others"], lambda o: F.exists(slop, lambda d: at(c["start"] + o["offset"] + d) == o["term"]))
+    near = some.select(*place, words(F.col("text")).alias("w"), "lists").select(*place, "w", F.filter("lists", close).alias("lists"))
+    # The outer form, as for the inner one a filter on the list would be pushed down, with the words split again for each element.
+    near = near.select(*place, "w", F.explode_outer("lists").alias("c")).where("c is not null").select(*place, "w", "c.win", "c.start")
+    near = near.join(_small(wins.select("win", "terms"), n_windows), "win")
+    exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
+    found = near.select(*place, "win", "start", F.size("terms").alias("length"), exact.alias("exact"))
+    # A proximity match counts where its window has no exact one, and only if it has terms to be near to.
+    return found.where(F.col("exact") | (F.col("length") > 1))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
@@ -82,12 +78,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     wins = _tables.stored(windows(benchmark, length))
     n_windows = wins.count()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    split = rows.select("doc_id", "text_key", words(F.col("text")).alias("w"))
-    found = _tables.stored(occurrences(split, wins, n_windows).dropDuplicates(["doc_id", "text_key", "win", "start", "exact"]))
+    found = _tables.stored(occurrences(rows, wins, n_windows).dropDuplicates(["doc_id", "text_key", "win", "start"]))
     place = ["doc_id", "text_key"]
     hit = found.where("exact").select(*place, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.where("exact").select(*place, "win").distinct().join(_small(wins.select("win", "items"), n_windows), "win").select(*place, F.explode("items").alias("item")).groupBy(*place).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    near = found.where("not exact").groupBy(*place).agg(F.count(F.lit(1)).alias("n_near"))
+    near = found.where("not exact").select(*place, "win").distinct().join(found.where("exact").select(*place, "win").distinct(), [*place, "win"], "left_anti").groupBy(*place).agg(F.count(F.lit(1)).alias("n_near"))
     marks = _tables.stored(hit.join(items, place, "full").join(near, place, "full"))
     n_words = rows.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = n_words.join(_small(marks, marks.count()), place, "left")
