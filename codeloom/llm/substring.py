@@ -83,19 +83,31 @@ def unpack(blobs: pa.ChunkedArray, width: int, keys: int) -> tuple[np.ndarray, n
     return np.concatenate(codes), np.concatenate(rows), np.concatenate(places), [np.concatenate(k) for k in found]
 
 
-def replies(row: np.ndarray, place: np.ndarray, keys: list[np.ndarray], names: list[str]) -> pa.Table:
-    """One line per document with its places."""
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]).astype(np.int32)), pa.array(place.astype(np.int32)))
-    return pa.Table.from_arrays([*(pa.array(k[row[first]]) for k in keys), lists], [*names, "places"])
+def replies(row: np.ndarray, place: np.ndarray, keys: list[np.ndarray], parts: int) -> pa.Table:
+    """Places for documents, packed by a hash of the document: a row for each group of documents, not for each document."""
+    group = (_text.mix(keys[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64) if len(row) else row
+    return pa.Table.from_batches([pack(group[row] if len(row) else row, place.astype(np.uint64), 4, row, np.zeros(len(row), np.int64), keys)])
 
 
-def _text_key(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def collected(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row per document with all its places, from packed replies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place, row, _, keys = unpack(table.column("blob"), 4, len(names))
+        place, keys = place.astype(np.int64), [k[row] for k in keys]
+        order = np.lexsort([place, *reversed(keys)])
+        place, keys = place[order], [k[order] for k in keys]
+        new = np.ones(len(place), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        first = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(place)]]).astype(np.int32)), pa.array(place.astype(np.int32)))
+        return pa.Table.from_arrays([*(pa.array(k[first]) for k in keys), lists], [*names, "places"])
 
+    return df.groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", places array<int>")
 
-def _collected(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.flatten(F.collect_list("places")).alias("places"))
+
+def _text_key(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
@@ -129,14 +141,14 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         fixed = place % block == 0
         index, count = np.unique(code[fixed], return_counts=True)
         if not len(index):
-            return replies(row[:0], place[:0], keys, ["doc_id"])
+            return replies(row[:0], place[:0], keys, parts)
         at = np.minimum(np.searchsorted(index, code), len(index) - 1)
         # A reference block finds itself: only another one counts.
         hit = (index[at] == code) & (~fixed | (count[at] > 1))
-        return replies(row[hit], place[hit], keys, ["doc_id"])
+        return replies(row[hit], place[hit], keys, parts)
 
     packed = docs.mapInArrow(probe, "part long, blob binary")
-    return _collected(packed.groupBy("part").applyInArrow(match, "doc_id long, places array<int>"), "doc_id")
+    return collected(packed.groupBy("part").applyInArrow(match, "part long, blob binary"), ["doc_id"])
 
 
 def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
@@ -184,10 +196,10 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
         low = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.concatenate([first, [len(code)]])))
         late = np.zeros(len(code), bool)
         late[order] = ids > low
-        return replies(row[late], place[late], keys, ["doc_id", "text_key"])
+        return replies(row[late], place[late], keys, parts)
 
     packed = hits.select("doc_id", "text", "places").mapInArrow(extend, "part long, blob binary")
-    return _collected(packed.groupBy("part").applyInArrow(match, "doc_id long, text_key long, places array<int>"), "doc_id", "text_key")
+    return collected(packed.groupBy("part").applyInArrow(match, "part long, blob binary"), ["doc_id", "text_key"])
 
 
 def _rest(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
