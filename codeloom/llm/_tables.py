@@ -47,8 +47,9 @@ def dropped(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, so that shuffle files of phases that are over go now instead of at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go reaches the JVM with the next call only
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
