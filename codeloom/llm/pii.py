@@ -139,11 +139,9 @@ def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
     held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))
     wanted = _tables.stored(pair.select(code(F.col("term")).alias("code")).distinct())
     every = rows.select(F.explode(held).alias("code"))
-    if wanted.count() <= BROADCAST_ROWS:
-        c_t = every.join(F.broadcast(wanted), "code", "left_semi").groupBy("code").agg(F.count(F.lit(1)).alias("c_t"))
-    else:
-        # Counted before they are shuffled.
-        c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
+    # Counted first: what meets the candidates is one row a term, not one a text.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
     strength = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(F.lit(float(n)) / F.col("c_e"))
     told = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where((F.col("c_e") < n) & (strength >= DISCLOSURE)).select("term", "entity")
     marked = near.join(told, ["term", "entity"]).select(*place, "start", "end", "term").distinct()
