@@ -9,7 +9,7 @@ it is pointwise mutual information over the entity's information content,
 with N different texts, c(t) and c(e) those that hold the term or the entity,
 c(t, e) those that hold the term within REACH characters of the entity: 1 if
 the term never occurs without the entity.  A term that reveals an entity by
-DISCLOSURE or more, in SUPPORT texts or more, is removed near it: its span is
+DISCLOSURE or more, however few texts hold them, is removed near it: its span is
 added with kind `term`, and in the sanitised text it becomes [TERM].  A term
 whose occurrences without the entity bring it below that is left.
 
@@ -20,6 +20,8 @@ equal results; a null id is kept as null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-REACH, SUPPORT, DISCLOSURE = 64, 3, 0.9
+REACH, DISCLOSURE = 64, 0.9
 #: Terms (8 bytes each) and texts that are broadcast at most; beyond, joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Prefix sums go over blocks of so many matches, so that texts with very many matches don't cost the square.
@@ -73,30 +75,36 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
-def with_base(rows: DataFrame) -> DataFrame:
-    """rows(.., text) with base: array of (start, rank, kind, end, value) by start, then kind as listed.
+def placed(rows: DataFrame, patterns: dict[str, str], wanted: Callable[[str, Column], Column] = lambda name, m: F.lit(True)) -> DataFrame:
+    """rows(.., text) with a column for each name of patterns: array of (start, end, value) of its wanted matches.
 
     Step by step in columns, as what a lambda refers to is evaluated again for each element: matches, the lengths
     from one match's end to the next one's, their sums by block, and only then places.
     """
-    found, step, block, span = ({k: f"_{name}_{k}" for k in KINDS} for name in ("found", "step", "block", "span"))
-    out = rows.withColumns({found[k]: F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)) for k in KINDS})
+    found, step, block = ({k: f"_{name}_{k}" for k in patterns} for name in ("found", "step", "block"))
+    out = rows.withColumns({found[k]: F.regexp_extract_all("text", F.lit(patterns[k]), F.lit(0)) for k in patterns})
     none = F.array().cast("array<int>")
-    gap = lambda k: F.slice(F.split("text", PATTERNS[k], -1), F.lit(1), F.size(found[k]))
-    out = out.withColumns({step[k]: F.when(F.size(found[k]) > 0, F.zip_with(found[k], gap(k), lambda m, g: F.length(m) + F.length(g))).otherwise(none) for k in KINDS})
+    gap = lambda k: F.slice(F.split("text", patterns[k], -1), F.lit(1), F.size(found[k]))
+    out = out.withColumns({step[k]: F.when(F.size(found[k]) > 0, F.zip_with(found[k], gap(k), lambda m, g: F.length(m) + F.length(g))).otherwise(none) for k in patterns})
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     blocks = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(step[k]) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(step[k], b * BLOCK + 1, BLOCK)))
-    out = out.withColumns({block[k]: F.when(F.size(step[k]) > 0, blocks(k)).otherwise(none) for k in KINDS})
+    out = out.withColumns({block[k]: F.when(F.size(step[k]) > 0, blocks(k)).otherwise(none) for k in patterns})
+
+    def places(name: str) -> Column:
+        def place(x: Column) -> Column:
+            k = x["k"]
+            end = total(F.slice(block[name], F.lit(1), F.floor(k / BLOCK).cast("int"))) + total(F.slice(step[name], (F.floor(k / BLOCK) * BLOCK).cast("int") + 1, k % BLOCK + 1))
+            return F.struct((end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
 
-    def places(rank: int, kind: str) -> Column:
-        def place(m: Column, k: Column) -> Column:
-            end = total(F.slice(block[kind], F.lit(1), F.floor(k / BLOCK).cast("int"))) + total(F.slice(step[kind], (F.floor(k / BLOCK) * BLOCK).cast("int") + 1, k % BLOCK + 1))
-            return F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
+        return F.transform(F.filter(F.transform(found[name], lambda m, k: F.struct(k.alias("k"), m.alias("value"))), lambda x: wanted(name, x["value"])), place)
 
-        return F.filter(F.transform(found[kind], place), lambda s: valid(kind, s["value"]))
+    return out.withColumns({k: places(k) for k in patterns}).select(*rows.columns, *patterns)
 
-    out = out.withColumns({span[k]: places(rank, k) for rank, k in enumerate(KINDS)})
-    return out.withColumn("base", F.array_sort(F.concat(*span.values()))).select(*rows.columns, "base")
+
+def with_base(rows: DataFrame) -> DataFrame:
+    """rows(.., text) with base: array of (start, rank, kind, end, value) by start, then kind as listed."""
+    ranked = lambda rank, kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    return placed(rows, PATTERNS, valid).withColumn("base", F.array_sort(F.concat(*(ranked(rank, k) for rank, k in enumerate(KINDS))))).select(*rows.columns, "base")
 
 
 def listed(spans: Column) -> Column:
@@ -105,6 +113,8 @@ def listed(spans: Column) -> Column:
 
 #: Terms are words of letters, lower-cased, of three letters or more.
 _TERM = r"[\p{L}]{3,}"
+#: Addresses in letters that the pattern of e-mail does not know; a term in one is removed with the whole of it.
+_ADDRESS = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+"
 
 
 def _context(text: Column, span: Column) -> Column:
@@ -119,14 +129,25 @@ def _context(text: Column, span: Column) -> Column:
     return F.concat(moved(on_left, left_at), moved(on_right, span["end"]))
 
 
+def _meet(x: Column, y: Column) -> Column:
+    return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+
+def _widened(term: Column, address: Column) -> Column:
+    """A term's (start, end, term); in an address, those of the address."""
+    whole = F.get(F.filter(address, lambda a: _meet(term, a)), F.lit(0))
+    return F.struct(F.coalesce(whole["start"], term["start"]).alias("start"), F.coalesce(whole["end"], term["end"]).alias("end"), term["term"].alias("term"))
+
+
 def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text) with spans(.., base)."""
     place = ["doc_id", "text_key"]
-    near = spans.where(F.size("base") > 0).select(*place, "text", F.explode("base").alias("span"))
-    near = near.select(*place, F.concat(F.col("span.kind"), F.lit(":"), F.lower("span.value")).alias("entity"), _context(F.col("text"), F.col("span")).alias("context"))
+    near = placed(spans.where(F.size("base") > 0), {"address": _ADDRESS}).withColumn("address", F.filter("address", lambda a: ~F.exists("base", lambda s: _meet(a, s))))
+    near = near.select(*place, "text", "address", F.explode("base").alias("span"))
+    near = near.select(*place, F.concat(F.col("span.kind"), F.lit(":"), F.lower("span.value")).alias("entity"), F.transform(_context(F.col("text"), F.col("span")), lambda m: _widened(m, F.col("address"))).alias("context"))
     near = _tables.stored(near.select(*place, "entity", F.explode_outer("context").alias("c")).select(*place, "entity", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.term").alias("term")).distinct())
     # Pre-aggregated per text, so copies of a text count once.
-    pair = near.where("term is not null").groupBy("term", "entity", "text_key").agg(F.lit(1).alias("one")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).where(F.col("c_te") >= SUPPORT)
+    pair = near.where("term is not null").groupBy("term", "entity", "text_key").agg(F.lit(1).alias("one")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te"))
     pair = _tables.stored(pair)
     if pair.isEmpty():
         return near.select(*place, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("extra")).limit(0)
@@ -144,7 +165,7 @@ def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
     c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
     strength = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(F.lit(float(n)) / F.col("c_e"))
     told = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where((F.col("c_e") < n) & (strength >= DISCLOSURE)).select("term", "entity")
-    marked = near.join(told, ["term", "entity"]).select(*place, "start", "end", "term").distinct()
+    marked = near.join(told, ["term", "entity"]).groupBy(*place, "start", "end").agg(F.min("term").alias("term"))
     struct = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))
     return marked.groupBy(*place).agg(F.array_sort(F.collect_set(struct)).alias("extra"))
 
@@ -160,7 +181,7 @@ def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     out = spans.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
     # A term inside a base span is part of it.
-    outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("base", lambda s: _meet(t, s)))
     every = F.array_sort(F.concat("base", outside))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     columns = [F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans")]

@@ -99,6 +99,13 @@ def test_pii_terms(spark):
     assert "belongs" in got[0].sanitised and got[100].spans == ""
 
 
+def test_pii_single(spark):
+    """An entity of one text, and one of two, have revealing terms."""
+    rows = [(1, "reach Quillfeather at quill@example.com today"), (2, "call Ombrosa on +1 (017) 555-7713 today"), (3, "again Ombrosa with +1 (017) 555-7713 today")] + [(100 + k, f"reach call again with today number {k}") for k in range(200)]
+    got = {r.doc_id: r.sanitised for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1] == "reach [TERM] at [EMAIL] today" and got[2] == "call [TERM] on [PHONE] today" and got[3] == "again [TERM] with [PHONE] today"
+
+
 @pytest.mark.parametrize(("which", "n", "num"), [("docs", 3, 90), ("docs", 5, 80), ("corpus", 3, 50)])
 def test_join(which, n, num, request):
     df = request.getfixturevalue(which)
