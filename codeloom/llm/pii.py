@@ -153,13 +153,16 @@ def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
         return near.select(*place, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("extra")).limit(0)
     c_e = near.groupBy("entity", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     # Terms of all different texts; a term is carried as a hash, candidates as well.
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    kept = _tables.stored(texts)
+    # One row stands for the copies of a text; of rows that are the same throughout, the terms are made distinct.
+    same = rows.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = _tables.stored(same.groupBy("text_key").agg(F.min(F.struct("doc_id", "rows")).alias("one")).select("text_key", "one.doc_id", "one.rows"))
     n = kept.count()
     code = lambda c: F.xxhash64(c)
     held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))
     wanted = _tables.stored(pair.select(code(F.col("term")).alias("code")).distinct())
-    every = rows.select(F.explode(held).alias("code"))
+    one = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
+    every = rows.join(one, place).select("text_key", "rows", F.explode(held).alias("code"))
+    every = every.where("rows = 1").select("code").unionByName(every.where("rows > 1").select("text_key", "code").distinct().select("code"))
     # Counted first: what meets the candidates is one row a term, not one a text.
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")

@@ -106,6 +106,14 @@ def test_pii_single(spark):
     assert got[1] == "reach [TERM] at [EMAIL] today" and got[2] == "call [TERM] on [PHONE] today" and got[3] == "again [TERM] with [PHONE] today"
 
 
+def test_pii_copies(spark):
+    """Copies of a text, under ids of their own, the same id or none, leave the terms as they are."""
+    rows = [(k, f"filler{k} the codename Zanzibar belongs to bob@example.com") for k in range(8)] + [(100 + k, f"nothing here belongs to the number {k}") for k in range(200)]
+    more = [(1000 + k, rows[3][1]) for k in range(150)] + [(None, rows[3][1])] * 20 + [rows[3]] * 20 + [(0, rows[3][1])] * 3
+    once, often = ({(r.doc_id, r.base_sha256): r.spans for r in pii.find(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows + more))
+    assert "term:" in once[3, brute.sha(",".join(brute.pii_base(rows[3][1])))] and all(often[k] == v for k, v in once.items() if k[0] != 0)
+
+
 @pytest.mark.parametrize(("which", "n", "num"), [("docs", 3, 90), ("docs", 5, 80), ("corpus", 3, 50)])
 def test_join(which, n, num, request):
     df = request.getfixturevalue(which)
