@@ -7,6 +7,10 @@ of min_lines lines around one is compared with those around the others, and
 lines of runs that start at an earlier place, by (id, line), are deleted.
 Runs next to each other make up maximal repeats.
 
+With `min_words`, shorter runs are found as well: those of that many words or
+more, and documents of fewer than min_lines lines as a whole, wherever their
+lines stood before.  These are compared as they are, without fingerprints.
+
 Lines without a word belong to no run and stay.  Null text stays null and has
 no lines.  Rows that share an id but not the text are told apart by the text;
 equal rows count as one place and lose the same lines.  A null id orders after
@@ -30,12 +34,15 @@ from codeloom.llm._features import _LINE
 BROADCAST_IDS = 2_000_000
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each line that has a word."""
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, words) of each line that has a word."""
     lines = _text.words(data, offsets, _LINE)
-    inside = np.concatenate([[0], np.cumsum(_text.SPACE[data])])
-    some = inside[lines.end] > inside[lines.start]
-    return lines.doc[some], lines.hashes[0][some]
+    inside = _text.SPACE[data]
+    begins = np.concatenate([[0], np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))])
+    # A line's first byte may follow another document's last one.
+    words = begins[lines.end] - begins[np.minimum(lines.start + 1, lines.end)] + inside[lines.start]
+    some = words > 0
+    return lines.doc[some], lines.hashes[0][some], words[some]
 
 
 def fingerprints(docs: DataFrame, t: int) -> DataFrame:
@@ -44,7 +51,7 @@ def fingerprints(docs: DataFrame, t: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _text.slices(batch, "text"):
-                doc, h = _lines(data, offsets)
+                doc, h, _ = _lines(data, offsets)
                 of = np.searchsorted(doc, np.arange(b - a + 1))
                 if len(h) < t:
                     continue
@@ -70,16 +77,48 @@ def fingerprints(docs: DataFrame, t: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc_id long, text_key long, place int, context array<long>")
 
 
-def repeated(docs: DataFrame, t: int) -> DataFrame:
-    """(doc_id, text_key, places): numbers of the lines, among those with a word, at which later runs start."""
+def short_runs(docs: DataFrame, t: int, min_words: int) -> DataFrame:
+    """(w, doc_id, text_key, start, size, own): all runs of fewer than t lines; own are those of min_words, and whole documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in _text.slices(batch, "text"):
+                doc, h, words = _lines(data, offsets)
+                of = np.searchsorted(doc, np.arange(b - a + 1))
+                left = np.repeat(of[1:], np.diff(of)) - np.arange(len(h))
+                total = np.concatenate([[0], np.cumsum(words)])
+                for size in range(1, t):
+                    at = np.flatnonzero(left >= size)
+                    if not len(at):
+                        continue
+                    d = doc[at]
+                    own = (total[at + size] - total[at] >= min_words) | (np.diff(of)[d] == size)
+                    w = _text.mix(_text.roll(h, size)[at] + np.uint64(size))
+                    rows = pa.array(d + a)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - of[d]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(own)], ["w", "doc_id", "text_key", "start", "size", "own"])
+
+    return docs.mapInArrow(run, "w long, doc_id long, text_key long, start int, size int, own boolean")
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """The own ones of runs(w, doc_id, text_key, start, size, own) that stand at an earlier place as well."""
+    first = runs.groupBy("w").agg(F.min(F.struct("doc_id", "start", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("w", "first")
+    late = runs.where("own").join(first, "w")
+    return late.where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start"))))
+
+
+def repeated(docs: DataFrame, t: int, min_words: int | None = None) -> DataFrame:
+    """(doc_id, text_key, places): later runs, as t times the number of their first line, among those with a word, and their lines less one."""
     prints = _tables.stored(fingerprints(docs, t))
     shared = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     runs = prints.join(shared, "h").select("doc_id", "text_key", "place", "context", F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("k"))
     runs = runs.select("doc_id", "text_key", (F.col("place") - (t - 1) + F.col("k")).alias("start"), F.slice("context", F.col("k") + 1, t).alias("lines")).where(~F.array_contains("lines", 0))
     runs = _tables.stored(runs.select("doc_id", "text_key", "start", F.xxhash64("lines").alias("w")).distinct())
-    first = runs.groupBy("w").agg(F.min(F.struct("doc_id", "start", "text_key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = runs.join(first, "w").where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start"))))
-    return late.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("places"))
+    late = _later(runs.withColumns({"size": F.lit(t), "own": F.lit(True)}))
+    if min_words is not None:
+        # Written once, as they are read for the first places and for the later ones.
+        late = late.unionByName(_later(_tables.stored(short_runs(docs, t, min_words))))
+    return late.groupBy("doc_id", "text_key").agg(F.collect_set(F.col("start").cast("long") * t + F.col("size") - 1).alias("places"))
 
 
 #: Columns of this operator on their way; columns of docs keep their names.
@@ -98,7 +137,8 @@ def _cut(docs: DataFrame, t: int) -> DataFrame:
             for value, at in zip(batch.column(text), batch.column(places), strict=True):
                 lines = (value.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
                 some = np.array([k for k, line in enumerate(lines) if line.strip(blank)], np.int64)
-                gone = np.unique((np.asarray(at.values)[:, None] + np.arange(t)).reshape(-1))
+                start, more = np.divmod(np.asarray(at.values), t)
+                gone = np.unique(np.concatenate([start[more >= k] + k for k in range(t)]))
                 drop = set(some[gone].tolist())
                 texts.append(b"\n".join(line for k, line in enumerate(lines) if k not in drop).decode("utf-8", "surrogatepass"))
                 counts.append(len(drop))
@@ -108,12 +148,12 @@ def _cut(docs: DataFrame, t: int) -> DataFrame:
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(REMOVED, LongType()))
 
 
-def cut_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """docs with all its columns, text without later repeats of runs of min_lines lines or more, and LINES and REMOVED."""
+def cut_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """docs with all its columns, text without later repeats of runs of min_lines lines or of min_words words or more, and LINES and REMOVED."""
     _tables.bounded_batches(docs.sparkSession)
     keyed = docs.withColumn("text", F.col("text").cast("string"))
     keyed = keyed.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID))).withColumn(KEY, F.xxhash64("text"))
-    late = repeated(keyed.select(F.col(ID).alias("doc_id"), F.col(KEY).alias("text_key"), "text"), min_lines)
+    late = repeated(keyed.select(F.col(ID).alias("doc_id"), F.col(KEY).alias("text_key"), "text"), min_lines, min_words)
     late = _tables.stored(late.select(F.col("doc_id").alias(ID), F.col("text_key").alias(KEY), F.col("places").alias(PLACES)))
     ids = late.select(ID).distinct()
     if late.count() <= BROADCAST_IDS:
@@ -127,6 +167,6 @@ def cut_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     return rest.unionByName(same).unionByName(cut.select(*docs.columns, LINES, REMOVED))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """doc_id, text, n_lines and n_removed of every row of docs."""
-    return cut_lines(docs.select("doc_id", "text"), min_lines).withColumnsRenamed({LINES: "n_lines", REMOVED: "n_removed"})
+    return cut_lines(docs.select("doc_id", "text"), min_lines, min_words).withColumnsRenamed({LINES: "n_lines", REMOVED: "n_removed"})

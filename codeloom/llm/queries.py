@@ -53,7 +53,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,15 @@ def test_lines(which, request):
     assert line_dedup.cut_lines(df).columns[: len(df.columns)] == df.columns
 
 
+def test_lines_short(spark):
+    """Planted passages of one and two lines, and short documents, are runs as well."""
+    long, pair = prose(700, 60), "\n\n".join([prose(701, 6), prose(702, 5)])
+    texts = ["\n".join([prose(710, 8), long, prose(711, 8), pair, "see also", prose(712, 8)]), "\n".join([prose(713, 8), long, "see also"]), "\n".join([prose(714, 8), pair, prose(715, 9)]), "see also", prose(716, 12), prose(716, 12), prose(701, 6), "x " + long]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), min_words=10).collect()}
+    want = {0: (texts[0], 0), 1: ("\n".join([prose(713, 8), "see also"]), 1), 2: ("\n".join([prose(714, 8), "", prose(715, 9)]), 2), 3: ("", 1), 4: (texts[4], 0), 5: ("", 1), 6: ("", 1), 7: (texts[7], 0)}
+    assert got == want
+
+
 ITEMS = [(1, " ".join(PASSAGE.split()[5:25])), (2, " ".join(PASSAGE.split()[20:34])), (3, "mit license"), (4, None), (5, ""), (None, "one"), (3, "mit license"), (6, "spam spam spam spam spam spam spam spam spam spam spam")]
 
 
