@@ -1,29 +1,37 @@
 """N-gram Jaccard join: documents whose sets of word shingles are at least so similar, exactly.
 
 Universe-partition pigeonhole.  Sizes fall into bands; a band's scheme hashes
-the universe of shingles into H + 1 + spare segments, where H is the largest
-symmetric difference that two sets of its sizes may have and still be linked.
-Linked sets agree on at least 1 + spare whole segments, so the hashes of
-whole segments are indexed.  Allocation by cost: a segment whose content is
-frequent is costly to index; a set with at most `spare` such segments leaves
-them out, as one of the agreeing segments is left even then.  What still
-meets in large buckets without being linked goes on to one-deletion
-neighbourhoods: two linked sets that agree on one segment have another one
-that differs in one shingle at most.  All candidates are verified on the
-exact sets.
-
-Copies (equal sets) are one class from the start.  In a bucket every class is
-compared with the smallest first; only classes that this leaves in different
-components are compared with each other, so a large group of near copies
-costs as many comparisons as it has members.  A parity sketch of each set
+the universe of shingles into m segments, a quarter more than H + 1, where H is
+the largest symmetric difference that two sets of its sizes may have and still
+be linked.
+
+Allocation by cost: a segment costs as many rows as share its content, none if
+no other set has it; empty segments cost most.  A set x whose partners differ
+from it by at most H(x) indexes its H(x) + 1 cheapest segments only.  Linked
+sets agree on m - H(x) segments or more, and the cheapest of those is among
+the indexed ones of both: less than H(x) + 1 segments of either can be cheaper,
+as each of these would be one that differs.  A set that has H(x) + 1 segments
+of its own is linked with nothing and leaves here.
+
+In a bucket every class is compared with the smallest first; only classes that
+this leaves in different components are compared with each other.  Where that
+would cost more comparisons than rows, the bucket is split by one-deletion
+neighbourhoods: of H // 2 + 1 segments of the universe, linked sets have one in
+which they differ by one shingle at most, so both emit each of these segments
+whole and less one shingle, and meet there.  All candidates are verified on
+the exact sets.
+
+Copies (equal sets) are one class from the start.  A parity sketch of each set
 bounds the difference of two sets from below, so pairs that are not linked
-hardly ever need their sets.  Components are exact, whatever
-the group sizes: no bucket, partner or row is capped.
+hardly ever need their sets.  Components are exact, whatever the group sizes:
+no bucket, partner or row is capped.
 
 Classes are 64-bit fingerprints of sets of 64-bit shingle hashes.  Null, empty
 and word-less texts have no shingles, no links, and are their own component.
-A text of fewer words than a shingle is one shingle.  A row's component is that
-of its text, also where rows share an id; a null id orders after all others.
+A text of fewer words than a shingle is one shingle; very long texts have more
+segments in proportion.  A row's component is that of its text, also where rows
+share an id; a null id orders after all others.  Empty tables give no rows;
+other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -39,10 +47,10 @@ from codeloom.llm import _tables, _text
 from codeloom.llm._features import keyed
 from codeloom.llm._text import mix
 
-#: Ratio of a band's sizes, and the count from which a segment's content is frequent.
-BAND, FREQUENT = 1.6, 64
-#: Size of a bucket from which one-deletion neighbourhoods cost less than comparing its members.
-LARGE = 4096
+#: Ratio of a band's sizes, and segments beyond H + 1 as a share of H.
+BAND, SPARE = 1.6, 4
+#: Comparisons that cost as much as a row of a one-deletion neighbourhood.
+NEIGHBOUR = 4
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 ODD = [f"o{k}" for k in range(SKETCH)]
@@ -50,21 +58,25 @@ ODD = [f"o{k}" for k in range(SKETCH)]
 REMEMBERED = 1 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are fetched by a shuffled join.
 BROADCAST_IDS = 2_000_000
+#: Schemes that a key can tell apart; 64 bands of ratio 1.6 reach beyond 10**12 shingles.
+SCHEMES = 64
 
 
 def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower ends of size bands, segments, spare segments) for similarity num/den, for sizes up to top."""
-    ends, segments, spares = [1], [], []
+    """(lower ends of size bands, segments, largest differences H) for similarity num/den, for sizes up to top."""
+    ends, segments, most = [1], [], []
     while ends[-1] <= top:
         b = ends[-1]
         end = max(b * den // num + 1, int(b * BAND))
         small = end - 1
-        most = (small + small * den // num) * (den - num) // (den + num)
-        spare = 2 + most // 16 if most else 0
+        h = (small + small * den // num) * (den - num) // (den + num)
         ends.append(end)
-        segments.append(most + 1 + spare if most else 1)
-        spares.append(spare)
-    return np.array(ends), np.array(segments), np.array(spares)
+        # Without a difference only equal sets are linked, and those are one class.
+        segments.append(h + 2 + h // SPARE if h else 1)
+        most.append(h)
+    if len(segments) > SCHEMES:
+        raise ValueError(f"sets of {top} shingles need more than {SCHEMES} bands")
+    return np.array(ends), np.array(segments), np.array(most)
 
 
 class Sets:
@@ -91,8 +103,8 @@ class Sets:
         self.cls = mix(total[self.of[1:]] - total[self.of[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
 
-def _segments(sets: Sets, which: np.ndarray, scheme: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in which, number, content hash) of every segment of the chosen documents under their schemes."""
+def _segments(sets: Sets, which: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in which, number, content hash, shingles) of every segment of the chosen documents, cut into m segments each."""
     first = np.concatenate([[0], np.cumsum(m)])
     size = sets.size[which]
     row = np.repeat(np.arange(len(which)), size)
@@ -102,58 +114,68 @@ def _segments(sets: Sets, which: np.ndarray, scheme: np.ndarray, m: np.ndarray)
     content = np.zeros(first[-1], np.uint64)
     np.add.at(content, place, mix(h ^ np.uint64(0xA0761D6478BD642F)))
     owner = np.repeat(np.arange(len(which)), m)
-    return owner, np.arange(first[-1]) - first[owner], content
+    return owner, np.arange(first[-1]) - first[owner], content, np.bincount(place, minlength=first[-1])
 
 
 def _key(content: np.ndarray, number: np.ndarray, scheme: np.ndarray) -> np.ndarray:
     k = mix(content + mix(number.astype(np.uint64) + (scheme.astype(np.uint64) << np.uint64(40))))
-    return ((k & ~np.uint64(63)) | scheme.astype(np.uint64)).view(np.int64)
+    return ((k & ~np.uint64(SCHEMES - 1)) | scheme.astype(np.uint64)).view(np.int64)
 
 
-def _schemes(size: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, scheme) pairs: a document takes its own band's scheme, and the one below if it has a partner there."""
+def _schemes(size: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, scheme, H of the document there): a document takes its own band's scheme, and the one below if it has a partner there."""
     has = np.flatnonzero(size > 0)
     own = np.searchsorted(ends, size[has], "right") - 1
     below = (own > 0) & ((ends[own] - 1) * den >= size[has] * num)
-    return np.concatenate([has, has[below]]), np.concatenate([own, own[below] - 1])
+    partner = np.concatenate([size[has] * den // num, ends[own[below]] - 1])
+    doc = np.concatenate([has, has[below]])
+    return doc, np.concatenate([own, own[below] - 1]), (size[doc] + partner) * (den - num) // (den + num)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row."""
+def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, cls, own, spare0, spare1, keys) of every row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in _text.slices(batch, "text"):
-                s = Sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.size.astype(np.int64)), pa.array(s.cls)], ["doc_id", "n_shingles", "cls"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls long")
-
-
-def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, cls): the hash of each segment of each class; copies met again in a task are sent once."""
+    keys are the hashes of the segments under the scheme of the own band and of
+    the one below, empty ones only as far as they must be indexed; spare0 and
+    spare1 are how many of these may be left out.  A copy that a task meets
+    again has no keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offsets in _text.slices(batch, "text"):
+            for a, b, data, offsets in _text.slices(batch, "text"):
                 s = Sets(data, offsets, n)
                 ends, m, _ = bands(num, den, int(s.size.max(initial=1)))
-                doc, scheme = _schemes(s.size, ends, num, den)
+                doc, scheme, most = _schemes(s.size, ends, num, den)
+                own = np.zeros(b - a, np.int64)
+                own[s.size > 0] = np.searchsorted(ends, s.size[s.size > 0], "right") - 1
                 new = np.array([c not in seen for c in s.cls.tolist()], bool)
                 new &= np.isin(np.arange(len(s.cls)), np.unique(s.cls, return_index=True)[1])
                 if len(seen) < REMEMBERED:
                     seen.update(s.cls.tolist())
                 use = new[doc] & (m[scheme] > 1)
-                doc, scheme = doc[use], scheme[use]
-                owner, number, content = _segments(s, doc, scheme, m[scheme])
-                yield pa.RecordBatch.from_arrays([pa.array(_key(content, number, scheme[owner])), pa.array(s.cls[doc[owner]])], ["key", "cls"])
-
-    return _texts(docs).select("text").mapInArrow(run, "key long, cls long")
+                doc, scheme, most = doc[use], scheme[use], most[use]
+                owner, number, content, held = _segments(s, doc, m[scheme])
+                # Empty segments cost most: they are indexed only where the others are not enough.
+                empty = held == 0
+                first = np.concatenate([[0], np.cumsum(m[scheme])])[:-1]
+                before = np.concatenate([[0], np.cumsum(empty)])
+                none = _text.per_doc_sum(empty, np.concatenate([first, [len(empty)]]))
+                needed = most + 1 - (m[scheme] - none)
+                keep = ~empty | (before[:-1] - before[first[owner]] < needed[owner])
+                spare = np.zeros((2, b - a), np.int64)
+                spare[(scheme < own[doc]).astype(np.int64), doc] = np.maximum(m[scheme] - 1 - most - none, 0)
+                of, key = doc[owner[keep]], _key(content[keep], number[keep], scheme[owner[keep]])
+                order = np.argsort(of, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(b - a + 1)).astype(np.int32)), pa.array(key[order]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.size.astype(np.int64)), pa.array(s.cls), *(pa.array(x.astype(np.int32)) for x in (own, *spare)), lists], ["doc_id", "n_shingles", "cls", "own", "spare0", "spare1", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls long, own int, spare0 int, spare1 int, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -193,73 +215,80 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _neighbours(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, variant, whole, cls, comp) of members(key, cls, comp): segments, and segments less one shingle, of sets that share the bucket `key`."""
+    """(key, variant, whole, cls, comp) of members(key, cls, comp): segments, and segments less one shingle, of H // 2 + 1 segments of each set.
+
+    Two linked sets differ in H shingles at most, so one of these segments differs by one shingle at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, cls, comp, shingles in zip(*(batch.column(k) for k in range(4)), strict=True):
                 h = np.array(shingles.values, np.int64).view(np.uint64)
-                scheme = key.as_py() & 63
-                _, m, spare = bands(num, den, len(h) * den // num + 1)
-                m, spare = int(m[scheme]), int(spare[scheme])
-                part = ((h >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+                _, _, most = bands(num, den, len(h) * den // num + 1)
+                m = int(most[key.as_py() & (SCHEMES - 1)]) // 2 + 1
+                # Other bits than those of the index: what meets in a bucket has no segment in common here for that.
+                part = ((mix(h) >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
                 mixed = mix(h ^ np.uint64(0xA0761D6478BD642F))
                 content = np.zeros(m, np.uint64)
                 np.add.at(content, part, mixed)
-                # 2 * equal + one-off segments make more than m + spare, so half of the segments and two more hold another close one.
-                used = min(m, m - (m + 1 + spare) // 2 + 2)
-                number = np.arange(used)
-                inside = part < used
-                variant = np.concatenate([mix(content[:used] + mix(number.astype(np.uint64))), mix(content[part[inside]] - mixed[inside] + mix(part[inside].astype(np.uint64)))])
+                number = mix(np.arange(m).astype(np.uint64))
+                variant = np.concatenate([mix(content + number), mix(content[part] - mixed + number[part])])
                 rows = len(variant)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, key.as_py())), pa.array(variant.view(np.int64)), pa.array(np.arange(rows) < used), pa.array(np.full(rows, cls.as_py())), pa.array(np.full(rows, comp.as_py()))], ["key", "variant", "whole", "cls", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, key.as_py())), pa.array(variant.view(np.int64)), pa.array(np.arange(rows) < m), pa.array(np.full(rows, cls.as_py())), pa.array(np.full(rows, comp.as_py()))], ["key", "variant", "whole", "cls", "comp"])
 
     return members.join(sets, "cls").select("key", "cls", "comp", "shingles").mapInArrow(run, "key long, variant long, whole boolean, cls long, comp long")
 
 
-def class_components(docs: DataFrame, n: int, num: int, den: int, ids: DataFrame) -> DataFrame:
-    """(cls, comp): the component of every class of docs that has a link; ids is classes(docs)."""
-    spark = docs.sparkSession
-    sig = signatures(docs, n, num, den)
-    shared = sig.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "low", "n")
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, low, cls): the indexed segments of each class of prints(cls, own, spare0, spare1, keys) that another class shares."""
+    rows = rows.where(F.size("keys") > 0).select("cls", "own", "spare0", "spare1", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
     shared = _tables.stored(shared)
-    _tables.release(spark)
-    members = _tables.stored(sig.join(shared, "key").select("key", "low", "n", "cls").distinct())
+    scheme = F.col("key").bitwiseAND(SCHEMES - 1)
+    members = rows.join(shared, "key").select("cls", scheme.alias("scheme"), F.when(scheme == F.col("own"), F.col("spare0")).otherwise(F.col("spare1")).alias("spare"), F.struct("n", "key").alias("segment"))
+    # The costliest segments that a class may leave out are left out; copies of a class from several tasks are one.
+    segments = F.sort_array(F.collect_set("segment"), asc=False)
+    kept = members.groupBy("cls", "scheme").agg(F.min("spare").alias("spare"), segments.alias("segments")).where(F.size("segments") > F.col("spare"))
+    left = _tables.stored(kept.select("cls", F.explode(F.slice("segments", F.col("spare") + 1, F.size("segments") - F.col("spare"))).alias("segment")).select("segment.key", "cls"))
     _tables.dropped(shared)
-    _tables.release(spark)
-    # Allocation: frequent segments are left out by sets that have few of them.
-    frequent = members.where(F.col("n") > FREQUENT)
-    _, _, spares = bands(num, den, 1 << 40)
-    spare = F.element_at(F.array(*[F.lit(int(x)) for x in spares[:64]]), (F.col("scheme") + 1).cast("int"))
-    costly = frequent.withColumn("scheme", F.col("key").bitwiseAND(63)).groupBy("cls", "scheme").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") <= spare).select("cls", "scheme")
-    left = frequent.withColumn("scheme", F.col("key").bitwiseAND(63)).join(costly, ["cls", "scheme"], "left_anti").select("key", "cls")
-    left = left.unionByName(members.where(F.col("n") <= FREQUENT).select("key", "cls"))
     low = left.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low")
-    members_left = _tables.stored(left.join(low, "key").select("key", "low", "cls"))
-    _tables.dropped(members)
-    # Exact sets of the classes that share a segment with another.
-    chosen = members_left.select("cls").distinct()
-    first = _tables.stored(ids.join(chosen, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    out = _tables.stored(left.join(low, "key").select("key", "low", "cls"))
+    _tables.dropped(left)
+    return out
+
+
+def unconnected(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): candidates among rest(key, cls, comp), classes of one bucket in different components."""
+    sized = rest.join(sets.select("cls", "size"), "cls")
+    open_ = sized.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).where("c0 <> c1")
+    open_ = open_.select("key", (F.expr("n * (n - 1) / 2") > F.col("rows") * NEIGHBOUR).alias("costly"))
+    rest = _tables.stored(rest.join(open_, "key"))
+    sketched = lambda rows: rows.join(sets.select("cls", "size", *ODD), "cls")
+    pair = lambda x, on, but: x.alias("x").join(x.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [F.col("x.comp") != F.col("y.comp"), but, _close("x", "y", num, den)]).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    plain = pair(sketched(rest.where("not costly").drop("costly")), ["key"], F.expr("x.cls < y.cls"))
+    near = pair(sketched(_neighbours(rest.where("costly").drop("costly"), sets, num, den)), ["key", "variant"], F.expr("(x.whole or y.whole) and x.cls <> y.cls"))
+    return plain.unionByName(near).distinct()
+
+
+def class_components(docs: DataFrame, n: int, num: int, den: int, rows: DataFrame) -> DataFrame:
+    """(cls, comp): the component of every class of docs that has a link; rows is prints(docs)."""
+    members = buckets(rows)
+    # Exact sets of the classes that share an indexed segment with another.
+    chosen = members.select("cls").distinct()
+    first = _tables.stored(rows.select("doc_id", "cls").join(chosen, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     some = first.select("doc_id").distinct()
     if first.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
     sets = _sets(_texts(docs).join(some, "doc_id", "left_semi"), n).join(first.select("cls"), "cls", "left_semi")
     sets = _tables.stored(sets.dropDuplicates(["cls"]))
-    star = members_left.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
+    _tables.dropped(first)
+    star = members.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
     found = _tables.stored(verified(star, sets, num, den))
-    _tables.release(spark)
     # Classes of one bucket that are not connected yet, but for the smallest one, which has been compared with all.
     comp = _tables.stored(_tables.components(found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
-    rest = members_left.where("cls <> low").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_ = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
-    rest = _tables.stored(rest.join(open_, "key"))
-    sketched = lambda rows: rows.join(sets.select("cls", "size", *ODD), "cls")
-    pair = lambda x, on, but: x.alias("x").join(x.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [F.col("x.comp") != F.col("y.comp"), but, _close("x", "y", num, den)]).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    more = pair(sketched(rest.where(F.col("n") <= LARGE)), ["key"], F.expr("x.cls < y.cls"))
-    if not rest.where(F.col("n") > LARGE).isEmpty():
-        near = _neighbours(rest.where(F.col("n") > LARGE).drop("n"), sets, num, den)
-        more = more.unionByName(pair(sketched(near), ["key", "variant"], F.expr("(x.whole or y.whole) and x.cls <> y.cls")))
-    late = _tables.stored(verified(more.distinct(), sets, num, den))
+    rest = members.where("cls <> low").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    late = _tables.stored(verified(unconnected(rest, sets, num, den), sets, num, den))
+    _tables.dropped(members, sets, found)
     if late.isEmpty():
         return comp
     # Later links join components that the first ones made.
@@ -273,10 +302,12 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, ids: DataFrame
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles and component_id, the smallest id reachable over links."""
     _tables.bounded_batches(docs.sparkSession)
-    ids = _tables.stored(classes(docs, n))
+    rows = _tables.stored(prints(docs, n, num, den))
+    ids = _tables.stored(rows.select("doc_id", "n_shingles", "cls"))
     low = ids.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     low = _tables.stored(low)
-    comp = class_components(docs, n, num, den, ids)
+    comp = _tables.stored(class_components(docs, n, num, den, rows))
+    _tables.dropped(rows)
     top = low.join(comp, "cls")
     top = top.join(top.groupBy("comp").agg(F.min("rep").alias("component")), "comp")
     ids = ids.join(low, "cls", "left").join(top.select("cls", "component"), "cls", "left")

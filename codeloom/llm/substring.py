@@ -235,13 +235,11 @@ def substring_dedup(docs: DataFrame, block: int = 7, with_text: bool = False) ->
     # A byte of a stored text table stands for about a third of a word.
     parts = _tables.pieces(docs, 3 * SLICE, most=1 << 20)
     hits = _tables.stored(anchors(docs, block, parts))
-    _tables.release(spark)
     ids = hits.select("doc_id")
     if hits.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     some = docs.join(ids, "doc_id", "left_semi")
     late = _tables.stored(repeats(some.join(hits, "doc_id"), block, window, parts))
-    _tables.release(spark)
     ids = late.select("doc_id").distinct()
     if late.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
