@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,33 +10,15 @@ from codeloom import graph, ids
 from codeloom.functions import text as X
 from codeloom.operators import analytics as A
 from codeloom.operators import context as C
+from codeloom.operators import indexes as I
 from codeloom.operators import resolve as R
 from codeloom.operators import revisions as V
 from codeloom.operators import traverse as W
+from codeloom.plans.registry import ORACLE_SQL, QUERIES, query
 from codeloom.sources import extract as E
 from codeloom.sources import files as S
 from codeloom.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, on_graph: bool = False) -> Callable:
-    """Register a query under its function's name; on_graph puts nodes and edges before the SQL."""
-
-    def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            if on_graph:
-                recursive = "recursive " if "--recursive" in body else ""
-                body = f"with {recursive}{graph.GRAPH_SQL.strip()}" + (f",\n{body.removeprefix('with ').replace('--recursive', '')}" if body.startswith("with ") else f"\n{body}")
-            ORACLE_SQL[f.__name__] = body
-        return f
-
-    return put
-
-
 def _g(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return graph.nodes(spark, sf), graph.edges(spark, sf)
 
@@ -125,7 +105,7 @@ r as (select 'S:0' as id union select e.src from r join edges e on e.dst = r.id
 select id from r""", True)
 def closure_dependents(spark, sf):  # noqa: ANN001, ANN201
     edges = graph.edges(spark, sf)
-    return W.closure(edges, spark.createDataFrame([("S:0",)], "id string"), "in", ["CALLS", "IMPORTS", "REFERENCES", "CONTAINS"], 10).select("id")
+    return W.closure(edges, spark.createDataFrame([("S:0",)], "id string"), "in", ["CALLS", "IMPORTS", "REFERENCES", "CONTAINS"]).select("id")
 
 
 @query("""with --recursive
@@ -223,12 +203,6 @@ def resolve_verdicts(spark, sf):  # noqa: ANN001, ANN201
     return A.resolve_verdicts(_resolved(spark, sf))
 
 
-@query("""with d as (select id, sha256('fixture:' || lower(path) || ':' || id) as h from nodes) select substr(h, 1, 4) as prefix, count(*) as n, min(id) as first_id from d group by 1 having count(*) > 1""", True)
-def resolve_prefix(spark, sf):  # noqa: ANN001, ANN201
-    det = graph.nodes(spark, sf).select("id", ids.node_id(F.lit("fixture"), F.col("path"), F.col("id")).alias("det_id"))
-    return det.groupBy(F.substring("det_id", 1, 4).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
-
-
 @query("""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), q as (select v as q from e where vec_id = 0)
 select vec_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) as score from e, q order by score desc, vec_id limit 10""")
 def semantic_topk(spark, sf):  # noqa: ANN001, ANN201
@@ -350,7 +324,7 @@ def region_paging(spark, sf):  # noqa: ANN001, ANN201
 @query()
 def region_map(spark, sf):  # noqa: ANN001, ANN201
     nodes, edges = _g(spark, sf)
-    return A.communities(A.coupling(edges, _file_of(nodes, edges)), 4)
+    return A.communities(A.coupling(edges, _file_of(nodes, edges)))
 
 
 @query(f"""with {_SMELL_SQL}, s as (select src as region, f.id, f.chunks, case when chunks >= 20 or fan >= 15 then 1 else 0 end as smelly from f join edges e on e.dst = f.id and e.predicate = 'IN_REGION'),
@@ -446,11 +420,6 @@ def conflicts(spark, sf):  # noqa: ANN001, ANN201
     return V.conflicts(graph.table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("field"), "value"))
 
 
-@query("select l_orderkey as okey, l_partkey as pkey, min(l_linenumber) as seq, max(l_quantity) as attrs from lineitem group by 1, 2 having count(*) = 1")
-def edge_dedupe_single(spark, sf):  # noqa: ANN001, ANN201
-    return graph.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("okey"), F.col("l_partkey").alias("pkey")).agg(F.min("l_linenumber").alias("seq"), F.max("l_quantity").alias("attrs"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-
-
 @query("select event_type || ':' || user_id as edge_id, min(event_id) as seq, arg_max(value, event_id) as attrs from events group by 1")
 def edge_dedupe_last_attrs(spark, sf):  # noqa: ANN001, ANN201
     e = graph.table(spark, sf, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("edge_id"), F.col("event_id").alias("seq"), F.col("value").alias("attrs"))
@@ -509,10 +478,22 @@ def line_range(spark, sf):  # noqa: ANN001, ANN201
     return graph.table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n", -1), 2, 3), "\n").alias("lines"))
 
 
-@query("""select id, case when regexp_matches('/' || path, '(?i)/tests?/') then 'test' when regexp_matches(path, '7$') then 'test' else 'production' end as role from (select 'C:' || c_custkey as id, case when c_mktsegment = 'BUILDING' then 'tests/' else 'src/' end || c_name as path from customer) where not regexp_matches(path, '7$')""")
+_ROLE_PATHS = """'/' || case p_partkey % 8 when 0 then 'tests/' when 1 then 'src/fixtures/' when 2 then 'vendor/' when 3 then 'scripts/' when 4 then 'gen/' when 5 then 'src/' when 6 then 'app.Tests/' else '' end
+ || case p_partkey % 9 when 0 then 'a.test.ts' when 1 then 'b_spec.rb' when 2 then 'fake_c.py' when 3 then 'd.pb.go' when 4 then 'Makefile' when 5 then 'vite.config.js' when 6 then 'UserTests.cs' when 7 then 'seed.sql' else 'main.go' end"""
+_ROLE_SQL = f"""p as (select p_partkey as k, p_partkey % 8 as d, p_partkey % 9 as f, p_partkey % 5 as s from part),
+r as (select k, case when d in (0, 6) then 0.8 else 0.0 end + case when f in (0, 1, 6) then 0.9 else 0.0 end + case when s = 1 then 0.5 else 0.0 end as test, case when d = 1 then 0.8 else 0.0 end + case when f in (2, 7) then 0.6 else 0.0 end as fixture,
+ case when d = 4 or f = 3 then 0.7 else 0.0 end + case when s = 2 then 0.9 else 0.0 end as generated, case when d = 2 then 0.9 else 0.0 end as external, case when d = 3 then 0.6 else 0.0 end + case when f in (4, 5) then 0.7 else 0.0 end as tooling,
+ list_filter([case d when 0 then 'path:tests/' when 6 then 'path:.Tests/' end, case f when 0 then 'filename:.test.' when 1 then 'filename:_spec.' when 6 then 'filename:Test(s).' end, case when s = 1 then 'import:python_test_framework' end, case when d = 1 then 'path:fixtures/' end, case f when 2 then 'filename:fake' when 7 then 'filename:seed' end,
+  case when d = 4 then 'path:gen/' when f = 3 then 'filename:.pb. (protobuf)' end, case when s = 2 then 'source_marker:code_generated' end, case when d = 2 then 'path:vendor/' end, case when d = 3 then 'path:scripts/' end, case f when 4 then 'filename:Makefile' when 5 then 'filename:.config.' end], lambda x: x is not null) as signals from p),
+m as (select *, greatest(test, fixture, generated, external, tooling) as best from r)"""
+
+
+@query(f"""with {_ROLE_SQL} select k, case when best < 0.5 then 'production' when test = best then 'test' when fixture = best then 'fixture' when generated = best then 'generated' when external = best then 'external' else 'tooling' end as role,
+ case when best < 0.5 then 0.5 else round(least(best, 1.0), 2) end::double as confidence, case when best < 0.5 then '' else array_to_string(signals, ',') end as signals from m""")
 def file_roles(spark, sf):  # noqa: ANN001, ANN201
-    c = graph.table(spark, sf, "customer").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("/"), F.when(F.col("c_mktsegment") == "BUILDING", "tests/").otherwise("src/"), "c_name").alias("path"))
-    return c.where("not path like '%7'").select("id", S.file_role(F.col("path"))["role"].alias("role"))
+    rows = graph.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_ROLE_PATHS).alias("path"), F.when(F.col("p_partkey") % 5 == 1, "import unittest").when(F.col("p_partkey") % 5 == 2, "x\n// Code generated by y").otherwise("plain").alias("source"))
+    role = S.file_role(F.col("path"), F.col("source"))
+    return rows.select("k", role["role"].alias("role"), role["confidence"].alias("confidence"), F.array_join(role["signals"], ",").alias("signals"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as link from pages")
@@ -525,9 +506,10 @@ def page_hosts(spark, sf):  # noqa: ANN001, ANN201
     return graph.table(spark, sf, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select unnest(json_keys(props)) as name, count(*) as n from events group by 1")
+@query("select user_id || '.json' as path, unnest(json_keys(min(props))) as name from events group by user_id")
 def json_keys(spark, sf):  # noqa: ANN001, ANN201
-    return graph.table(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    files = graph.table(spark, sf, "events").groupBy("user_id").agg(F.min("props").alias("content")).select(F.concat(F.col("user_id").cast("string"), F.lit(".json")).alias("path"), F.lit("json").alias("language"), "content")
+    return E.extract(files).where("row = 'entity' and kind = 'config_entry'").select("path", "name")
 
 
 @query("""select p_partkey, array_to_string(list_sort(list_distinct(['a' || p_size, 'b.' || lower(p_brand[1:5])])), ',') as refs from part""")
@@ -537,7 +519,9 @@ def sql_table_refs(spark, sf):  # noqa: ANN001, ANN201
     return p.select("p_partkey", F.array_join(E.sql_table_refs(stmt), ",").alias("refs"))
 
 
-@query()
+@query("""with t as (select url as path, unnest(regexp_extract_all(html, '<(a|link|script|img|iframe|source|use)[^>]*>')) as tag from pages),
+l as (select path, case when regexp_matches(tag, '^<(script|img|iframe|source)') then regexp_extract(tag, ' src="([^"]+)"', 1) else regexp_extract(tag, ' href="([^"]+)"', 1) end as target from t)
+select distinct path, target, 'IMPORTS' as predicate from l where target <> ''""")
 def html_extract(spark, sf):  # noqa: ANN001, ANN201
     pages = graph.table(spark, sf, "pages").select(F.col("url").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
     return E.extract(pages).where("row = 'relationship'").select("path", "target", "predicate")
@@ -546,47 +530,6 @@ def html_extract(spark, sf):  # noqa: ANN001, ANN201
 # ---- resolution ---------------------------------------------------------------------------------------------------
 
 
-_LANGS = ["typescript", "javascript", "python", "java", "c", "cpp"]
-_PARSE_SQL = """f as (select p_partkey as k, p_brand as path, p_name as name, list_extract(['typescript', 'javascript', 'python', 'java', 'c', 'cpp'], cast(p_partkey % 6 + 1 as integer)) as lang from part),
-n as (select max(k) + 1 as n from f),
-rel as (select a.k as rel_id, a.path, b.name from f a, n join f b on b.k = (a.k * 7) % n.n),
-defs as (select distinct name, path from f),
-com as (select name from defs group by name having count(distinct path) >= 5)"""
-
-
-def _parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = graph.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"))
-    n = p.agg((F.max("k") + 1).alias("n"))
-    rel = p.crossJoin(F.broadcast(n)).select(F.col("k").alias("rel_id"), "path", (F.col("k") * 7 % F.col("n")).alias("to")).join(p.select(F.col("k").alias("to"), "name"), "to").select("rel_id", "path", "name")  # n is one row
-    return p, rel
-
-
-@query(f"with {_PARSE_SQL} select name from com")
-def commodity_gate(spark, sf):  # noqa: ANN001, ANN201
-    p, _ = _parsed(spark, sf)
-    return R.commodity(p.select("path", "name"))
-
-
-@query(f"""with {_PARSE_SQL}, imp as (select distinct path, 'Brand#' || (cast(substr(path, 7) as integer) % 5 + 1) || '1' as target from f),
-t1 as (select rel_id from rel join defs using (name, path)), r2 as (select * from rel where rel_id not in (select rel_id from t1)),
-c2 as (select distinct rel_id, d.path as target from r2 join imp on imp.path = r2.path join defs d on d.name = r2.name and d.path = imp.target where d.path <> r2.path),
-e2 as (select rel_id, min(target) as target from c2 group by 1 having count(*) = 1), r3 as (select * from r2 where rel_id not in (select rel_id from e2)),
-g as (select rel_id from r3 where name in (select name from com)), r4 as (select * from r3 where rel_id not in (select rel_id from g)),
-imp2 as (select distinct a.path, b.target from imp a join imp b on a.target = b.path),
-c25 as (select distinct rel_id, d.path as target from r4 join imp2 on imp2.path = r4.path join defs d on d.name = r4.name and d.path = imp2.target where d.path <> r4.path),
-e25 as (select rel_id, min(target) as target from c25 group by 1 having count(*) = 1), r5 as (select * from r4 where rel_id not in (select rel_id from e25)),
-c3 as (select distinct rel_id, d.path as target from r5 join defs d on d.name = r5.name where d.path <> r5.path), e3 as (select rel_id, min(target) as target from c3 group by 1 having count(*) = 1)
-select rel_id, '1-same-file' as tier, 'stop' as verdict, null as target, null::double as confidence from t1 union all select rel_id, '2-import', 'emit', target, 0.9 from e2 union all select rel_id, 'gate-commodity', 'stop', null, null from g
-union all select rel_id, '2.5-transitive', 'emit', target, 0.8 from e25 union all select rel_id, '3-global', 'emit', target, 0.5 from e3""")
-def tier_cascade(spark, sf):  # noqa: ANN001, ANN201
-    p, rel = _parsed(spark, sf)
-    files = p.select("path").distinct().select("path", F.lit("typescript").alias("language"))
-    entities = p.select("path", "name", F.lit(None).cast("string").alias("container"))
-    imports = files.select("path", F.concat(F.lit("Brand#"), (F.substring("path", 7, 9).cast("int") % 5 + 1).cast("string"), F.lit("1")).alias("target"))
-    rel = rel.select("rel_id", "path", "name", F.lit(None).cast("string").alias("qualifier"), F.lit("CALLS").alias("predicate"))
-    return R.cascade(files, entities, rel, imports)
-
-
 @query("""with s as (select l_orderkey as path, 'item' || l_linenumber || '.' || l_partkey as name, l_linenumber * 3 as a, l_linenumber * 3 + l_partkey % 20 as b from lineitem),
 l as (select o_orderkey as path, 10 as line from orders) select l.path, line, arg_min(name, (b - a) * 1000000 + a * 1000) as name from l join (select path, min(name) as name, a, b from s group by path, a, b) s on s.path = l.path and line between a and b group by 1, 2""")
 def enclosing_scope(spark, sf):  # noqa: ANN001, ANN201
@@ -594,16 +537,6 @@ def enclosing_scope(spark, sf):  # noqa: ANN001, ANN201
     return R.enclosing(graph.table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.lit(10).alias("line")), s)
 
 
-@query("""with --recursive
-r as (select distinct c.c_nationkey as src, s.s_nationkey as dst from customer c join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier s on s_suppkey = l_suppkey where o_orderkey % 97 = 0
- union select r.src, e.dst from r join (select distinct c.c_nationkey as src, s.s_nationkey as dst from customer c join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier s on s_suppkey = l_suppkey where o_orderkey % 97 = 0) e on e.src = r.dst)
-select src, dst from r""".replace("with --recursive", "with recursive"))
-def repo_closure(spark, sf):  # noqa: ANN001, ANN201
-    t = lambda n: graph.table(spark, sf, n)
-    rows = t("lineitem").join(t("orders").where("o_orderkey % 97 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return R.repo_closure(rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
-
-
 @query("""select 'C:' || c_custkey as src, 'S:' || l_suppkey as dst from (select distinct c_custkey, c_nationkey, l_suppkey from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey) join supplier on s_suppkey = l_suppkey
 where c_nationkey = s_nationkey or (c_nationkey < s_nationkey and s_nationkey - c_nationkey <= 3)""")
 def cross_repo_gate(spark, sf):  # noqa: ANN001, ANN201
@@ -615,16 +548,9 @@ def cross_repo_gate(spark, sf):  # noqa: ANN001, ANN201
     return R.gate_cross_repo(imports, repo, allowed).select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
 
 
-@query("""select n, count(*) as files from (select len(string_split(path, '/')) - 1 as n from nodes where kind = 'file') group by 1""", True)
+@query("""with d as (select path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') as parts from nodes where kind = 'file') select distinct array_to_string(parts[-k:], '.') as suffix, path from (select path, parts, unnest(range(1, least(len(parts), 8) + 1)) as k from d)""", True)
 def suffix_index(spark, sf):  # noqa: ANN001, ANN201
-    return R.suffix_index(graph.nodes(spark, sf).where("kind = 'file'").select("path")).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("files"))
-
-
-@query("""select doc_id, substr(h1, 1, 8) as first_id, substr(h2, 1, 8) as legacy_id from (select doc_id, sha256('ws:' || lower(source) || ':' || hash || ':v1') as h1, sha256('ws:' || source || ':' || hash) as h2 from (select doc_id, source, sha256(coalesce(text, '')) as hash from documents))""")
-def replaces_chain(spark, sf):  # noqa: ANN001, ANN201
-    d = graph.table(spark, sf, "documents")
-    chain = V.replaces(F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256), ["v1", "v2"], F.lit("ws"))
-    return d.select("doc_id", F.substring(chain[0], 1, 8).alias("first_id"), F.substring(chain[2], 1, 8).alias("legacy_id"))
+    return I.suffix_index(graph.nodes(spark, sf).where("kind = 'file'").select("path"))
 
 
 # ---- context, stitching, savings, output --------------------------------------------------------------------------
@@ -692,3 +618,7 @@ def stream_counts(spark, sf):  # noqa: ANN001, ANN201
     q = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+# Further areas register their queries when they are imported.
+from codeloom.plans import graphs, resolution, sources  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.tables import stored
 
 #: Fixed values.
 CONTAINERS = ("class", "object", "trait", "interface", "module", "file")
@@ -23,7 +24,9 @@ FLOW_WORDS = {
 def rank_by(edges: DataFrame, nodes: DataFrame, predicates: list[str], kind: str, n: int = 10, of: str = "dst") -> DataFrame:
     """Top n nodes of a kind by distinct neighbours; ties by id."""
     other = "src" if of == "dst" else "dst"
-    degree = edges.where(F.col("predicate").isin(predicates)).groupBy(F.col(of).alias("id")).agg(F.count_distinct(other).alias("score"))
+    pairs = edges.where(F.col("predicate").isin(predicates)).select(F.col(of).alias("id"), F.col(other).alias("other"))
+    pairs = pairs if len(predicates) == 1 else pairs.distinct()  # edges of one predicate are distinct already
+    degree = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
     return degree.join(nodes.where(F.col("kind") == kind).select("id", "name"), "id").orderBy(F.desc("score"), "id").limit(n).select("id", "name", "score")
 
 
@@ -44,13 +47,26 @@ def role_filter(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.where(~other | (F.col("shown") == 0)).withColumn("hidden", F.when(F.col("shown") > 0, F.col("tests")).otherwise(F.lit(0))).drop("shown", "tests")
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, callers, importers, dependents, callees, members, container_id): distinct neighbours of every node by kind of edge.
+
+    An edge counts once at either end: both ends of every (src, dst) go into one
+    group-by of the pair and then one of the node, with conditional counts, so
+    no edge is multiplied by the number of counts.
+    """
+    call, imp, con = F.col("predicate").isin("CALLS", "REFERENCES"), F.col("predicate") == "IMPORTS", F.col("predicate") == "CONTAINS"
+    pair = edges.groupBy("src", "dst").agg(F.max(call).alias("call"), F.max(imp).alias("imp"), F.max(con).alias("con"))
+    ends = pair.select("call", "imp", "con", F.explode(F.array(F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(True).alias("into")), F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(False).alias("into")))).alias("e"))
+    into, out = F.col("e.into"), ~F.col("e.into")
+    return ends.groupBy(F.col("e.id").alias("id")).agg(
+        F.count_if(into & F.col("call")).alias("callers"), F.count_if(into & F.col("imp")).alias("importers"), F.count_if(into & (F.col("call") | F.col("imp"))).alias("dependents"), F.count_if(out & F.col("call")).alias("callees"), F.count_if(out & F.col("con")).alias("members"),
+        F.min(F.when(into & F.col("con"), F.col("e.other"))).alias("container_id"),
+    )
+
+
 def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per node: callers, callees, dependents, importers, members, and container, computed for all at once."""
-    count = lambda cond, other: F.count_distinct(F.when(cond, F.col(other)))
-    call, imp, con = F.col("predicate").isin("CALLS", "REFERENCES"), F.col("predicate") == "IMPORTS", F.col("predicate") == "CONTAINS"
-    inbound = edges.groupBy(F.col("dst").alias("id")).agg(count(call, "src").alias("callers"), count(imp, "src").alias("importers"), count(call | imp, "src").alias("dependents"), F.min(F.when(con, F.col("src"))).alias("container_id"))
-    outbound = edges.groupBy(F.col("src").alias("id")).agg(count(call, "dst").alias("callees"), count(con, "dst").alias("members"))
-    out = nodes.join(inbound, "id", "left").join(outbound, "id", "left")
+    out = nodes.join(degrees(edges), "id", "left")
     for c in ("callers", "importers", "dependents", "callees", "members"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
     parent = nodes.select(F.col("id").alias("container_id"), F.col("name").alias("container_name"), F.col("kind").alias("container_kind"))
@@ -136,7 +152,8 @@ def smells(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("file",
     """(id, smell, confidence): orphans, god modules and weak components.  Confidences are this engine's own."""
     both = edges.where("predicate <> 'IN_REGION'").select(F.col("src").alias("id"), F.col("dst").alias("other"), (F.col("predicate") == "CONTAINS").alias("member"))
     both = both.unionByName(edges.where("predicate not in ('IN_REGION', 'CONTAINS')").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("member")))
-    degree = both.groupBy("id").agg(F.count_distinct(F.when(~F.col("member"), F.col("other"))).alias("fan"), F.count_distinct(F.when(F.col("member"), F.col("other"))).alias("chunks"))
+    once = both.groupBy("id", "other").agg(F.max(~F.col("member")).alias("linked"), F.max("member").alias("member"))
+    degree = once.groupBy("id").agg(F.count_if("linked").alias("fan"), F.count_if("member").alias("chunks"))
     f = nodes.where(F.col("kind").isin(*kinds)).select("id", "kind").join(degree, "id", "left").select("id", F.coalesce("fan", F.lit(0)).alias("fan"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     god = (F.col("chunks") >= chunks) | (F.col("fan") >= fan)
     god_confidence = F.least(F.lit(1.0), F.lit(0.5) + 0.25 * (F.col("chunks") >= chunks).cast("int") + 0.25 * (F.col("fan") >= fan).cast("int"))
@@ -156,29 +173,39 @@ def coupling(edges: DataFrame, file_of: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.sum("w").alias("weight"))
 
 
-def communities(links: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
-    """(id, community): synchronous modularity moves on links(a, b, weight).
+def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, community): modularity moves on links(a, b, weight), as long as they raise modularity.
 
     In each round a node moves to the neighbouring community with the largest
     gain, weight to it less resolution * degree * community degree / 2m; of
-    equal ones to the least.  Only every other half of the nodes, by hash, may
-    move in a round, so that neighbours don't swap places for ever.
+    equal ones it stays, or takes the least.  Only every other half of the nodes,
+    by hash, may move in a round, so that neighbours don't swap places for ever.
+    When neither half raises modularity any more, the best state stands.
     """
-    from codeloom.operators.traverse import _cut
-
-    both = _cut(links.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
-    degree = _cut(both.groupBy("id").agg(F.sum("weight").alias("k")))
+    both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
+    degree = stored(both.groupBy("id").agg(F.sum("weight").alias("k")))
     total = degree.agg(F.sum("k")).first()[0] or 1.0
-    now = _cut(degree.select("id", F.col("id").alias("community")))
-    for r in range(rounds):
+    now = best = stored(degree.select("id", F.col("id").alias("community")))
+    top, since, r = None, 0, 0
+    while True:
         size = now.join(degree, "id").groupBy("community").agg(F.sum("k").alias("ck"))
-        near = both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        gain = near.join(size, "community").join(degree, "id").join(now.select("id", F.col("community").alias("own")), "id")
+        near = stored(both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w")))
+        own = now.select("id", F.col("community").alias("own"))
+        inside = near.join(own, "id").where("community = own").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        spread = size.agg(F.coalesce(F.sum(F.col("ck") * F.col("ck")), F.lit(0.0))).first()[0]
+        modularity = inside / total - resolution * spread / total / total
+        if top is None or modularity > top + 1e-9:
+            top, since, best = modularity, 0, now
+        else:
+            since += 1
+            if since == 2:
+                return best
+        gain = near.join(own, "id").select("id", "community", "w", "own").unionByName(own.select("id", F.col("own").alias("community"), F.lit(0.0).alias("w"), "own"))
+        gain = gain.groupBy("id", "community", "own").agg(F.sum("w").alias("w")).join(size, "community").join(degree, "id")
         gain = gain.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * (F.col("ck") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total, 9))
-        best = gain.groupBy("id").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("own"))).alias("to"))
-        moved = now.join(best, "id", "left").select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"))
-        now = _cut(moved)
-    return now
+        to = gain.groupBy("id", "own").agg(F.min_by("community", F.struct(-F.col("gain"), F.col("community") != F.col("own"), "community")).alias("to"))
+        now = stored(to.select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2, F.col("to")).otherwise(F.col("own")).alias("community")))
+        r += 1
 
 
 def region_scores(links: DataFrame, member: DataFrame) -> DataFrame:
@@ -205,7 +232,7 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
 def resolve_scores(candidates: DataFrame, symbols: DataFrame, want_kind: str | None = None, want_path: str | None = None) -> DataFrame:
     """candidates(id, kind, name, path) for each of symbols(symbol) that their name contains, with a score: lower is better."""
     name, sym, kind = F.lower("name"), F.lower("symbol"), F.lower("kind")
-    rows = candidates.join(F.broadcast(symbols), F.contains(F.lower("name"), F.lower("symbol")))  # symbols are those of one request
+    rows = candidates.join(symbols, F.contains(F.lower("name"), F.lower("symbol")))  # symbols are those of one request
     score = F.when(name == sym, 0).when(F.startswith(name, sym), 15).otherwise(30)
     if want_kind:
         score = score - F.when(kind == want_kind.lower(), 5).otherwise(0)
@@ -254,3 +281,176 @@ def semantic_topk(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 6)
     return rows.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+#: Version of the rules behind a stored smell.
+SMELL_VERSION = "smell_v1"
+
+
+def smell_claims(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, entity, field, value, confidence, inference_version) of found smells(id, smell, confidence): claims that can be stored and listed."""
+    from codeloom import ids
+
+    rows = found.join(names.select("id", "name"), "id", "left")
+    return rows.select(ids.uuid_form(F.concat(F.lit("smell:"), "id", F.lit(":"), "smell")).alias("id"), F.col("id").alias("entity"), F.lit("smell").alias("field"), F.col("smell").alias("value"), "confidence", F.lit(SMELL_VERSION).alias("inference_version"))
+
+
+def list_smells(claims: DataFrame, smell: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored smells of this version, the surest first."""
+    rows = claims.where((F.col("field") == "smell") & (F.col("inference_version") == SMELL_VERSION))
+    rows = (rows if smell is None else rows.where(F.col("value") == smell)).orderBy(F.desc("confidence"), "entity", "value")
+    return rows if limit is None else rows.limit(limit)
+
+
+def levels(links: DataFrame, files: DataFrame, resolutions: tuple[float, ...] = (1.0, 0.5, 0.1)) -> DataFrame:
+    """(level, id, region): a map of three levels, modules of files, subsystems of modules, systems of subsystems.
+
+    Each level clusters the graph of the level below, whose nodes are its regions
+    and whose links are the sums of theirs, at a lower resolution; files without
+    links are a region of their own.
+    """
+    member = stored(files.select(F.col("id"), F.col("id").alias("region")))
+    graph, out = links, []
+    for level, resolution in enumerate(resolutions, 1):
+        found = communities(graph, resolution)
+        member = stored(member.join(found.select(F.col("id").alias("region"), "community"), "region", "left").select("id", F.coalesce("community", "region").alias("region")))
+        out.append(member.select(F.lit(level).alias("level"), "id", "region"))
+        to = lambda c, r: found.select(F.col("id").alias(c), F.col("community").alias(r))  # noqa: B023, E731
+        graph = stored(graph.join(to("a", "ra"), "a").join(to("b", "rb"), "b").where("ra <> rb").groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.sum("weight").alias("weight")))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every
+
+
+def region_nodes(member: DataFrame) -> DataFrame:
+    """(level, region, kind, files, parent): regions of levels(), each within the region of the next level that holds its files."""
+    kind = F.element_at(F.array(F.lit("module"), F.lit("subsystem"), F.lit("system")), F.col("level"))
+    size = member.groupBy("level", "region").agg(F.count(F.lit(1)).alias("files"), F.min("id").alias("one"))
+    above = member.select((F.col("level") - 1).alias("level"), F.col("id").alias("one"), F.col("region").alias("parent"))
+    return size.join(above, ["level", "one"], "left").select("level", "region", kind.alias("kind"), "files", "parent")
+
+
+def region_edges(member: DataFrame) -> DataFrame:
+    """IN_REGION edges of levels(), from the region to what it holds: files below modules, regions below those of the next level."""
+    files = member.where("level = 1").select(F.concat(F.lit("1:"), "region").alias("src"), F.col("id").alias("dst"))
+    regions = region_nodes(member).where("parent is not null")
+    held = regions.select(F.concat((F.col("level") + 1).cast("string"), F.lit(":"), "parent").alias("src"), F.concat(F.col("level").cast("string"), F.lit(":"), "region").alias("dst"))
+    return files.unionByName(held).withColumn("predicate", F.lit("IN_REGION"))
+
+
+def _map_order(sort: str) -> list[Column]:
+    by = {"alpha": [F.col("label"), F.desc("files"), F.desc("confidence")], "confidence": [F.desc("confidence"), F.desc("files"), F.col("label")]}
+    return [*by.get(sort, [F.desc("files"), F.desc("confidence"), F.col("label")]), F.col("id")]
+
+
+def map_view(regions: DataFrame, level: int | None = None, min_confidence: float = 0.0, sort: str = "importance", max_items: int = 10) -> DataFrame:
+    """regions(id, label, level, files, confidence, ..) of one level and of enough confidence, in order, up to max_items."""
+    rows = regions if level is None else regions.where(F.col("level") == level)
+    rows = rows.where(F.col("confidence") >= min_confidence) if min_confidence > 0 else rows
+    return rows.orderBy(*_map_order(sort)).limit(max_items)
+
+
+def region_tree(regions: DataFrame, sort: str = "importance", max_items: int = 10) -> DataFrame:
+    """(id, parent, rn, hidden) of regions(id, parent, label, kind, files, confidence): the first children of every region, and how many its parent hides.
+
+    A region without a parent among the regions, or of kind system, is a root.
+    """
+    known = regions.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    rows = regions.join(known, "parent", "left").withColumn("parent", F.when((F.col("kind") == "system") | F.col("known").isNull(), F.lit(None)).otherwise(F.col("parent")))
+    w = Window.partitionBy("parent")
+    rows = rows.withColumn("rn", F.row_number().over(w.orderBy(*_map_order(sort)))).withColumn("hidden", F.greatest(F.count(F.lit(1)).over(w) - max_items, F.lit(0)))
+    return rows.where(F.col("rn") <= max_items).select("id", "parent", "rn", "hidden")
+
+
+#: Bounds of a map's effort: directories squared, and edges (this engine's own).
+MAP_RISKS = (("high", 25_000_000, 20_000_000), ("medium", 1_000_000, 2_000_000))
+
+
+def map_preflight(files: DataFrame, symbols_per_file: int = 20, edges_per_symbol: int = 4) -> DataFrame:
+    """One row on what a map of files(path) will cost: files, directories, their square, estimates of symbols and edges, risk and mode."""
+    counts = files.agg(F.count(F.lit(1)).alias("files"), F.count_distinct(X.dirname(F.col("path"))).alias("directories"))
+    rows = counts.withColumn("directory_quadratic", F.col("directories") * F.col("directories")).withColumn("symbols", F.col("files") * symbols_per_file).withColumn("edges", F.col("files") * symbols_per_file * edges_per_symbol)
+    risk = F.lit("low")
+    for name, square, edges in reversed(MAP_RISKS):
+        risk = F.when((F.col("directory_quadratic") >= square) | (F.col("edges") >= edges), name).otherwise(risk)
+    return rows.withColumn("risk", risk).withColumn("mode", F.when(F.col("risk") == "high", "coarse").otherwise("full"))
+
+
+def scoped_region(regions: DataFrame, target: str, pick: int | None = None, most: int = 5) -> DataFrame:
+    """(id, label, parent, role, rn) of regions(id, label, parent, level, files, confidence): the target by its label, its parent and its first children.
+
+    A label that several regions have needs a pick, counted from 1 by level and id.
+    """
+    hits = regions.where(F.lower("label") == target.lower()).withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("label")).orderBy(F.desc("level"), "id")))
+    chosen = hits.where(F.col("rn") == (pick or 1))
+    parent = regions.join(chosen.select(F.col("parent").alias("id")), "id").select("id", "label", "parent", F.lit("parent").alias("role"), F.lit(1).alias("rn"))
+    order = Window.partitionBy("parent").orderBy(F.desc("files"), F.desc("confidence"), "label", "id")
+    children = regions.join(chosen.select(F.col("id").alias("parent")), "parent").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("id", "label", "parent", F.lit("child").alias("role"), "rn")
+    return chosen.select("id", "label", "parent", F.lit("target").alias("role"), F.lit(1).alias("rn")).unionByName(parent).unionByName(children)
+
+
+def explain_regions(regions: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, explanation, health, why) of regions(id, label, kind, parent_label, files, confidence) with their scores(id, health, band), in this engine's words."""
+    rows = regions.join(scores, "id", "left")
+    sure = F.when(F.col("confidence") >= 0.75, "well-defined").when(F.col("confidence") >= 0.5, "moderately defined").otherwise("fuzzy")
+    where = F.when(F.col("parent_label").isNotNull(), F.concat(F.lit(" in "), "parent_label")).otherwise(F.lit(""))
+    text = F.concat("label", F.lit(" is a "), sure, F.lit(" "), "kind", F.lit(" of "), F.col("files").cast("string"), F.when(F.col("files") == 1, " file").otherwise(" files"), where, F.lit("."))
+    why = F.when(F.col("band").isNull(), "Not scored yet.").when(F.col("band") == "good", "Healthy.").when(F.col("band") == "fair", "Mostly healthy.").when(F.col("band") == "weak", "Shows signs of strain.").otherwise("In poor health.")
+    return rows.select("id", text.alias("explanation"), "health", why.alias("why"))
+
+
+def detailed_regions(regions: DataFrame, edges: DataFrame, offset: int = 0, limit: int = 20, most_edges: int = 50, only: list[str] | None = None) -> DataFrame:
+    """A page of regions(id, files, ..) with their first edges(a, b, weight) to other regions, and how many there are in all."""
+    rows = regions if only is None else regions.where(F.col("id").isin(only))
+    rows = page(rows, [F.desc("files"), F.col("id")], offset, min(limit, 200))
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    placed = both.join(rows.select("id"), "id").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "other")))
+    held = placed.groupBy("id").agg(F.count(F.lit(1)).alias("edges_total"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most_edges, F.struct("rn", "other", "weight")))), lambda e: F.struct(e["other"].alias("other"), e["weight"].alias("weight"))).alias("edges"))
+    return rows.join(held, "id", "left").withColumn("edges_total", F.coalesce("edges_total", F.lit(0)))
+
+
+def health_checks(nodes: DataFrame, edges: DataFrame, conflicts: DataFrame, schema_version: int | None, expected: int) -> DataFrame:
+    """(check, ok, warn, detail): nodes, edges, no conflicts, and the schema that this engine writes; a schema that is not reported passes."""
+    count = lambda df, name, ok, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), ok(F.col("n")).alias("ok"), F.lit(False).alias("warn"), F.concat(F.col("n").cast("string"), F.lit(f" {what}")).alias("detail"))
+    spark = nodes.sparkSession
+    same = schema_version is None or schema_version == expected
+    schema = spark.range(1).select(F.lit("schema").alias("check"), F.lit(same).alias("ok"), F.lit(not same).alias("warn"), F.lit("not reported" if schema_version is None else f"version {schema_version}, expected {expected}").alias("detail"))
+    return count(nodes, "nodes", lambda n: n > 0, "nodes").unionByName(count(edges, "edges", lambda n: n > 0, "edges")).unionByName(count(conflicts, "conflicts", lambda n: n == 0, "conflicts")).unionByName(schema)
+
+
+def overall(checks: DataFrame) -> DataFrame:
+    """(status): failing if a check fails, warning if one only warns, else ok."""
+    return checks.agg(F.when(F.bool_or(~F.col("ok") & ~F.col("warn")), "failing").when(F.bool_or(F.col("warn")), "warning").otherwise("ok").alias("status"))
+
+
+def decisions(log: DataFrame, topic: str | None = None, limit: int | None = None) -> DataFrame:
+    """Decisions of log(id, kind, title, rationale, topic, rev), newest first, on a topic, up to a limit."""
+    rows = log.where("kind = 'decision'")
+    rows = (rows if topic is None else rows.where(F.contains(F.lower(F.concat_ws(" ", "topic", "title")), F.lit(topic.lower())))).orderBy(F.desc("rev"), "id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def truths(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Intents of log(id, kind, title, parent, rev) that stand, each below its parent: (id, title, parent, depth), roots first."""
+    rows = stored(log.where("kind = 'intent'").select("id", "title", "parent"))
+    level = rows.where("parent is null").withColumn("depth", F.lit(0))
+    out, k = level, 0
+    while not level.isEmpty():
+        k += 1
+        level = stored(rows.join(level.select(F.col("id").alias("parent")), "parent").select("id", "title", "parent").withColumn("depth", F.lit(k)))
+        out = out.unionByName(level)
+    out = out.orderBy("depth", "title", "id")
+    return out if limit is None else out.limit(limit)
+
+
+def plan_ops(entries: DataFrame) -> DataFrame:
+    """Operations that record entries(kind, title, rationale, affects array<string>): a node each, and an edge to everything it affects."""
+    from codeloom import ids
+
+    key = ids.uuid_form(F.concat("kind", F.lit(":"), "title"))
+    none = F.lit(None).cast("string")
+    nodes = entries.select(F.lit("UpsertNode").alias("op"), key.alias("id"), "kind", F.col("title").alias("name"), none.alias("src"), none.alias("dst"), none.alias("predicate"))
+    each = entries.withColumn("to", F.explode("affects"))
+    predicate = F.concat(F.upper("kind"), F.lit("_AFFECTS"))
+    return nodes.unionByName(each.select(F.lit("UpsertEdge").alias("op"), ids.uuid_form(F.concat(key, F.lit(":"), predicate, F.lit(":"), "to")).alias("id"), none.alias("kind"), none.alias("name"), key.alias("src"), F.col("to").alias("dst"), predicate.alias("predicate")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.tables import stored
+
 
 def first_by(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The first row of each key by seq."""
@@ -40,13 +42,27 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change")).where("change is not null")
 
 
+#: Revisions of a block.
+BLOCK = 1 << 20
+
+
 def rev_timestamp(revs: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(rev) -> the timestamp of that revision, or of the nearest one before; revs(rev, ts).
 
-    asked is one request's handful of revisions, so it goes to every scan task, and partial maxima come back.
+    Both meet in blocks of revisions: within a block by comparison, and from the
+    blocks before only the last revision counts, so nothing is compared with all.
     """
-    few = F.broadcast(asked.select(F.col("rev").alias("asked")))
-    return revs.join(few, F.col("rev") <= F.col("asked")).groupBy("asked").agg(F.max_by("ts", "rev").alias("ts")).select(F.col("asked").alias("rev"), "ts")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    few = asked.select(F.col("rev").alias("asked")).distinct().withColumn("block", block("asked"))
+    rows = revs.select("rev", "ts").withColumn("block", block("rev"))
+    inside = rows.join(few, "block").where("rev <= asked").groupBy("asked").agg(F.max("rev").alias("rev"))
+    last = rows.groupBy("block").agg(F.max("rev").alias("rev"))
+    marks = last.select("block", "rev", F.lit(None).cast(few.schema["asked"].dataType).alias("asked")).unionByName(few.select("block", F.lit(None).cast("long").alias("rev"), "asked"))
+    # One row a block and one a request: what the sort has to hold is small even for long logs.
+    before = F.max("rev").over(Window.orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
+    earlier = marks.withColumn("before", before).where("asked is not null").select("asked", F.col("before").alias("rev"))
+    best = inside.unionByName(earlier).groupBy("asked").agg(F.max("rev").alias("rev")).where("rev is not null")
+    return best.join(rows.select("rev", "ts"), "rev").select(F.col("asked").alias("rev"), "ts")
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
@@ -69,31 +85,35 @@ def reconcile(previous: DataFrame, current: DataFrame, edges: DataFrame) -> Data
 
 
 def commit(log: DataFrame, patches: DataFrame, base_rev: int | None = None) -> tuple[str, DataFrame]:
-    """(status, log after): patches(patch_id, seq, payload) not in the log yet are appended with the next revisions.
-
-    Revisions are numbered within ranges of seq: ranges are counted first, so no task sees all patches.
-    """
-    now = log.agg(F.coalesce(F.max("rev"), F.lit(0))).first()[0]
+    """(status, log after): patches(patch_id, seq, payload) not in the log(patch_id, rev, seq, payload) yet are appended with the next revisions."""
+    now = int(log.agg(F.coalesce(F.max("rev"), F.lit(0))).first()[0])
     if base_rev is not None and base_rev != now:
         return "BaseRevMismatch", log
     new = first_by(patches.join(log.select("patch_id"), "patch_id", "left_anti"), ["patch_id"], "seq")
     if new.isEmpty():
         return "Idempotent", log
-    return "Ok", log.unionByName(numbered(new, "seq", "rev", now).select(*log.columns))
+    placed = numbered(new.withColumn("_at", F.struct("seq", "patch_id")), "_at", "rev", now).drop("_at")
+    return "Ok", log.unionByName(placed.select(*log.columns))
 
 
 def numbered(rows: DataFrame, order: str, name: str, base: int = 0) -> DataFrame:
-    """rows with 1, 2, ... by a unique order column: range-partitioned, counted by partition, numbered within."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    counts = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, total = {}, base
-    for p in sorted(counts):
-        start[p] = total
-        total += counts[p]
+    """rows with base + 1, base + 2, ... by a unique order column.
+
+    The rows are written once, dealt by ranges of the order, with the number of
+    their range; what is counted and what is numbered are that one table, so
+    bounds that another sampling would draw elsewhere don't matter.  No task
+    sees more than a range, and the driver one count for each.
+    """
+    ranged = stored(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    total, start = base, {}
+    for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        start[r["_range"]] = total
+        total += r["n"]
     if not start:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    base_of = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_p"))
-    return ranged.withColumn(name, (F.row_number().over(Window.partitionBy("_p").orderBy(order)) + base_of).cast("long")).drop("_p")
+    bases = rows.sparkSession.createDataFrame(list(start.items()), "_range int, _base long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.join(F.broadcast(bases), "_range").withColumn(name, (within + F.col("_base")).cast("long")).drop("_range", "_base")
 
 
 def next_edges(chunks: DataFrame) -> DataFrame:
@@ -103,30 +123,68 @@ def next_edges(chunks: DataFrame) -> DataFrame:
     return rows.where("next_id is not null and container is null and next_container is null").select(F.col("id").alias("src"), F.col("next_id").alias("dst"))
 
 
-def build_patch(files: DataFrame, entities: DataFrame, relationships: DataFrame, chunks: DataFrame) -> DataFrame:
-    """patch_ops(path, op_seq, op_type, id, src, dst, predicate, name): nodes, chunks, edges, claims of each file.
-
-    files(ws, path, source_hash), entities(path, seq, name, kind, container),
-    relationships(path, seq, src, dst, predicate), chunks(path, seq, name, kind, container, line_start).
-    """
-    from codeloom import ids
-
-    ws = F.col("ws")
-    key = ids.qualified_key(F.col("container"), F.col("name"))
-    named = entities.join(files.select("ws", "path"), "path").withColumn("id", ids.node_id(ws, F.col("path"), key))
-    node = first_by(named.select("path", "id", "seq", "name", "kind"), ["path", "id"], "seq").select("path", F.lit(1).alias("rank"), "seq", F.lit("UpsertNode").alias("op_type"), "id", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("predicate"), "name")
-    piece = chunks.join(files.select("ws", "path"), "path").withColumn("id", ids.chunk_id(ws, F.col("path"), F.col("kind"), F.col("name"), F.col("line_start")))
-    chunk = piece.select("path", F.lit(2).alias("rank"), "seq", F.lit("UpsertNode").alias("op_type"), "id", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("predicate"), "name")
-    rel = relationships.join(files.select("ws", "path"), "path").dropDuplicates(["path", "src", "dst", "predicate"])
-    edge = rel.select("path", F.lit(3).alias("rank"), "seq", F.lit("UpsertEdge").alias("op_type"), ids.edge_id(ws, F.col("path"), F.col("src"), F.col("dst"), F.col("predicate")).alias("id"), ids.node_id(ws, F.col("path"), F.col("src")).alias("src"), ids.node_id(ws, F.col("path"), F.col("dst")).alias("dst"), "predicate", F.lit(None).cast("string").alias("name"))
-    inside = next_edges(piece.select(F.col("path").alias("file"), "seq", "id", "container")).select(F.lit(None).cast("string").alias("path"), F.lit(4).alias("rank"), F.lit(0).cast("long").alias("seq"), F.lit("UpsertEdge").alias("op_type"), F.concat("src", F.lit(":"), "dst").alias("id"), "src", "dst", F.lit("NEXT").alias("predicate"), F.lit(None).cast("string").alias("name"))
-    claim = rel.select("path", F.lit(5).alias("rank"), "seq", F.lit("AssertClaim").alias("op_type"), F.concat(F.lower("predicate"), F.lit(":"), "dst").alias("id"), F.col("src"), F.col("dst"), "predicate", F.lit(None).cast("string").alias("name"))
-    out = node.unionByName(chunk).unionByName(edge).unionByName(inside).unionByName(claim)
-    return out.withColumn("op_seq", F.row_number().over(Window.partitionBy("path").orderBy("rank", "seq", "id"))).drop("rank", "seq")
-
-
 def replaces(path: Column, hash_: Column, extractors: list[str], ws: Column) -> Column:
     """Patch ids that a file's patch replaces: the previous hash under each extractor, and the legacy id."""
     from codeloom import ids
 
     return F.array(*[ids.patch_id(ws, path, hash_, F.lit(e)) for e in extractors], ids.legacy_patch_id(ws, path, hash_))
+
+
+def unified_diff(old: DataFrame, new: DataFrame, around: int = 3) -> DataFrame:
+    """(key, n, line): hunks of a unified diff with `around` lines of context, of old(key, text) and new(key, text) that differ.
+
+    A file's longest common subsequence is sequential, so files are compared in
+    Python, one at a time and in parallel with each other.
+    """
+    import difflib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, at, lines = [], [], []
+            for key, a, b in zip(batch["key"], batch["old"], batch["new"], strict=True):
+                found = difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm="", n=around)
+                for n, line in enumerate(x for k, x in enumerate(found) if k > 1):
+                    keys.append(key)
+                    at.append(n)
+                    lines.append(line)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "n": pd.Series(at, dtype="int32"), "line": pd.Series(lines, dtype=object)})
+
+    both = old.select("key", F.col("text").alias("old")).join(new.select("key", F.col("text").alias("new")), "key", "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.mapInPandas(run, f"key {old.schema['key'].dataType.simpleString()}, n int, line string")
+
+
+def hunks_in_span(hunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, n, line, at) of hunks(key, n, line) within spans(key, first, last) of the new text; removed lines also right behind the span."""
+    header = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
+    w = Window.partitionBy("key").orderBy("n")
+    rows = hunks.withColumn("start", F.when(header != "", header.cast("int")))
+    rows = rows.withColumn("hunk", F.count("start").over(w)).withColumn("from", F.last("start", True).over(w)).where("start is null")
+    steps = F.when(F.startswith("line", F.lit("-")), 0).otherwise(1)
+    before = F.coalesce(F.sum(steps).over(Window.partitionBy("key", "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("at", F.col("from") + before).join(spans, "key")
+    removed = F.startswith("line", F.lit("-"))
+    return rows.where((F.col("at") >= F.col("first")) & (F.col("at") <= F.when(removed, F.col("last") + 1).otherwise(F.col("last")))).select("key", "n", "line", "at")
+
+
+def span_changes(changes: DataFrame) -> DataFrame:
+    """(id, before, after) of changes(id, seq, side, first, last) to a symbol: its lines at the last change that knows them on either side."""
+    known = changes.where("first is not null and last is not null")
+    side = lambda s: F.max_by(F.when(F.col("side") == s, F.struct("first", "last")), F.when(F.col("side") == s, F.col("seq"))).alias(s)
+    return known.groupBy("id").agg(side("before"), side("after"))
+
+
+def diff_mode(options: DataFrame) -> DataFrame:
+    """options(summary, content, full, limit, ..) with `conflict`: which of them exclude each other, the one that decides named first."""
+    has_limit = F.col("limit").isNotNull()
+    conflict = F.when(F.col("summary") & F.col("content"), "summary excludes content").when(F.col("summary") & (F.col("full") | has_limit), "summary ignores full and limit").when(F.col("full") & has_limit, "full excludes limit")
+    return options.withColumn("conflict", conflict)
+
+
+def diff_view(changes: DataFrame, limit: int | None = 100, full: bool = False, entity: str | None = None) -> DataFrame:
+    """changes(id, change) in order, of one entity or all, up to the limit unless all are asked for."""
+    rows = changes if entity is None else changes.where(F.col("id") == entity)
+    rows = rows.orderBy("change", "id")
+    return rows if full or limit is None else rows.limit(limit)

@@ -1,0 +1 @@
+"""Registered queries by area; the catalogue gathers them."""

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.sources import scopes
+
 #: An entity: (name, kind, container, first line, last line); a relationship: (source, target, predicate).
 Parsed = tuple[list[tuple], list[tuple]]
 EXTRACTORS: dict[str, Callable[[str], Parsed]] = {}
@@ -62,7 +64,7 @@ def python(source: str) -> Parsed:
 
 #: Definition patterns by language family: (kind, pattern with the name as group 1).
 _DEFINITIONS = {
-    "typescript": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfunction\s+(\w+)"), ("function", r"\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")],
+    "typescript": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfunction\s+(\w+)"), ("function", r"\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("method", r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return|else|do|try|with)\b)(\w+)\s*\([^()]*\)\s*(?::\s*[\w<>\[\]|&., ]+)?\s*\{")],
     "java": [("class", r"\b(?:class|enum|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"\b(?:public|private|protected)\s[\w<>\[\], ]*?\b(\w+)\s*\(")],
     "go": [("function", r"^func\s+(\w+)"), ("method", r"^func\s+\([^)]*\)\s+(\w+)"), ("class", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
     "rust": [("function", r"\bfn\s+(\w+)"), ("class", r"\b(?:struct|enum)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("module", r"\bmod\s+(\w+)"), ("macro", r"\bmacro_rules!\s*(\w+)")],
@@ -96,23 +98,57 @@ _IMPORTS |= {"javascript": _IMPORTS["typescript"], "cpp": _IMPORTS["c"]}
 _NO_CALLS = frozenset("if for while switch catch return function def class new sizeof typeof match fn func fun and or not in is elif else super print println printf len range".split())
 
 
+#: Names that each language brings along and that no edge is made to.
+_BUILTINS = {
+    "python": ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "super", "open", "enumerate", "zip", "sorted", "min", "max", "sum", "any", "all", "getattr", "setattr", "hasattr", "type", "repr"),
+    "javascript": ("parseInt", "parseFloat", "require", "setTimeout", "clearTimeout", "setInterval", "clearInterval", "String", "Number", "Boolean", "Array", "Object", "Promise", "Symbol", "Date", "Error"),
+    "r": ("c", "list", "paste", "cat", "stop", "warning", "is.null", "seq", "rep", "names", "nrow", "ncol"),
+    "sas": ("input", "put", "sum", "mean", "scan", "substr", "trim", "compress"),
+}
+_BUILTINS["typescript"] = _BUILTINS["javascript"]
+
+
+def is_supported(language: str) -> bool:
+    """Whether files of a language are extracted."""
+    return language in EXTRACTORS
+
+
 def _by_patterns(language: str) -> Callable[[str], Parsed]:
     def parse(source: str) -> Parsed:
-        starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        line = lambda at: __import__("bisect").bisect_right(starts, at)
-        found = sorted({(line(m.start()), m[1], kind) for kind, pattern in _DEFINITIONS[language] for m in re.finditer(pattern, source, re.M)})
-        entities = [(name, kind, None, at, (found[k + 1][0] - 1 if k + 1 < len(found) else len(starts))) for k, (at, name, kind) in enumerate(found)]
+        if language == "rust":
+            source = scopes.unwrapped_cfg(source)
+        if language == "java":
+            source = scopes.plain_varargs(source)
+        lines, code = scopes.Lines(source), scopes.blanked(source, language)
+        # A name is found once at its place, by the first pattern that finds it.
+        named = {}
+        for kind, pattern in _DEFINITIONS[language]:
+            for m in re.finditer(pattern, code if '"' not in pattern else source, re.M):
+                named.setdefault(m.start(1), (m[1], kind))
+        entities = scopes.contained([(at, name, kind) for at, (name, kind) in sorted(named.items())], code, language, lines)
         relations = [(None, next(g for g in m.groups() if g), "IMPORTS") for m in re.finditer(_IMPORTS[language], source, re.M)] if language in _IMPORTS else []
-        names = {(at, name) for at, name, _ in found}
-        for m in re.finditer(r"\b(\w+)\s*\(", source):
-            at = line(m.start())
-            if m[1] not in _NO_CALLS and (at, m[1]) not in names:
-                relations.append((next((e[0] for e in reversed(entities) if e[3] <= at <= e[4]), None), m[1], "CALLS"))
-        return entities, list(dict.fromkeys(relations))
+        relations += scopes.heritage(code, language)
+        own, builtin = {(e[3], e[0]) for e in entities}, _NO_CALLS | set(_BUILTINS.get(language, ()))
+        for m in re.finditer(r"\b(\w+)\s*\(", code):
+            at = lines.of(m.start())
+            if m[1] not in builtin and (at, m[1]) not in own:
+                relations.append((scopes.caller(entities, at), m[1], "CALLS"))
+        relations += scopes.member_calls(code, language, entities, lines) + scopes.type_references(code, language, entities, lines)
+        return (merged_clauses(entities) if language == "elixir" else entities), list(dict.fromkeys(relations))
 
     return parse
 
 
+def merged_clauses(entities: list[tuple]) -> list[tuple]:
+    """Clauses of one function as one entity, from the first line of the first to the last line of the last."""
+    out: dict[tuple, tuple] = {}
+    for name, kind, container, first, last in entities:
+        key = (kind, container, name)
+        before = out.get(key, (name, kind, container, first, last))
+        out[key] = (name, kind, container, min(before[3], first), max(before[4], last))
+    return list(out.values())
+
+
 for _language in _DEFINITIONS:
     EXTRACTORS.setdefault(_language, _by_patterns(_language))
 
@@ -306,6 +342,59 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInPandas(run, ROW)
 
 
+def sniffed(path: Column, content: Column, language: Column) -> Column:
+    """The language of a file: C++ for headers of C that use what only C++ has."""
+    cpp = r"\bclass\s+[A-Za-z_]\w*\b|\bnamespace\s+[A-Za-z_]\w*\b|\btemplate\s*<|\busing\s+namespace\b|\b(public|private|protected)\s*:|\b(virtual|constexpr|typename|friend|operator)\b|\b[A-Za-z_]\w*::[A-Za-z_]\w*"
+    return F.when((language == "c") & F.endswith(F.lower(path), F.lit(".h")) & F.rlike(content, F.lit(cpp)), "cpp").otherwise(language)
+
+
+def chunks(extracted: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, seq, name, kind, container, first_line, last_line, start_byte, end_byte, content_hash): one chunk a definition, one of the whole file where there is none.
+
+    extracted is extract(files) of files(path, content); the hash is the first 16
+    hex digits of the chunk's text.
+    """
+    found = extracted.where("row = 'entity' and kind not in ('file', 'module')").select("path", "seq", "name", "kind", "container", "first_line", "last_line")
+    body = files.select("path", "content").join(found.select("path").distinct(), "path", "left_anti").select("path", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("name"), F.lit("file_body").alias("kind"), F.lit(None).cast("string").alias("container"), F.lit(1).alias("first_line"), F.size(F.split("content", "\n", -1)).alias("last_line"))
+    rows = found.unionByName(body).join(files.select("path", F.split("content", "\n", -1).alias("lines")), "path")
+    before = F.array_join(F.slice("lines", F.lit(1), F.greatest(F.col("first_line") - 1, F.lit(0))), "\n")
+    text = F.array_join(F.slice("lines", F.col("first_line"), F.greatest(F.col("last_line") - F.col("first_line") + 1, F.lit(0))), "\n")
+    start = F.when(F.col("first_line") > 1, F.octet_length(before) + 1).otherwise(F.lit(0))
+    return rows.select("path", "seq", "name", "kind", "container", "first_line", "last_line", start.alias("start_byte"), (start + F.octet_length(text)).alias("end_byte"), F.substring(F.sha2(text, 256), 1, 16).alias("content_hash"))
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """(path, row, seq, package, local, other) of JavaScript and TypeScript files(path, language, content): imports bind a local name, exports give one a public name, covered names are those that a caller's own hide."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, language, content in zip(batch.path, batch.language, batch.content, strict=True):
+                content = content or ""
+                bound = scopes.js_bindings(content)
+                rows += [(path, "import", k, p, local, name) for k, (p, local, name) in enumerate(bound)]
+                rows += [(path, "export", k, None, local, public) for k, (local, public) in enumerate(scopes.js_exports(content))]
+                entities, _ = EXTRACTORS[language](content)
+                covered = scopes.shadowed(scopes.blanked(content, language), entities, scopes.Lines(content), {b[1] for b in bound})
+                rows += [(path, "covered", k, by, name, None) for k, (by, name) in enumerate(sorted(covered))]
+            yield pd.DataFrame(rows, columns=["path", "row", "seq", "package", "local", "other"])
+
+    some = files.where("language in ('javascript', 'typescript')").select("path", "language", "content")
+    return some.mapInPandas(run, "path string, row string, seq int, package string, local string, other string")
+
+
+def bound_calls(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """calls(path, src, name) with bound of bindings(): false if the caller's own name covers an imported one, true if it does not, null for names that are not imported."""
+    imported = names.where("row = 'import'").select("path", F.col("local").alias("name"), F.lit(True).alias("imported")).distinct()
+    covered = names.where("row = 'covered'").select("path", F.col("package").alias("src"), F.col("local").alias("name"), F.lit(True).alias("covered")).distinct()
+    return calls.join(imported, ["path", "name"], "left").join(covered, ["path", "src", "name"], "left").withColumn("bound", F.when(F.col("imported"), F.col("covered").isNull())).drop("imported", "covered")
+
+
+def php_blocks(files: DataFrame) -> DataFrame:
+    """(path, n) of PHP files(path, content): how many namespace blocks each has."""
+    return files.select("path", F.size(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:<\?php\s+)?namespace\s*[\w\\]*\s*[;{]"), F.lit(0))).alias("n"))
+
+
 def sql_table_refs(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:from|join|into|update)\s+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1)), F.lower)))
 

@@ -2,12 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom import ids
 from codeloom.functions import text as X
 from codeloom.operators import analytics as A
 from codeloom.operators import context as C
+from codeloom.operators import indexes as I
+from codeloom.operators import patches as P
 from codeloom.operators import resolve as R
 from codeloom.operators import revisions as V
 from codeloom.operators import traverse as W
@@ -93,33 +96,124 @@ def test_revisions(spark):
 def test_build_patch(spark):
     files = spark.createDataFrame([("ws", "a.ts", "h")], "ws string, path string, source_hash string")
     entities = spark.createDataFrame([("a.ts", 1, "f", "function", None), ("a.ts", 2, "f", "function", None)], "path string, seq long, name string, kind string, container string")
-    rels = spark.createDataFrame([("a.ts", 1, "f", "g", "CALLS"), ("a.ts", 2, "f", "g", "CALLS")], "path string, seq long, src string, dst string, predicate string")
-    chunks = spark.createDataFrame([("a.ts", 1, "f", "function", None, 1), ("a.ts", 2, "g", "function", None, 5)], "path string, seq long, name string, kind string, container string, line_start int")
-    ops = V.build_patch(files, entities, rels, chunks)
-    assert sorted(r.op_type for r in ops.collect()) == ["AssertClaim", "UpsertEdge", "UpsertEdge", "UpsertNode", "UpsertNode", "UpsertNode"]
+    rels = spark.createDataFrame([("a.ts", 1, "f", "g", "CALLS"), ("a.ts", 2, "f", "g", "CALLS"), ("a.ts", 3, "f", "lib::h", "CALLS")], "path string, seq long, src string, dst string, predicate string")
+    chunks = spark.createDataFrame([("a.ts", 1, "f", "function", None, 1), ("a.ts", 2, None, "file_body", None, 5)], "path string, seq long, name string, kind string, container string, line_start int")
+    ops = P.build_patch(files, entities, rels, chunks).orderBy("op_seq").collect()
+    assert [r.op_type for r in ops] == ["UpsertNode", "UpsertNode", "UpsertEdge", "UpsertEdge", "UpsertNode", "UpsertEdge", "UpsertEdge", "UpsertEdge", "UpsertNode", "UpsertEdge", "AssertClaim", "AssertClaim"]
+    assert [r.predicate for r in ops if r.predicate] == ["CONTAINS_CHUNK", "DEFINES", "CONTAINS_CHUNK", "NEXT", "CALLS", "CALLS"]
+    assert [(r.name, r.field) for r in ops if r.field == "external"] == [("h", "external")] and [r.field for r in ops if r.op_type == "AssertClaim"] == ["calls:g", "calls:lib::h"]
+
+
+def test_reconcile_and_retry(spark):
+    row = lambda op, id_, seq, pred=None: ("a.ts", seq, op, id_, None, None, None, None, pred, None, None)
+    schema = "path string, op_seq long, op_type string, id string, kind string, name string, src string, dst string, predicate string, field string, value string"
+    current = spark.createDataFrame([row("UpsertNode", "n1", 1), row("UpsertEdge", "e1", 2), row("AssertClaim", "n1", 3)], schema)
+    previous = spark.createDataFrame([("a.ts", "n1", "function"), ("a.ts", "n2", "function"), ("a.ts", "c1", "chunk")], "path string, id string, kind string")
+    edges = spark.createDataFrame([("e1", "n1", "n2", "CALLS", "a.ts"), ("e2", "n2", "n9", "CALLS", "b.ts"), ("e3", "c1", "n1", "NEXT", "a.ts")], "edge_id string, src string, dst string, predicate string, path string")
+    ops, dependents = P.reconciled(current, previous, edges, map_mode=True)
+    assert [(r.op_type, r.id) for r in ops.orderBy("op_seq").collect()] == [("DeleteNode", "n2"), ("UpsertNode", "n1"), ("DeleteEdge", "e2"), ("UpsertEdge", "e1"), ("AssertClaim", "n1")]
+    assert rows(dependents, "dependent") == [("b.ts",)]
+    tries = []
+    assert P.with_retry(lambda: tries.append(1) or (1 / (len(tries) - 3) if len(tries) < 3 else "done"), wait=lambda k: None) in ("done", -0.5)
+    clash = spark.createDataFrame([("a.ts", 1, "e", "x", "y", "CALLS", "1"), ("a.ts", 2, "e", "x", "z", "CALLS", "2")], "path string, op_seq long, id string, src string, dst string, predicate string, attrs string")
+    with pytest.raises(Exception, match="different ends"):
+        P.dedupe_edges(clash).collect()
+
+
+def test_numbered(spark):
+    """One numbering over many ranges, whatever adaptive execution makes of them."""
+    n = 300_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.rand(1).alias("x"))
+    got = V.numbered(df, "k", "rev", 10).agg(F.min("rev"), F.max("rev"), F.count_distinct("rev"), F.count_if(F.col("rev") != F.col("k") + 11)).first()
+    assert tuple(got) == (11, n + 10, n, 0)
 
 
 def test_cascade(spark):
-    files = spark.createDataFrame([(f"{n}.ts", "typescript") for n in "abcd"] + [("s.scala", "scala")], "path string, language string")
-    entities = spark.createDataFrame([("b.ts", "run", None), ("c.ts", "deep", None), ("s.scala", "only", None), ("d.ts", "m", "K"), ("a.ts", "own", None)], "path string, name string, container string")
-    rels = spark.createDataFrame([(1, "a.ts", "run2", None, "CALLS"), (2, "a.ts", "deep", None, "CALLS"), (3, "a.ts", "only", None, "CALLS"), (4, "a.ts", "m", "K", "CALLS"), (5, "a.ts", "own", None, "CALLS"), (6, "a.ts", "run", None, "CALLS")], "rel_id long, path string, name string, qualifier string, predicate string")
+    files = spark.createDataFrame([(f"{n}.ts", "typescript", None) for n in "abcd"] + [("s.scala", "scala", None)], "path string, language string, repo string")
+    entities = spark.createDataFrame([("b.ts", "run", None), ("c.ts", "deep", None), ("s.scala", "only", None), ("d.ts", "m", "K"), ("a.ts", "own", None)], "path string, name string, container string").withColumns({"seq": F.lit(0), "start": F.lit(1), "end": F.lit(2)})
+    rels = spark.createDataFrame([(1, "a.ts", "run2", "CALLS"), (2, "a.ts", "deep", "CALLS"), (3, "a.ts", "only", "CALLS"), (4, "a.ts", "K.m", "CALLS"), (5, "a.ts", "own", "CALLS"), (6, "a.ts", "run", "CALLS")], "id long, path string, name string, predicate string").withColumns({"src": F.lit("f"), "bound": F.lit(None).cast("boolean")})
     imports = spark.createDataFrame([("a.ts", "b.ts"), ("b.ts", "c.ts")], "path string, target string")
-    got = {r.rel_id: (r.tier, r.verdict, r.target) for r in R.cascade(files, entities, rels, imports).collect()}
+    got = {r.id: (r.tier, r.verdict, r.target) for r in R.cascade(files, entities, rels, imports).collect()}
     assert got == {2: ("2.5-transitive", "emit", "c.ts"), 4: ("1b-qualifier", "emit", "d.ts"), 5: ("1-same-file", "stop", None), 6: ("2-import", "emit", "b.ts")}
 
 
 def test_imports_and_indexes(spark):
-    imports = spark.createDataFrame([("src/a/x.ts", "../b"), ("src/a/x.ts", "react"), ("src/a/x.ts", "./no")], "path string, raw string")
-    paths = spark.createDataFrame([("src/b/index.ts",), ("src/b.ts",)], "path string")
-    got = {r.raw: (r.status, r.target) for r in R.relative_targets(imports, paths).collect()}
-    assert got == {"../b": ("resolved", "src/b.ts"), "react": ("not-relative", None), "./no": ("unresolved", None)}
-    assert rows(R.suffix_index(spark.createDataFrame([("com/acme/X.java",)], "path string")), "suffix") == [("acme",), ("com.acme",)]
+    files = spark.createDataFrame([("src/b/index.ts", "typescript", "r"), ("src/b.ts", "typescript", "r"), ("src/a/x.ts", "typescript", "r"), ("lib/index.ts", "typescript", "q")], "path string, language string, repo string")
+    index = I.build(files)
+    imports = spark.createDataFrame([(1, "../b"), (2, "react"), (3, "./no"), (4, "@q/pkg")], "id long, raw string").withColumns({"path": F.lit("src/a/x.ts"), "language": F.lit("typescript")}).withColumn("module", I.captured_import(F.col("raw"), F.col("language")))
+    assert {r.id: r.target for r in I.relative_files(imports, index).collect()} == {1: "src/b.ts", 3: None}
+    packages = spark.createDataFrame([("@q/pkg", "q")], "key string, repo string")
+    assert {r.id: (r.target, r.how) for r in R.import_edges(imports, files, index, None, packages).collect()} == {1: ("src/b.ts", "file"), 4: ("lib/index.ts", "package")}
+    mapped = S.path_mappings(spark.createDataFrame([("tsconfig.json", '{ // base\n "compilerOptions": {"baseUrl": ".", "paths": {"@q/*": ["lib/*", "src/*"],}}}')], "path string, content string"))
+    asked = spark.createDataFrame([(1, "@q/b"), (2, "@q/none"), (3, "src/b"), (4, "react")], "id long, raw string").withColumns({"path": F.lit("src/a/x.ts"), "language": F.lit("typescript")})
+    assert {r.id: r.target for r in S.configured_targets(asked, mapped, index).collect()} == {1: "src/b.ts", 2: None, 3: "src/b.ts"}
+    assert rows(I.suffix_index(spark.createDataFrame([("com/acme/X.java",)], "path string")), "suffix") == [("acme",), ("com.acme",)]
     reg = S.package_registry(spark.createDataFrame([("r1", "@acme/core-lib"), ("r2", "@other/core-lib"), ("r3", "solo")], "repo string, name string"))
-    assert rows(reg, "key", "repo") == [("@acme/core-lib", "r1"), ("@other/core-lib", "r2"), ("solo", "r3")]
+    # A name with underscores for its hyphens is a key as well where one repository has it.
+    assert rows(reg, "key", "repo") == [("@acme/core-lib", "r1"), ("@acme/core_lib", "r1"), ("@other/core-lib", "r2"), ("@other/core_lib", "r2"), ("solo", "r3")]
     deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     assert R.repo_closure(deps).count() == 9
 
 
+def test_manifests(spark):
+    rows_ = [
+        ("r1", "r1/package.json", '{"name": "@acme/a", "dependencies": {"left": "1"}, "devDependencies": {"jest": "1"}}'), ("r2", "r2/Cargo.toml", '[package]\nname = "crab"\n[dependencies]\nserde = "1"\n[dev-dependencies]\ncriterion = "1"\n'),
+        ("r3", "r3/go.mod", "module github.com/x/y\nrequire (\n  github.com/a/b v1.0.0\n)\n"), ("r4", "r4/pom.xml", "<project><parent><artifactId>up</artifactId></parent><artifactId>own</artifactId><dependencies><dependency><artifactId>dep</artifactId></dependency></dependencies></project>"),
+    ]
+    m = spark.createDataFrame(rows_, "repo string, path string, content string")
+    assert rows(S.package_names(m), "repo", "name") == [("r1", "@acme/a"), ("r2", "crab"), ("r3", "github.com/x/y"), ("r4", "own")]
+    assert rows(S.package_deps(m), "repo", "name") == [("r1", "left"), ("r2", "serde"), ("r3", "github.com/a/b"), ("r4", "dep")]
+    files = spark.createDataFrame([("/w", "a/package.json"), ("/w", "b/go.mod"), ("/w", "c/x.py"), ("/m", ".git/HEAD"), ("/m", "a/package.json"), ("/m", "b/go.mod")], "root string, path string")
+    assert rows(S.systems(files), "root", "member") == [("/w", "a"), ("/w", "b")]
+
+
+def test_sources(spark):
+    assert S.languages(" TS, c++,go ,") == ["typescript", "cpp", "go"]
+    paths = spark.createDataFrame([("/r/a/../x.ts", 1), ("/r/x.ts", 2), ("/rest/y.ts", 3), ("/r/X.ts", 4)], "path string, seq long")
+    inside, outside = S.confined(paths, "/r/")
+    assert rows(inside, "path") == [("/r/X.ts",), ("/r/x.ts",)] and outside.first()[0] == 1
+    listed = S.listed(spark.createDataFrame([("tests/a.py", 0), ("b.pb.go", 1)], "path string, seq long"), spark.createDataFrame([("tests/a.py", 0), ("c.rs", 1), ("d.bin", 2)], "path string, seq long"))
+    assert rows(listed, "path", "language") == [("c.rs", "rust"), ("tests/a.py", "python")]
+    commits = spark.sql("select 'o/r' as repo, 'abc' as sha, 'me' as author, '2024' as created_at, 'fix\\nmore' as message, array(named_struct('filename', 'a.py', 'status', 'modified')) as files")
+    assert sorted((r.op, r.name, r.predicate) for r in S.commit_ops(commits).collect()) == [("UpsertEdge", None, "REFERENCES"), ("UpsertNode", "fix", None)]
+
+
+def test_diffs(spark):
+    old, new = (spark.createDataFrame([("k", t)], "key string, text string") for t in ("a\nb\nc\nd", "a\nB\nc\nd\ne"))
+    hunks = V.unified_diff(old, new)
+    assert [r.line for r in hunks.orderBy("n").collect()] == ["@@ -1,4 +1,5 @@", " a", "-b", "+B", " c", " d", "+e"]
+    cut = V.hunks_in_span(hunks, spark.createDataFrame([("k", 2, 2)], "key string, first int, last int"))
+    assert sorted(r.line for r in cut.collect()) == ["+B", "-b"]
+    modes = spark.createDataFrame([(True, True, False, None), (True, False, True, None), (False, False, True, 5), (False, True, False, 5)], "summary boolean, content boolean, full boolean, limit int")
+    assert [r.conflict for r in V.diff_mode(modes).collect()] == ["summary excludes content", "summary ignores full and limit", "full excludes limit", None]
+
+
+def test_investigations(spark, tmp_path):
+    part = lambda ids: {p: spark.createDataFrame([("s", i, i, "p") for i in ids], "seed string, id string, src string, dst string").withColumn("predicate", F.lit("p")) for p in C.SAVED}
+    C.save_investigation(part(["a", "b"]), str(tmp_path), "one", "2024-01-01")
+    assert rows(C.list_investigations(spark, str(tmp_path)), "investigation", "entities") == [("one", 2)]
+    got = C.diff_investigations(C.load_investigation(spark, str(tmp_path), "one"), part(["b", "c"]))
+    assert rows(got.where("part = 'entities'"), "change", "key") == [("added", "s|c"), ("removed", "s|a")]
+
+
+def test_stitch(spark):
+    provides = spark.createDataFrame([("p", "lib", "p:index")], "ws string, name string, node string")
+    consumes = spark.createDataFrame([("c", "lib", "c:main")], "ws string, name string, node string")
+    exports = spark.createDataFrame([("p", "run", "p:run")], "ws string, name string, node string")
+    symbols = spark.createDataFrame([("c", "lib", "run", "c:f"), ("c", None, "run", "c:g"), ("c", "other", "run", "c:h")], "ws string, package string, name string, caller string")
+    edges, systems = C.stitch_all(provides, consumes, exports, symbols)
+    assert rows(edges, "src", "dst", "predicate") == [("c:f", "p:run", "CALLS"), ("c:g", "p:run", "CALLS"), ("c:main", "p:index", "IMPORTS")]
+    assert systems.select("system_id").distinct().count() == 1 and systems.count() == 2
+
+
+def test_map_levels(spark):
+    links = spark.createDataFrame([(f"{g}{i}", f"{g}{j}", 5.0) for g in "ab" for i in range(4) for j in range(i + 1, 4)] + [("a0", "b0", 0.5)], "a string, b string, weight double")
+    member = A.levels(links, spark.createDataFrame([(f"{g}{i}",) for g in "ab" for i in range(4)] + [("z",)], "id string"))
+    one = {r.id: r.region for r in member.where("level = 1").collect()}
+    assert len({one[f"a{i}"] for i in range(4)}) == 1 and one["a0"] != one["b0"] and one["z"] == "z"
+    assert A.region_edges(member).where("src like '1:%'").count() == 9
+
+
 def test_context(spark):
     e = spark.createDataFrame([("g", 1, "a", "xxx"), ("g", 2, "b", "y" * 20), ("g", 3, "c", "z")], "grp string, rank int, id string, text string")
     assert rows(C.evidence_budget(e, "grp", 5, 10), "id") == [("a",)]
