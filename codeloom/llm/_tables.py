@@ -2,84 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import functools
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import _text
+from codeloom.tables import dropped, shared_folder, size, small, stored
+
+__all__ = ["NO_ID", "bounded_batches", "components", "dropped", "shared_folder", "size", "small", "stored"]
 
 #: An id that is null orders after every other id.
 NO_ID = (1 << 63) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below the one that all executors share, as the cluster names it; a local master without one gets a local folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{_local()}"
-    own = f"{folder.rstrip('/')}/codeloom-{context.applicationId}"
-    if own not in _FOLDERS:
-        _FOLDERS.add(own)
-        atexit.register(_remove, spark, own)
-    return own
-
-
-_FOLDERS: set[str] = set()
-
-
-@functools.cache
-def _local() -> str:
-    return tempfile.mkdtemp(prefix="codeloom-")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a leftover costs disk, not results
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextlib.contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, shuffle files of a query go when the query ends; the session's own setting comes back after it."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def stored(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
-    """df, written once as a table in the shared folder and read back: its lineage ends there, and so do its shuffle files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*parts) if parts else df.write
-    with _tidy(spark):
-        writer.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._codeloom_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more; what is left goes with the application."""
-    for df in tables:
-        if path := getattr(df, "_codeloom_path", None):
-            _remove(df.sparkSession, path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to Python small, whatever the texts' lengths, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -89,12 +25,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(_text.BATCH_BYTES))
 
 
-def pieces(df: DataFrame, bytes_each: int, least: int = 1, most: int = 20_000, times: float = 1.0) -> int:
-    """How many pieces of about bytes_each a table of `times` the size of df's input makes, by Catalyst's size of df."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, int(times * size / bytes_each)))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of long ids -> (id, component): each id that has a link, with the smallest id it reaches.
 
@@ -104,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     norm = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = stored(norm(edges))
-    size = _state(now)
-    while size[0]:
+    state = _state(now)
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -116,9 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
         then = _state(after)
         dropped(now, mid)
         now = after
-        if then == size:
+        if then == state:
             break
-        size = then
+        state = then
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 

@@ -5,21 +5,23 @@ the universe of shingles into m segments, a quarter more than H + 1, where H is
 the largest symmetric difference that two sets of its sizes may have and still
 be linked.
 
-Allocation by cost: a segment costs as many rows as share its content, none if
-no other set has it; empty segments cost most.  A set x whose partners differ
-from it by at most H(x) indexes its H(x) + 1 cheapest segments only.  Linked
-sets agree on m - H(x) segments or more, and the cheapest of those is among
-the indexed ones of both: less than H(x) + 1 segments of either can be cheaper,
-as each of these would be one that differs.  A set that has H(x) + 1 segments
-of its own is linked with nothing and leaves here.
-
-In a bucket every class is compared with the smallest first; only classes that
-this leaves in different components are compared with each other.  Where that
-would cost more comparisons than rows, the bucket is split by one-deletion
-neighbourhoods: of H // 2 + 1 segments of the universe, linked sets have one in
-which they differ by one shingle at most, so both emit each of these segments
-whole and less one shingle, and meet there.  All candidates are verified on
-the exact sets.
+Allocation by cost, in two steps, for a set x whose partners differ from it by
+at most H(x).  Segments with few shingles are the likeliest to be shared by
+chance, so x indexes its H(x) + 1 + r fullest segments only, with r an eighth of
+H.  Then segments are counted, and of these x leaves out the r that most sets
+share.  Linked sets agree on m - H(x) segments or more.  Both keep a prefix of
+these by fullness, of more than r; and of that prefix the rarest is left out by
+neither, as all of it would have to be left out with it.  A set whose segments
+but for r are its own is linked with nothing and leaves here.
+
+In a bucket every class is compared with the smallest first, and only classes
+that this leaves in different components with each other.  Where these would
+still be more comparisons than rows allow, a few further classes, drawn by
+hash, are compared with all, as long as that halves what is left.  What remains
+costly is split by one-deletion neighbourhoods: of H // 2 + 1 segments of the
+universe, linked sets have one in which they differ by one shingle at most, so
+both emit each of these segments whole and less one shingle, and meet there.
+All candidates are verified on the exact sets.
 
 Copies (equal sets) are one class from the start.  A parity sketch of each set
 bounds the difference of two sets from below, so pairs that are not linked
@@ -47,8 +49,10 @@ from codeloom.llm import _tables, _text
 from codeloom.llm._features import keyed
 from codeloom.llm._text import mix
 
-#: Ratio of a band's sizes, and segments beyond H + 1 as a share of H.
-BAND, SPARE = 1.6, 4
+#: Ratio of a band's sizes; segments beyond H + 1, and indexed ones that may be left out, as shares of H.
+BAND, SPARE, RESERVE = 1.6, 4, 8
+#: Classes of a costly bucket that are compared with all others in a round.
+PIVOTS = 4
 #: Comparisons that cost as much as a row of a one-deletion neighbourhood.
 NEIGHBOUR = 4
 #: 64-bit words of a parity sketch.
@@ -56,8 +60,6 @@ SKETCH = 32
 ODD = [f"o{k}" for k in range(SKETCH)]
 #: Classes a task remembers so as not to send a copy's signatures again (only to save work).
 REMEMBERED = 1 << 20
-#: Ids that are broadcast at most (8 bytes each); beyond, texts are fetched by a shuffled join.
-BROADCAST_IDS = 2_000_000
 #: Schemes that a key can tell apart; 64 bands of ratio 1.6 reach beyond 10**12 shingles.
 SCHEMES = 64
 
@@ -137,12 +139,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, own, spare0, spare1, keys) of every row.
+    """(doc_id, n_shingles, cls, keys) of every row: keys are the hashes of the fullest segments under the scheme of the own band and of the one below.
 
-    keys are the hashes of the segments under the scheme of the own band and of
-    the one below, empty ones only as far as they must be indexed; spare0 and
-    spare1 are how many of these may be left out.  A copy that a task meets
-    again has no keys.
+    A copy that a task meets again has no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +149,8 @@ def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in _text.slices(batch, "text"):
                 s = Sets(data, offsets, n)
-                ends, m, _ = bands(num, den, int(s.size.max(initial=1)))
+                ends, m, top = bands(num, den, int(s.size.max(initial=1)))
                 doc, scheme, most = _schemes(s.size, ends, num, den)
-                own = np.zeros(b - a, np.int64)
-                own[s.size > 0] = np.searchsorted(ends, s.size[s.size > 0], "right") - 1
                 new = np.array([c not in seen for c in s.cls.tolist()], bool)
                 new &= np.isin(np.arange(len(s.cls)), np.unique(s.cls, return_index=True)[1])
                 if len(seen) < REMEMBERED:
@@ -161,21 +158,17 @@ def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 use = new[doc] & (m[scheme] > 1)
                 doc, scheme, most = doc[use], scheme[use], most[use]
                 owner, number, content, held = _segments(s, doc, m[scheme])
-                # Empty segments cost most: they are indexed only where the others are not enough.
-                empty = held == 0
-                first = np.concatenate([[0], np.cumsum(m[scheme])])[:-1]
-                before = np.concatenate([[0], np.cumsum(empty)])
-                none = _text.per_doc_sum(empty, np.concatenate([first, [len(empty)]]))
-                needed = most + 1 - (m[scheme] - none)
-                keep = ~empty | (before[:-1] - before[first[owner]] < needed[owner])
-                spare = np.zeros((2, b - a), np.int64)
-                spare[(scheme < own[doc]).astype(np.int64), doc] = np.maximum(m[scheme] - 1 - most - none, 0)
-                of, key = doc[owner[keep]], _key(content[keep], number[keep], scheme[owner[keep]])
-                order = np.argsort(of, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(b - a + 1)).astype(np.int32)), pa.array(key[order]))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.size.astype(np.int64)), pa.array(s.cls), *(pa.array(x.astype(np.int32)) for x in (own, *spare)), lists], ["doc_id", "n_shingles", "cls", "own", "spare0", "spare1", "keys"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls long, own int, spare0 int, spare1 int, keys array<long>")
+                # The fullest first; of equally full ones by content, so that sets that agree on segments agree on their order.
+                order = np.lexsort([number, mix(content + number.astype(np.uint64)), -held, owner])
+                first = np.concatenate([[0], np.cumsum(m[scheme])])
+                rank = np.arange(len(order)) - first[owner[order]]
+                kept = order[rank < (most + 1 + top[scheme] // RESERVE)[owner[order]]]
+                of, key = doc[owner[kept]], _key(content[kept], number[kept], scheme[owner[kept]])
+                by_doc = np.argsort(of, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[by_doc], np.arange(b - a + 1)).astype(np.int32)), pa.array(key[by_doc]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.size.astype(np.int64)), pa.array(s.cls), lists], ["doc_id", "n_shingles", "cls", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -239,16 +232,21 @@ def _neighbours(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return members.join(sets, "cls").select("key", "cls", "comp", "shingles").mapInArrow(run, "key long, variant long, whole boolean, cls long, comp long")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """(key, low, cls): the indexed segments of each class of prints(cls, own, spare0, spare1, keys) that another class shares."""
-    rows = rows.where(F.size("keys") > 0).select("cls", "own", "spare0", "spare1", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
-    shared = _tables.stored(shared)
-    scheme = F.col("key").bitwiseAND(SCHEMES - 1)
-    members = rows.join(shared, "key").select("cls", scheme.alias("scheme"), F.when(scheme == F.col("own"), F.col("spare0")).otherwise(F.col("spare1")).alias("spare"), F.struct("n", "key").alias("segment"))
-    # The costliest segments that a class may leave out are left out; copies of a class from several tasks are one.
+def buckets(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, low, cls): the indexed segments of each class of prints(cls, keys) that another class shares.
+
+    The plan is the same at every size: both exchanges move a key and at most a
+    class for each segment.
+    """
+    rows = rows.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
+    # Copies from several tasks count as sharers here; they are told apart below.
+    shared = _tables.stored(rows.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
+    members = rows.join(shared.hint("merge"), "key").select("cls", F.col("key").bitwiseAND(SCHEMES - 1).alias("scheme"), F.struct("n", "key").alias("segment"))
+    _, _, most = bands(num, den, 10**9)
+    reserve = F.element_at(F.array(*[F.lit(int(h) // RESERVE) for h in most]), (F.col("scheme") + 1).cast("int"))
+    # The costliest segments that a class may leave out are left out.
     segments = F.sort_array(F.collect_set("segment"), asc=False)
-    kept = members.groupBy("cls", "scheme").agg(F.min("spare").alias("spare"), segments.alias("segments")).where(F.size("segments") > F.col("spare"))
+    kept = members.groupBy("cls", "scheme").agg(segments.alias("segments")).withColumn("spare", reserve).where(F.size("segments") > F.col("spare"))
     left = _tables.stored(kept.select("cls", F.explode(F.slice("segments", F.col("spare") + 1, F.size("segments") - F.col("spare"))).alias("segment")).select("segment.key", "cls"))
     _tables.dropped(shared)
     low = left.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low")
@@ -257,14 +255,28 @@ def buckets(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(cls, comp) after links(a, b) between classes, stored."""
+    of = lambda c: comp.select(F.col("cls").alias(c), F.col("comp").alias(f"c{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = _tables.stored(_tables.components(ends))
+    every = comp.unionByName(joined.select(F.col("id").alias("cls"), F.col("id").alias("comp")).join(comp.select("cls"), "cls", "left_anti"))
+    return _tables.stored(every.join(joined, every.comp == joined.id, "left").select("cls", F.coalesce("component", "comp").alias("comp")))
+
+
+def _open(members: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, cls, comp, left, costly) of members(key, cls) in buckets with several components; left are the pairs across them."""
+    rows = members.join(comp, "cls", "left").join(sizes, "cls").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), "size")
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows"))
+    whole = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"), F.sum("rows").alias("rows")).where("left > 0")
+    return _tables.stored(rows.drop("size").join(whole.select("key", "left", (F.col("left") > F.col("rows") * NEIGHBOUR).alias("costly")), "key"))
+
+
 def unconnected(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): candidates among rest(key, cls, comp), classes of one bucket in different components."""
-    sized = rest.join(sets.select("cls", "size"), "cls")
-    open_ = sized.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).where("c0 <> c1")
-    open_ = open_.select("key", (F.expr("n * (n - 1) / 2") > F.col("rows") * NEIGHBOUR).alias("costly"))
-    rest = _tables.stored(rest.join(open_, "key"))
+    """(a, b): candidates among rest(key, cls, comp, costly), classes of one bucket in different components."""
     sketched = lambda rows: rows.join(sets.select("cls", "size", *ODD), "cls")
     pair = lambda x, on, but: x.alias("x").join(x.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [F.col("x.comp") != F.col("y.comp"), but, _close("x", "y", num, den)]).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    rest = rest.select("key", "cls", "comp", "costly")
     plain = pair(sketched(rest.where("not costly").drop("costly")), ["key"], F.expr("x.cls < y.cls"))
     near = pair(sketched(_neighbours(rest.where("costly").drop("costly"), sets, num, den)), ["key", "variant"], F.expr("(x.whole or y.whole) and x.cls <> y.cls"))
     return plain.unionByName(near).distinct()
@@ -272,31 +284,36 @@ def unconnected(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def class_components(docs: DataFrame, n: int, num: int, den: int, rows: DataFrame) -> DataFrame:
     """(cls, comp): the component of every class of docs that has a link; rows is prints(docs)."""
-    members = buckets(rows)
+    members = buckets(rows, num, den)
     # Exact sets of the classes that share an indexed segment with another.
     chosen = members.select("cls").distinct()
     first = _tables.stored(rows.select("doc_id", "cls").join(chosen, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    some = first.select("doc_id").distinct()
-    if first.count() <= BROADCAST_IDS:
-        some = F.broadcast(some)
+    some = _tables.small(first.select("doc_id").distinct(), first)
     sets = _sets(_texts(docs).join(some, "doc_id", "left_semi"), n).join(first.select("cls"), "cls", "left_semi")
     sets = _tables.stored(sets.dropDuplicates(["cls"]))
     _tables.dropped(first)
     star = members.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
     found = _tables.stored(verified(star, sets, num, den))
-    # Classes of one bucket that are not connected yet, but for the smallest one, which has been compared with all.
     comp = _tables.stored(_tables.components(found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
-    rest = members.where("cls <> low").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    late = _tables.stored(verified(unconnected(rest, sets, num, den), sets, num, den))
-    _tables.dropped(members, sets, found)
-    if late.isEmpty():
-        return comp
-    # Later links join components that the first ones made.
-    of = lambda c: comp.select(F.col("cls").alias(c), F.col("comp").alias(f"c{c}"))
-    late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = _tables.stored(_tables.components(late))
-    every = comp.unionByName(joined.select(F.col("id").alias("cls"), F.col("id").alias("comp")).join(comp.select("cls"), "cls", "left_anti"))
-    return every.join(joined, every.comp == joined.id, "left").select("cls", F.coalesce("component", "comp").alias("comp"))
+    # Classes of one bucket that are not connected yet, but for the smallest one, which has been compared with all.
+    rest = members.where("cls <> low").select("key", "cls")
+    sizes = sets.select("cls", "size")
+    open_ = _open(rest, comp, sizes)
+    costs = lambda: float(open_.where("costly").agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0])
+    now, turn = costs(), 0
+    while now:
+        costly = open_.where("costly").select("key", "cls", "comp")
+        drawn = costly.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(turn * PIVOTS + j)).alias("h"), "cls", "comp")) for j in range(PIVOTS)])).alias("pivots"))
+        drawn = drawn.select("key", F.explode("pivots").alias("p")).select("key", F.col("p.cls").alias("a"), F.col("p.comp").alias("ca"))
+        tried = costly.join(drawn, "key").where("comp <> ca").select("a", F.col("cls").alias("b")).distinct()
+        comp = _merged(comp, _tables.stored(verified(tried, sets, num, den)))
+        open_ = _open(open_.select("key", "cls"), comp, sizes)
+        before, now, turn = now, costs(), turn + 1
+        if now > before / 2:
+            break
+    late = _tables.stored(verified(unconnected(open_, sets, num, den), sets, num, den))
+    _tables.dropped(members, sets, found, open_)
+    return comp if late.isEmpty() else _merged(comp, late)
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -322,9 +339,10 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     Of rows that share both id and text one stays.  Rows without an id cannot be told apart and stay.
     """
     joined = _tables.stored(ngram_join(docs, n, num, den))
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = _tables.stored(joined.where("component_id <> doc_id").select("doc_id").distinct())
+    left = docs.join(_tables.small(gone), "doc_id", "left_anti")
     again = _tables.stored(joined.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    some = _tables.small(again)
+    return left.join(some, "doc_id", "left_anti").unionByName(left.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

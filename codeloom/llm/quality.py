@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most `sample` rows of 12 bytes
-    some = some.select(F.struct("doc_id", "quality").alias("label"), "text")
+    # One row an id, whatever the table repeats, so that what reaches the driver is bounded by `sample`.
+    some = some.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.struct("doc_id", "quality").alias("label"), "text")
     got = features(some.select(F.to_json("label").alias("label"), "text"), "label").toPandas()
     if not len(got):
         return Model()
