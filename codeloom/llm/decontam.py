@@ -1,17 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Rarity is counted over all documents.  The index keeps postings (document,
-position) of the rarest term of every benchmark window; each posting moves to
-where the window would start.  At those starts the lists of the next rarest
-terms are intersected, then those of all terms, which leaves exact phrases.
-Starts at which the rarest terms meet only within SLOP words are proximity
-matches.  Frequent terms are looked up at starts that rare ones leave, so their
-postings never travel.
-
-A window that stands in several items is one window.  Null texts have no
-words.  Repeated rows have equal results; rows that share an id are told apart
-by their text.  Without benchmark or documents nothing is hit.  Repeated
-item_ids count once; a null item_id has no name and is left out.
+Rarity is document frequency, counted over all documents.  The index stores
+postings (term, document, position) of the KEYS rarest terms of every
+benchmark window.  A window's lists, each moved by the term's offset in the
+window, are intersected document by document, from the rarest term on: first
+starts at which the others follow at exactly their offsets, or within SLOP
+words of them.  Starts that are left are held against the whole window, which
+gives exact phrases; the others are proximity matches.
+
+A window that stands in several items is one window.  Windows of fewer
+different terms have fewer lists.  Null and empty texts have no words, and are
+clean.  Repeated rows have equal results; rows that share an id are told apart
+by their text.  A very long text is one list of positions a term.  Without
+benchmark or documents nothing is hit, and empty documents give no rows.
+Repeated item_ids count once; a null item_id has no name and is left out.  Ties
+in frequency are broken by the term.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ from pyspark.sql import functions as F
 from codeloom.llm import _tables
 
 KEYS, SLOP = 3, 4
-#: Terms, windows or ids that are broadcast at most; beyond, joins are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -32,10 +33,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def windows(benchmark: DataFrame, length: int) -> DataFrame:
     """(win, terms, items): distinct windows; an item with fewer words is one window."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
@@ -45,47 +42,80 @@ def windows(benchmark: DataFrame, length: int) -> DataFrame:
     return rows.select(F.xxhash64("terms").alias("win"), "terms", "items")
 
 
-def occurrences(docs: DataFrame, wins: DataFrame, n_windows: int) -> DataFrame:
+def key_terms(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """(win, keys): array of (term, offset) of the KEYS rarest terms of each window, rarest first; windows with a term that no document has are gone."""
+    terms = wins.select("win", F.posexplode("terms").alias("offset", "term"))
+    wanted = _tables.stored(terms.select("term").distinct())
+    held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    counts = _tables.stored(held.join(_tables.small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # One place of a term in a window is enough.
+    first = terms.groupBy("win", "term").agg(F.min("offset").alias("offset")).join(counts, "term", "left")
+    ranked = first.groupBy("win").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "offset"))), 1, KEYS).alias("keys"), F.min(F.col("df").isNotNull()).alias("known"))
+    out = _tables.stored(ranked.where("known").select("win", F.transform("keys", lambda k: F.struct(k["term"].alias("term"), k["offset"].alias("offset"))).alias("keys")))
+    _tables.dropped(wanted, counts)
+    return out
+
+
+#: Positions of a block: lists meet by document, term and block, so that a term that is frequent in a long text is many keys.
+BLOCK = 16
+
+
+def postings(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(term, doc_id, text_key, pos) of all terms of keys(win, keys) in docs(doc_id, text_key, text), terms as their hashes."""
+    terms = _tables.stored(keys.select(F.explode("keys.term").alias("term")).distinct())
+    held = docs.select("doc_id", "text_key", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(_tables.small(terms), "term")
+    # Rows that share id and text have one list.
+    return _tables.stored(held.select(F.xxhash64("term").alias("term"), "doc_id", "text_key", "pos"))
+
+
+def intersected(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(win, doc_id, text_key, start): starts of windows whose key terms all stand in their places, or within SLOP of them."""
+    place = ["doc_id", "text_key"]
+    key = lambda k: F.get("keys", F.lit(k))
+    wide = keys.select("win", *(x for k in range(KEYS) for x in (F.when(key(k).isNotNull(), F.xxhash64(key(k)["term"])).alias(f"t{k}"), key(k)["offset"].alias(f"o{k}"))))
+    wide = _tables.stored(wide.withColumn("term", F.col("t0")))
+    out = index.join(_tables.small(wide), "term").select(*place, "win", (F.col("pos") - F.col("o0")).alias("start"), *(f"{c}{k}" for k in range(1, KEYS) for c in "to")).distinct()
+    block = lambda c: F.floor(c / BLOCK)
+    other = index.select(*place, "term", "pos", block(F.col("pos")).alias("block"))
+    for k in range(1, KEYS):
+        at = F.col("start") + F.col(f"o{k}")
+        asked = out.where(F.col(f"t{k}").isNotNull()).withColumn("term", F.col(f"t{k}")).withColumn("at", at).withColumn("block", F.explode(F.sequence(block(at - SLOP), block(at + SLOP))))
+        hits = asked.join(other, [*place, "term", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= SLOP).select(*out.columns).distinct()
+        out = hits.unionByName(out.where(F.col(f"t{k}").isNull()))
+    return out.select("win", *place, "start")
+
+
+def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(doc_id, text_key, win, start, length, exact) of docs(doc_id, text_key, text): exact phrase and proximity matches."""
     place = ["doc_id", "text_key"]
-    terms = wins.select("win", F.posexplode("terms").alias("offset", "term"))
-    exploded = docs.select(*place, F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    counts = exploded.select("term").join(_small(terms.select("term").distinct(), 10 * n_windows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counts = _tables.stored(counts)
-    # Rarest first; a term that no document has comes first of all and leaves its window no postings.
-    ranked = terms.join(counts, "term", "left").groupBy("win").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))), 1, KEYS).alias("keys"))
-    keys = _tables.stored(ranked.select("win", F.col("keys")[0]["term"].alias("term"), F.col("keys")[0]["offset"].alias("offset"), F.expr("transform(slice(keys, 2, 100), k -> struct(k.offset, k.term))").alias("others")))
-    postings = exploded.join(_small(keys, n_windows), "term").select(*place, F.struct("win", (F.col("pos") - F.col("offset")).alias("start"), "others").alias("c"))
-    lists = _tables.stored(postings.groupBy(*place).agg(F.collect_list("c").alias("lists")))
-    # The other rare terms, in the documents that are left.
-    n_docs = lists.count()
-    some = docs.join(_small(lists.select(*place), n_docs), place, "left_semi").dropDuplicates(place).join(lists, place)
-    at = lambda k: F.coalesce(F.get("w", k), F.lit(""))
-    slop = F.array(*[F.lit(d) for d in range(-SLOP, SLOP + 1)])
-    close = lambda c: F.forall(c["others"], lambda o: F.exists(slop, lambda d: at(c["start"] + o["offset"] + d) == o["term"]))
-    near = some.select(*place, words(F.col("text")).alias("w"), "lists").select(*place, "w", F.filter("lists", close).alias("lists"))
+    keys = key_terms(docs, wins)
+    index = postings(docs, keys)
+    found = intersected(index, keys).join(_tables.small(wins.select("win", "terms"), wins), "win")
+    found = _tables.stored(found.groupBy(*place).agg(F.collect_list(F.struct("win", "terms", "start")).alias("found")))
+    _tables.dropped(index, keys)
+    # The whole window at the starts that are left; each text is split once.
+    some = docs.join(_tables.small(found.select(*place), found), place, "left_semi").dropDuplicates(place).join(_tables.small(found), place)
+    some = some.select(*place, words(F.col("text")).alias("w"), "found")
     # The outer form, as for the inner one a filter on the list would be pushed down, with the words split again for each element.
-    near = near.select(*place, "w", F.explode_outer("lists").alias("c")).where("c is not null").select(*place, "w", "c.win", "c.start")
-    near = near.join(_small(wins.select("win", "terms"), n_windows), "win")
+    near = some.select(*place, "w", F.explode_outer("found").alias("c")).where("c is not null").select(*place, "w", "c.win", "c.terms", "c.start")
     exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-    found = near.select(*place, "win", "start", F.size("terms").alias("length"), exact.alias("exact"))
-    # A proximity match counts where its window has no exact one, and only if it has terms to be near to.
-    return found.where(F.col("exact") | (F.col("length") > 1))
+    return near.select(*place, "win", "start", F.size("terms").alias("length"), exact.alias("exact")).where(F.col("exact") | (F.col("length") > 1))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """One row per row of docs(doc_id, text): words, words inside windows of benchmark items, those items, proximity matches."""
     wins = _tables.stored(windows(benchmark, length))
-    n_windows = wins.count()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = _tables.stored(occurrences(rows, wins, n_windows).dropDuplicates(["doc_id", "text_key", "win", "start"]))
+    found = _tables.stored(occurrences(rows, wins).dropDuplicates(["doc_id", "text_key", "win", "start"]))
     place = ["doc_id", "text_key"]
     hit = found.where("exact").select(*place, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n_hit"))
-    items = found.where("exact").select(*place, "win").distinct().join(_small(wins.select("win", "items"), n_windows), "win").select(*place, F.explode("items").alias("item")).groupBy(*place).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = found.where("exact").select(*place, "win").distinct().join(_tables.small(wins.select("win", "items"), wins), "win").select(*place, F.explode("items").alias("item")).groupBy(*place).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # A proximity match counts where its window has no exact one.
     near = found.where("not exact").select(*place, "win").distinct().join(found.where("exact").select(*place, "win").distinct(), [*place, "win"], "left_anti").groupBy(*place).agg(F.count(F.lit(1)).alias("n_near"))
     marks = _tables.stored(hit.join(items, place, "full").join(near, place, "full"))
+    _tables.dropped(found, wins)
     n_words = rows.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = n_words.join(_small(marks, marks.count()), place, "left")
+    out = n_words.join(_tables.small(marks), place, "left")
     none = F.array().cast("array<string>")
     return out.select(
         F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
@@ -96,4 +126,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
 def keep_clean(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of a benchmark item; rows without an id stay."""
     marked = _tables.stored(decontaminate(docs, benchmark, length).where("contaminated and doc_id is not null").select("doc_id").distinct())
-    return docs.join(_small(marked, marked.count()), "doc_id", "left_anti")
+    return docs.join(_tables.small(marked), "doc_id", "left_anti")
