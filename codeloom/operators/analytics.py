@@ -173,6 +173,10 @@ def coupling(edges: DataFrame, file_of: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.sum("w").alias("weight"))
 
 
+#: A round that raises modularity by less ends the moves.
+LEAST_GAIN = 1e-5
+
+
 def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, community): modularity moves on links(a, b, weight), as long as they raise modularity.
 
@@ -180,7 +184,8 @@ def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
     gain, weight to it less resolution * degree * community degree / 2m; of
     equal ones it stays, or takes the least.  Only every other half of the nodes,
     by hash, may move in a round, so that neighbours don't swap places for ever.
-    When neither half raises modularity any more, the best state stands.
+    When neither half raises modularity by LEAST_GAIN any more, the best state
+    stands.
     """
     both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
     degree = stored(both.groupBy("id").agg(F.sum("weight").alias("k")))
@@ -194,7 +199,7 @@ def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
         inside = near.join(own, "id").where("community = own").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
         spread = size.agg(F.coalesce(F.sum(F.col("ck") * F.col("ck")), F.lit(0.0))).first()[0]
         modularity = inside / total - resolution * spread / total / total
-        if top is None or modularity > top + 1e-9:
+        if top is None or modularity > top + LEAST_GAIN:
             top, since, best = modularity, 0, now
         else:
             since += 1
