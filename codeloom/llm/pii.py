@@ -3,19 +3,26 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found
 by linear-time forms of their patterns and checked (parts, Luhn, digits).
 
-Every value found is a protected entity.  How strongly a term near it reveals
-it is pointwise mutual information over the entity's information content,
+Every value found is a protected entity, and so is the holding of a
+credential, which labels as `token =` announce.  How strongly a term reveals an
+entity is pointwise mutual information over the entity's information content,
     log(N * c(t, e) / (c(t) * c(e))) / log(N / c(e)),
 with N different texts, c(t) and c(e) those that hold the term or the entity,
-c(t, e) those that hold the term within REACH characters of the entity: 1 if
-the term never occurs without the entity.  A term that reveals an entity by
-DISCLOSURE or more, however few texts hold them, is removed near it: its span is
-added with kind `term`, and in the sanitised text it becomes [TERM].  A term
-whose occurrences without the entity bring it below that is left.
-
-All counts are over all documents.  Copies count once.  Null and empty texts
-have no spans.  Rows are keyed by id and text, so repeated rows and ids get
-equal results; a null id is kept as null.
+c(t, e) those that hold both: 1 if the term never occurs without the entity.
+Candidates are terms that stand within REACH characters of the entity in some
+text: words of three letters or more, and opaque strings of letters and digits
+(only these, for credentials).  In every text that holds the entity all
+occurrences of a term that reveals it by DISCLOSURE or more are spans of kind
+`term` and become [TERM] in the sanitised text; from GENERALISE on they are
+spans of kind `broad` and become the name of their class: [NAME] with a
+capital, [CODE] if opaque, else [WORD].  Other terms are left.
+
+All counts are over all documents, each different text once.  Null and empty
+texts have no spans, and an empty table gives no rows.  Very long texts are
+searched whole; positions are summed in blocks.  Equal starts are ordered by
+kind as listed.  Results depend on the text alone, so repeated rows and rows
+that share an id get those of their text; a null id is kept as null.  Other
+columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +44,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-REACH, DISCLOSURE = 64, 0.9
-#: Terms (8 bytes each) and texts that are broadcast at most; beyond, joins are shuffled.
-BROADCAST_ROWS = 1_000_000
+REACH, DISCLOSURE, GENERALISE = 64, 0.9, 0.8
 #: Prefix sums go over blocks of so many matches, so that texts with very many matches don't cost the square.
 BLOCK = 256
 
@@ -64,17 +69,6 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches in a short text, in code points: between matches are the pieces that a split leaves."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
-    before = lambda k: F.aggregate(F.slice(steps, F.lit(1), k + 1), F.lit(0), lambda a, x: a + x)
-    spans = F.transform(found, lambda m, k: F.struct((before(k) - F.length(m)).alias("start"), before(k).alias("end"), m.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(found) > 0, spans).otherwise(none)
-
-
 def placed(rows: DataFrame, patterns: dict[str, str], wanted: Callable[[str, Column], Column] = lambda name, m: F.lit(True)) -> DataFrame:
     """rows(.., text) with a column for each name of patterns: array of (start, end, value) of its wanted matches.
 
@@ -111,22 +105,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-#: Terms are words of letters, lower-cased, of three letters or more.
-_TERM = r"[\p{L}]{3,}"
+#: Terms, lower-cased: opaque strings of letters and digits, and words of three letters or more.
+_OPAQUE = r"(?<![\p{L}\p{N}])(?=\p{L}*\p{N})(?=\p{N}*\p{L})[\p{L}\p{N}_]{16,}+"
+_TERM = rf"{_OPAQUE}|\p{{L}}{{3,}}+"
+#: Labels that announce a credential.
+_LABEL = r"(?i)(?<![\p{L}\p{N}])(?:token|password|passwd|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\x22']?\s*[=:]"
 #: Addresses in letters that the pattern of e-mail does not know; a term in one is removed with the whole of it.
 _ADDRESS = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+"
-
-
-def _context(text: Column, span: Column) -> Column:
-    """Words near a span: array of (start, end, value); words that the reach cuts are left out."""
-    left_at = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    whole = lambda m, part, cut_left, cut_right: ~((cut_left & (m["start"] == 0)) | (cut_right & (m["end"] == F.length(part))))
-    on_left = F.filter(matches(left, _TERM), lambda m: whole(m, left, left_at > 0, F.lit(True)))
-    on_right = F.filter(matches(right, _TERM), lambda m: whole(m, right, F.lit(True), F.length(right) == REACH))
-    moved = lambda ms, by: F.transform(ms, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("term")))
-    return F.concat(moved(on_left, left_at), moved(on_right, span["end"]))
+_EXTRA = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
 def _meet(x: Column, y: Column) -> Column:
@@ -136,60 +122,72 @@ def _meet(x: Column, y: Column) -> Column:
 def _widened(term: Column, address: Column) -> Column:
     """A term's (start, end, term); in an address, those of the address."""
     whole = F.get(F.filter(address, lambda a: _meet(term, a)), F.lit(0))
-    return F.struct(F.coalesce(whole["start"], term["start"]).alias("start"), F.coalesce(whole["end"], term["end"]).alias("end"), term["term"].alias("term"))
+    return F.struct(F.coalesce(whole["start"], term["start"]).alias("start"), F.coalesce(whole["end"], term["end"]).alias("end"), F.lower(term["value"]).alias("term"), F.rlike(term["value"], F.lit(r"\p{N}")).alias("opaque"))
+
+
+def _blocks(start: Column, end: Column, reach: int) -> Column:
+    """Numbers of the blocks of REACH characters that a span with `reach` characters on both sides touches."""
+    return F.explode(F.sequence(F.floor(F.greatest(start - reach, F.lit(0)) / REACH), F.floor((end + reach) / REACH)))
+
+
+def disclosure(n: int, c_t: Column, c_e: Column, c_te: Column) -> Column:
+    return F.log(F.lit(float(n)) * c_te / (c_t * c_e)) / F.log(F.lit(float(n)) / c_e)
 
 
 def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text_key, extra): spans of revealing terms near entities, for rows(doc_id, text_key, text) with spans(.., base)."""
-    place = ["doc_id", "text_key"]
-    near = placed(spans.where(F.size("base") > 0), {"address": _ADDRESS}).withColumn("address", F.filter("address", lambda a: ~F.exists("base", lambda s: _meet(a, s))))
-    near = near.select(*place, "text", "address", F.explode("base").alias("span"))
-    near = near.select(*place, F.concat(F.col("span.kind"), F.lit(":"), F.lower("span.value")).alias("entity"), F.transform(_context(F.col("text"), F.col("span")), lambda m: _widened(m, F.col("address"))).alias("context"))
-    near = _tables.stored(near.select(*place, "entity", F.explode_outer("context").alias("c")).select(*place, "entity", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.term").alias("term")).distinct())
-    # Pre-aggregated per text, so copies of a text count once.
-    pair = near.where("term is not null").groupBy("term", "entity", "text_key").agg(F.lit(1).alias("one")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te"))
-    pair = _tables.stored(pair)
-    if pair.isEmpty():
-        return near.select(*place, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("extra")).limit(0)
-    c_e = near.groupBy("entity", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    # Terms of all different texts; a term is carried as a hash, candidates as well.
-    # One row stands for the copies of a text; of rows that are the same throughout, the terms are made distinct.
-    same = rows.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = _tables.stored(same.groupBy("text_key").agg(F.min(F.struct("doc_id", "rows")).alias("one")).select("text_key", "one.doc_id", "one.rows"))
-    n = kept.count()
+    """(text_key, extra): spans of revealing terms in texts with entities, for rows(text_key, text) with spans(text_key, text, base)."""
+    # Written before lambdas refer to it, as they would evaluate the patterns again for each element.
+    held = _tables.stored(placed(spans.where(F.col("text").isNotNull()).select("text_key", "base", "text"), {"address": _ADDRESS, "label": _LABEL, "term": _TERM}).drop("text"))
+    near_base = held.withColumn("address", F.filter("address", lambda a: ~F.exists("base", lambda s: _meet(a, s))))
+    values = F.transform("base", lambda s: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    labels = F.transform("label", lambda s: F.struct(F.lit("credential").alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    each = near_base.select("text_key", F.concat(values, labels).alias("entities"), F.transform("term", lambda t: _widened(t, F.col("address"))).alias("terms")).where(F.size("entities") > 0)
+    # Copies of a text count once.
+    entities = _tables.stored(each.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*").distinct())
+    terms = _tables.stored(each.select("text_key", F.explode("terms").alias("t")).select("text_key", "t.*").distinct())
+    near = terms.withColumn("block", _blocks(F.col("start"), F.col("end"), 0)).join(entities.select("text_key", "entity", F.col("start").alias("e0"), F.col("end").alias("e1")).withColumn("block", _blocks(F.col("e0"), F.col("e1"), REACH)), ["text_key", "block"])
+    near = near.where((F.col("end") + REACH >= F.col("e0")) & (F.col("start") <= F.col("e1") + REACH) & ((F.col("end") <= F.col("e0")) | (F.col("start") >= F.col("e1"))) & (F.col("opaque") | (F.col("entity") != "credential")))
+    pair = near.select("term", "entity").distinct()
+    holders = entities.select("text_key", "entity").distinct()
+    c_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
+    n = rows.select("text_key").distinct().count()
+    # Terms of all different texts, as hashes; counted before they meet the candidates.
     code = lambda c: F.xxhash64(c)
-    held = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))
-    wanted = _tables.stored(pair.select(code(F.col("term")).alias("code")).distinct())
-    one = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
-    every = rows.join(one, place).select("text_key", "rows", F.explode(held).alias("code"))
-    every = every.where("rows = 1").select("code").unionByName(every.where("rows > 1").select("text_key", "code").distinct().select("code"))
-    # Counted first: what meets the candidates is one row a term, not one a text.
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    c_t = every.groupBy("code").agg(F.count(F.lit(1)).alias("c_t")).join(wanted, "code", "left_semi")
-    strength = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(F.lit(float(n)) / F.col("c_e"))
-    told = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where((F.col("c_e") < n) & (strength >= DISCLOSURE)).select("term", "entity")
-    marked = near.join(told, ["term", "entity"]).groupBy(*place, "start", "end").agg(F.min("term").alias("term"))
-    struct = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))
-    return marked.groupBy(*place).agg(F.array_sort(F.collect_set(struct)).alias("extra"))
+    every = rows.select("text_key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))).alias("code"))
+    c_t = _tables.stored(every.distinct().groupBy("code").agg(F.count(F.lit(1)).alias("c_t")))
+    pair = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where(F.col("c_e") < n)
+    # At most min(c_t, c_e) texts hold both, so a term that is more frequent than this can't reveal the entity.
+    pair = _tables.stored(pair.where(disclosure(n, F.col("c_t"), F.col("c_e"), F.least("c_t", "c_e")) >= GENERALISE).select("term", "entity", "c_t", "c_e"))
+    both = pair.join(terms.select("term", "text_key").distinct(), "term").join(holders, ["text_key", "entity"])
+    both = _tables.stored(both.select("term", "entity", "text_key", "c_t", "c_e"))
+    told = both.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te"), F.first("c_t").alias("c_t"), F.first("c_e").alias("c_e"))
+    told = told.select("term", "entity", disclosure(n, F.col("c_t"), F.col("c_e"), F.col("c_te")).alias("strength")).where(F.col("strength") >= GENERALISE)
+    marked = both.join(told, ["term", "entity"]).groupBy("text_key", "term").agg(F.max("strength").alias("strength"))
+    marked = terms.join(marked, ["text_key", "term"]).groupBy("text_key", "start", "end").agg(F.max(F.struct("strength", "term", "opaque")).alias("t"))
+    sure = F.col("t.strength") >= DISCLOSURE
+    struct = F.struct("start", F.when(sure, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"), F.when(sure, "term").otherwise("broad").alias("kind"), "end", F.when(F.col("t.opaque"), "code").otherwise("word").alias("value"))
+    out = _tables.stored(marked.groupBy("text_key").agg(F.array_sort(F.collect_list(struct)).cast(_EXTRA).alias("extra")))
+    _tables.dropped(held, entities, terms, c_t, pair, both)
+    return out
 
 
 def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): counts and digest of base spans, all spans, and with_text the sanitised text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    # Written once: base spans, and the texts that have some.
-    text = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
-    spans = _tables.stored(with_base(rows).select("doc_id", "text_key", "base", text.alias("text")))
-    extra = _tables.stored(revealing(rows, spans))
-    out = spans.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS // 10 else extra, ["doc_id", "text_key"], "left")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    # Written once: base spans, and the texts that have some or a credential's label.
+    marked = (F.size("base") > 0) | F.rlike("text", F.lit(_LABEL))
+    spans = _tables.stored(with_base(rows).select("doc_id", "text_key", "base", F.when(marked | F.lit(with_text), F.col("text")).alias("text")))
+    extra = revealing(rows, spans)
+    out = spans.join(_tables.small(extra), "text_key", "left")
+    none = F.array().cast(_EXTRA)
     # A term inside a base span is part of it.
     outside = F.filter(F.coalesce("extra", none), lambda t: ~F.exists("base", lambda s: _meet(t, s)))
     every = F.array_sort(F.concat("base", outside))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    columns = [F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans")]
+    columns = [F.when(F.col("doc_id") != _tables.NO_ID, F.col("doc_id")).alias("doc_id"), *(count(k) for k in KINDS), F.size(outside).cast("long").alias("n_term"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans")]
     if with_text:
         # Overlapping spans are blanked from the last one's start on; what overlaps is left to the earlier span.
-        pieces = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
+        pieces = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.when(s["kind"] != "broad", F.upper(s["kind"])).when(s["value"] == "code", "CODE").when(F.rlike(F.substring(F.col("text"), s["start"] + 1, F.lit(1)), F.lit(r"\p{Lu}")), "NAME").otherwise("WORD"), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
         columns.append(F.concat(pieces["out"], F.substring(F.col("text"), pieces["at"] + 1, F.length("text"))).alias("sanitised"))
     return out.select(*columns)
