@@ -10,13 +10,18 @@ The parser cuts at "<s>", drops the "</s>" that ends a turn, reads the mark
 and the role up to the first line break, and takes user texts out of their
 brackets.  A turn is rendered plainly first and parsed again; where what comes
 back is not what went in, the turn is rendered with control strings escaped
-("~" as ~0, "<" as ~1, "[" as ~2, and for roles the line break as ~3), which
-always comes back.  What is reported is read from the rendered text.
+("~" as ~0, "<" as ~1, "[" as ~2, and for roles the line break as ~3).  Then
+the conversation is rendered as a whole, parsed again and compared turn by turn
+with its source; if any turn differs, all turns are escaped, and that is parsed
+and compared as well: a text that would still differ stops the query.  What is
+reported is read from the rendered text.
 
 Null text or role counts as empty.  Rows of a conversation are ordered by
 turn, a null turn first, then by role and text; repeated rows stay, as
 repeated turns.  A null conv_id is a conversation of its own.  A conversation
-becomes one rendered string, so it must fit a row, as any document must.
+becomes one rendered string, so it must fit a row, as any document must; very
+long texts cost time in proportion.  An empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -87,10 +92,16 @@ def render_turns(conversations: DataFrame) -> DataFrame:
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted): the whole rendered text of each conversation."""
+    """(conv_id, formatted): the whole rendered text of each conversation, which reads back as its turns."""
     rows = render_turns(conversations)
     turns = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text", "rendered")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join("turns.rendered", "").alias("formatted"))
+    # Step by step in columns, so that nothing is rendered or parsed twice.
+    out = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("formatted", F.array_join("turns.rendered", ""))
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    out = out.withColumn("exact", parse(F.col("formatted")) == source)
+    out = out.withColumn("formatted", F.when(F.col("exact"), F.col("formatted")).otherwise(F.array_join(F.transform("turns", lambda t: escaped(t["role"], t["text"])), "")))
+    lost = F.raise_error(F.concat(F.lit("the turns of a conversation do not come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    return out.select("conv_id", F.when(F.col("exact"), F.col("formatted")).when(parse(F.col("formatted")) == source, F.col("formatted")).otherwise(lost).alias("formatted"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
