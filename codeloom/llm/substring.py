@@ -10,22 +10,29 @@ document with a smaller id are removed; windows next to each other make up
 maximal repeats.
 
 Both exchanges move packed arrays, a few bytes a word, grouped by a slice of
-the hash space; the number of slices follows the input, so that one slice
-fits a task.  Anchors carry 40 bits of hash (a false hit costs work, never
-results), windows 64 bits and independent bits that choose the slice.
+the hash space; the number of slices follows the bytes of the texts, so that
+one slice fits a task.  What a task can tell by itself does not travel: of a
+block or window that it meets often, it sends one witness and answers the
+others at once, so a passage that very many documents share reaches its slice
+once a task's unit of words, not once a document.  Anchors carry 40 bits of
+hash (a false hit costs work, never results), windows 64 bits and independent
+bits that choose the slice.
 
 Null and empty texts have no words and keep nothing.  Rows that share an id
 are not smaller than each other, so neither loses words to the other; a null
-id orders after all others.  Texts shorter than a window stay whole.
+id orders after all others.  Texts shorter than a window stay whole; very long
+ones are read whole, a slice of words at a time.  Repeated rows get equal
+results, an empty table none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,8 @@ from codeloom.llm import _tables, _text
 
 #: Words that a task packs at a time, and entries of a slice of the hash space.
 UNIT, SLICE = 1 << 20, 1 << 20
-#: Ids that are broadcast at most (8 bytes each); beyond, a shuffled join takes over.
-BROADCAST_IDS = 2_000_000
+#: Bytes of text that a word takes, for the number of slices only.
+WORD_BYTES = 6
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -89,7 +96,7 @@ def replies(row: np.ndarray, place: np.ndarray, keys: list[np.ndarray], parts: i
     return pa.Table.from_batches([pack(group[row] if len(row) else row, place.astype(np.uint64), 4, row, np.zeros(len(row), np.int64), keys)])
 
 
-def collected(df: DataFrame, names: list[str]) -> DataFrame:
+def collected(df: DataFrame, names: list[str], parts: int) -> DataFrame:
     """One row per document with all its places, from packed replies."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -103,13 +110,40 @@ def collected(df: DataFrame, names: list[str]) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(place)]]).astype(np.int32)), pa.array(place.astype(np.int32)))
         return pa.Table.from_arrays([*(pa.array(k[first]) for k in keys), lists], [*names, "places"])
 
-    return df.groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", places array<int>")
+    return df.repartition(parts, "part").groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", places array<int>")
 
 
 def _text_key(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the group of equal codes for each entry, size of each group)."""
+    _, group, size = np.unique(code, return_inverse=True, return_counts=True)
+    return group, size
+
+
+#: Entries of a slice, or answers that a task found itself, which pass by.
+PACKED = "part long, blob binary, told boolean"
+
+
+def _marked(packed: pa.Table | pa.RecordBatch, told: bool) -> pa.RecordBatch:
+    table = packed if isinstance(packed, pa.Table) else pa.Table.from_batches([packed])
+    table = table.append_column("told", pa.array(np.full(len(table), told)))
+    return table.combine_chunks().to_batches()[0] if len(table) else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.bool_())], ["part", "blob", "told"])
+
+
+def _dealt(packed: DataFrame, parts: int, match: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Answers to packed(part, blob, told): match answers the entries of a slice."""
+
+    def run(table: pa.Table) -> pa.Table:
+        told = table.column("told")
+        some, passed = table.filter(pc.invert(told)), table.filter(told).select(["part", "blob"])
+        return pa.concat_tables([match(some), passed]) if len(some) else passed
+
+    return packed.repartition(parts, "part").groupBy("part").applyInArrow(run, "part long, blob binary")
+
+
 def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
     """(doc_id, places): where a rolling block of a document is a reference block elsewhere."""
 
@@ -117,9 +151,20 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         kept: list[tuple] = []
         words = docs_so_far = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             code, row, place, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-            return pack(((code >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), code & np.uint64((1 << 40) - 1), 5, row, place, [ids])
+            # Next to a reference block of this unit every other entry is a hit; one block speaks for all to other tasks.
+            fixed = place % block == 0
+            group, size = _groups(code)
+            blocks = np.bincount(group, fixed, len(size)).astype(np.int64)
+            hit = (blocks[group] > fixed) & (size[group] > 1)
+            witness = np.zeros(len(code), bool)
+            at = np.flatnonzero(fixed)
+            witness[at[np.unique(group[at], return_index=True)[1]]] = True
+            yield _marked(replies(row[hit], place[hit], [ids], parts), True)
+            send = ~hit | witness
+            code, row, place = code[send], row[send], place[send]
+            yield _marked(pack(((code >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), code & np.uint64((1 << 40) - 1), 5, row, place, [ids]), False)
 
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -131,10 +176,10 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
                 docs_so_far += b - a
                 words += len(at)
                 if words >= UNIT:
-                    yield flush()
+                    yield from flush()
                     kept, words, docs_so_far = [], 0, 0
         if words:
-            yield flush()
+            yield from flush()
 
     def match(table: pa.Table) -> pa.Table:
         code, row, place, keys = unpack(table.column("blob"), 5, 1)
@@ -147,8 +192,7 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         hit = (index[at] == code) & (~fixed | (count[at] > 1))
         return replies(row[hit], place[hit], keys, parts)
 
-    packed = docs.mapInArrow(probe, "part long, blob binary")
-    return collected(packed.groupBy("part").applyInArrow(match, "part long, blob binary"), ["doc_id"])
+    return collected(_dealt(docs.mapInArrow(probe, PACKED), parts, match), ["doc_id"], parts)
 
 
 def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
@@ -158,9 +202,16 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
         kept: list[tuple] = []
         words = docs_so_far = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             part, code, row, place, ids, keys = (np.concatenate(x) for x in zip(*kept, strict=True))
-            return pack(part, code, 8, row, place, [ids, keys])
+            # What has a smaller id in this unit is late; one window of the smallest speaks for all to other tasks.
+            group, size = _groups(code)
+            low = np.full(len(size), np.iinfo(np.int64).max)
+            np.minimum.at(low, group, ids[row])
+            late = ids[row] > low[group]
+            yield _marked(replies(row[late], place[late], [ids, keys], parts), True)
+            send = ~late
+            yield _marked(pack(part[send], code[send], 8, row[send], place[send], [ids, keys]), False)
 
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -183,10 +234,10 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 docs_so_far += b - a
                 words += len(at)
                 if words >= UNIT:
-                    yield flush()
+                    yield from flush()
                     kept, words, docs_so_far = [], 0, 0
         if words:
-            yield flush()
+            yield from flush()
 
     def match(table: pa.Table) -> pa.Table:
         code, row, place, keys = unpack(table.column("blob"), 8, 2)
@@ -198,8 +249,7 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
         late[order] = ids > low
         return replies(row[late], place[late], keys, parts)
 
-    packed = hits.select("doc_id", "text", "places").mapInArrow(extend, "part long, blob binary")
-    return collected(packed.groupBy("part").applyInArrow(match, "part long, blob binary"), ["doc_id", "text_key"])
+    return collected(_dealt(hits.select("doc_id", "text", "places").mapInArrow(extend, PACKED), parts, match), ["doc_id", "text_key"], parts)
 
 
 def _rest(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -232,17 +282,14 @@ def substring_dedup(docs: DataFrame, block: int = 7, with_text: bool = False) ->
     _tables.bounded_batches(spark)
     window = 2 * block - 1
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A byte of a stored text table stands for about a third of a word.
-    parts = _tables.pieces(docs, 3 * SLICE, most=1 << 20)
+    parts = 1 + int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]) // (WORD_BYTES * SLICE)
     hits = _tables.stored(anchors(docs, block, parts))
-    ids = hits.select("doc_id")
-    if hits.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = docs.join(ids, "doc_id", "left_semi")
+    ids = _tables.stored(hits.select("doc_id").distinct())
+    some = docs.join(_tables.small(ids), "doc_id", "left_semi")
     late = _tables.stored(repeats(some.join(hits, "doc_id"), block, window, parts))
-    ids = late.select("doc_id").distinct()
-    if late.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    _tables.dropped(hits, ids)
+    ids = _tables.stored(late.select("doc_id").distinct())
+    ids = _tables.small(ids)
     # Only texts that lose words are joined with them; all others pass by.
     key = _keyed(docs.join(ids, "doc_id", "left_semi"))
     cut = key.join(late, ["doc_id", "text_key"], "left").select("doc_id", "text", "places")
