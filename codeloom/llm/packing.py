@@ -7,12 +7,22 @@ first, the successor search goes from the residual of exactly its length
 upwards and stops at the tightest bin without a conflict; if no open bin is
 free of conflicts it opens a new one at once.
 
-Documents are dealt by a hash into shards of about SHARD pieces, which are
-packed on their own, so no task sees more than that, however large a source or
-a group of copies is; a shard leaves few bins badly filled.  Texts longer than
-a sequence are cut into pieces; every word is packed.  Null, empty and
-word-less texts have nothing to pack and give no row.  Null sources are one
-source.  Repeated rows are copies and never share a bin.
+Pieces are dealt by a hash into shards of about SHARD, which are packed on
+their own, so no task sees more than that, however large a source or a group of
+copies is: the hash takes in a number of the row, so neither rows without an id
+nor rows that repeat one meet in one shard.  Bins that a shard leaves with more
+than a fiftieth of their room are opened again, and their pieces dealt to fewer
+shards, as long as one shard is not enough and bins are more than a fiftieth
+above what words, the largest source and the largest cluster need at least, and
+as long as a round saves a hundredth of them.
+
+A cluster is the documents whose words are the same but for case and white
+space; other clusters, as of near copies, can be given as a column.  Texts
+longer than a sequence are cut into pieces; every word is packed.  Null, empty
+and word-less texts have nothing to pack and give no row, nor does an empty
+table.  A null source is no source and conflicts with nothing.  Repeated rows
+are copies and never share a bin.  Of equally tight bins the oldest is taken;
+equal pieces are placed by source, cluster and id.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +35,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import _tables
 
-SHARD = 8192
+#: Pieces of a shard, and the share of a bin that may stay empty.
+SHARD, SLACK = 8192, 0.02
 
 
 class Bins:
@@ -40,9 +51,9 @@ class Bins:
         self.filled: list[int] = []
         self.open = 0
 
-    def place(self, length: int, source: str, cluster: int) -> tuple[int, int]:
+    def place(self, length: int, source: str | None, cluster: int) -> tuple[int, int]:
         """(bin, offset in it) for a piece."""
-        blocked = self.of_source.get(source, 0) | self.of_cluster.get(cluster, 0)
+        blocked = self.of_cluster.get(cluster, 0) | (0 if source is None else self.of_source.get(source, 0))
         chosen = -1
         if self.open & ~blocked:
             for k in range(bisect_left(self.residuals, length), len(self.residuals)):
@@ -58,7 +69,8 @@ class Bins:
         self.filled[chosen] += length
         self._put(self.capacity - self.filled[chosen], chosen)
         bit = 1 << chosen
-        self.of_source[source] = self.of_source.get(source, 0) | bit
+        if source is not None:
+            self.of_source[source] = self.of_source.get(source, 0) | bit
         self.of_cluster[cluster] = self.of_cluster.get(cluster, 0) | bit
         return chosen, offset
 
@@ -82,27 +94,62 @@ class Bins:
 SCHEMA = "doc_id long, piece long, bin_id long, bin_offset long, first_word long, n_words long"
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
-    """One row per piece of docs(doc_id, text, source): its bin, its place there and the words it holds."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text).alias("cluster"), words.cast("long").alias("n"))
-    rows = rows.where("n > 0").withColumn("pieces", F.ceil(F.col("n") / capacity))
-    rows = _tables.stored(rows)
-    shards = max(1, int(rows.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]) // shard)
-    # A document's pieces go to shards of their own, so that one long text does not fill one shard.
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    pieces = pieces.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("n") - F.col("first_word")))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_tables.NO_ID)), "piece"), F.lit(shards)))
+def _packed(pieces: DataFrame, capacity: int, shards: int, turn: int) -> DataFrame:
+    """pieces(doc_id, piece, first_word, n_words, source, cluster, salt) with bin_id, bin_offset and filled, the words of the bin."""
 
     def run(table: pa.Table) -> pa.Table:
-        bins, out = Bins(capacity), []
-        columns = [table.column(c).to_pylist() for c in ("n_words", "source", "cluster", "doc_id", "piece", "first_word", "shard")]
-        for n, src, cluster, doc, piece, first, number in sorted(zip(*columns, strict=True), key=lambda r: (-r[0], r[1], r[2], r[3] is None, r[3] or 0, r[4])):
-            at, offset = bins.place(n, src, cluster)
-            out.append((doc, piece, number * (1 << 32) + at, offset, first, n))
-        kinds = [x.split() for x in SCHEMA.split(", ")]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, [k[0] for k in kinds])
-
-    return pieces.select("shard", "doc_id", "piece", "first_word", "n_words", "source", "cluster").groupBy("shard").applyInArrow(run, SCHEMA)
+        bins, at, offset = Bins(capacity), [], []
+        rows = table.select(["n_words", "source", "cluster", "doc_id", "piece"]).to_pylist()
+        order = sorted(range(len(rows)), key=lambda k: (-rows[k]["n_words"], rows[k]["source"] or "", rows[k]["cluster"], rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0, rows[k]["piece"]))
+        for k in order:
+            b, o = bins.place(rows[k]["n_words"], rows[k]["source"], rows[k]["cluster"])
+            at.append(b)
+            offset.append(o)
+        number = (turn << 58) + (table.column("shard")[0].as_py() << 26)
+        table = table.take(pa.array(order, pa.int64())).drop_columns(["shard"])
+        for name, values in (("bin_id", [number + b for b in at]), ("bin_offset", offset), ("filled", [bins.filled[b] for b in at])):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table
+
+    columns = "doc_id long, piece long, first_word long, n_words long, source string, cluster long, salt long"
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("salt", "piece", F.lit(turn)), F.lit(shards)))
+    return dealt.select(*(c.split()[0] for c in columns.split(", ")), "shard").groupBy("shard").applyInArrow(run, columns + ", bin_id long, bin_offset long, filled long")
+
+
+def best_fit(docs: DataFrame, capacity: int = 2048, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+    """One row per piece of docs(doc_id, text, source): its bin, its place there and the words it holds."""
+    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), *([F.col(cluster).alias("given")] if cluster else []), words.alias("w"))
+    group = F.xxhash64("given") if cluster else F.xxhash64(F.transform("w", lambda w: F.lower(w)))
+    # The salt is written with the rows, so that it is the same whenever they are read.
+    rows = rows.select("doc_id", "source", group.alias("cluster"), F.size("w").cast("long").alias("n"), F.xxhash64(F.monotonically_increasing_id()).alias("salt")).where("n > 0")
+    rows = _tables.stored(rows.withColumn("pieces", F.ceil(F.col("n") / capacity)))
+    # A document's pieces go to shards of their own, so that one long text does not fill one shard.
+    left = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    left = left.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("n") - F.col("first_word")))
+    count = int(rows.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0])
+    done, bins, turn = [], None, 0
+    while True:
+        shards = max(1, count // shard)
+        packed = _tables.stored(_packed(left, capacity, shards, turn))
+        if turn == 0:
+            _tables.dropped(rows)
+        loose = F.col("filled") < capacity * (1 - SLACK)
+        first = (F.col("bin_offset") == 0).cast("long")
+        now = packed.agg(F.count_if(loose).alias("pieces"), F.coalesce(F.sum(F.when(loose, F.col("n_words"))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(loose, first)), F.lit(0)).alias("bins"), F.coalesce(F.sum(first), F.lit(0)).alias("all")).first()
+        count, turn = int(now.pieces), turn + 1
+        if shards == 1 or not count or turn == 16 or (bins is not None and now.all > bins * 0.99):
+            done.append(packed)
+            break
+        least = max([int(now.words) / capacity, *(int(packed.where(loose & F.col(c).isNotNull()).groupBy(c).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]) for c in ("source", "cluster"))])
+        if now.bins <= least * (1 + SLACK):
+            done.append(packed)
+            break
+        bins = int(now.bins)
+        done.append(packed.where(~loose))
+        left = packed.where(loose).drop("bin_id", "bin_offset", "filled")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*(c.split()[0] for c in SCHEMA.split(", ")))
