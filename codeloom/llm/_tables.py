@@ -41,8 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         mid = stored(norm(large))
         low = mid.groupBy("a").agg(F.min("b").alias("m"))
-        small = mid.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = stored(norm(small))
+        near = mid.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        after = stored(norm(near))
         then = _state(after)
         dropped(now, mid)
         now = after

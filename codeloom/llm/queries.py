@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return digest(format_chat(rows.unionByName(extra)))
 
 
@@ -59,7 +60,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.decontam import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    # Proximity matches are the operator's own; the contract, which SQL can check, is about exact ones.
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +89,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACES = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_WORDS = "list_filter(string_split_regex({0}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: The contracts in SQL where SQL can express them; the others are held against brute-force versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": f"""with recursive d as (select doc_id, {_SPACES.format(_LOW)} as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+e as (select x, y from l union select y, x from l),
+r as (select doc_id as id, doc_id as near from d union select r.id, e.y from r join e on e.x = r.near)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join n on n.doc_id = d.doc_id join (select id, min(near) as component_id from r group by 1) c on c.id = d.doc_id""",
+    "op5_chat_format": """with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, not contains(text, '<s>') and not contains(text, '</s>') and not contains(text, '[/INST]') and not regexp_matches(text, '<(/?s?)?\\z') and not contains(role, '<s>') and not contains(role, '</s>') and not contains(role, chr(10)) and not starts_with(role, '~') as plain,
+  case when role = 'user' then 7 + 8 else 0 end as brackets from c),
+f as (select *, 3 + 1 + 4 + brackets + length(role) + length(text) + case when plain then 0 else 1 + length(regexp_replace(text, '[^~<\\[\n]', '', 'g')) + length(regexp_replace(role, '[^~<\\[\n]', '', 'g')) end as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars from f group by conv_id""",
+    "op8_decontamination": f"""with b as (select cast(item_id as varchar) as item, {_WORDS.format(_LOW)} as w from benchmark where item_id is not null),
+wi as (select distinct item, unnest(case when len(w) >= 10 then list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g, least(len(w), 10) as n from b),
+d as (select doc_id, {_WORDS.format(_LOW)} as w from documents), sizes as (select distinct n from wi),
+p as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+m as (select distinct doc_id, p.n, k, p.g from p join wi on wi.g = p.g and wi.n = p.n),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(k, k + n)) as place from m) group by 1),
+it as (select doc_id, list_sort(list(distinct item)) as items from m join wi on wi.g = m.g and wi.n = m.n group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id""",
+    "op9_substring_dedup": f"""with d as (select doc_id, {_SPACES.format("coalesce(text, '')")} as w from documents),
+p as (select doc_id, k, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13)),
+f as (select g, min(doc_id) as first from p group by 1), late as (select p.doc_id, k from p join f on f.g = p.g where p.doc_id > f.first),
+gone as (select distinct doc_id, unnest(range(k, k + 13)) as place from late),
+e as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as place from d),
+k as (select e.doc_id, count(gone.place) as n_removed, sha256(coalesce(string_agg(case when gone.place is null then x end, ' ' order by e.place), '')) as kept_sha256 from e left join gone on gone.doc_id = e.doc_id and gone.place = e.place group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join k on k.doc_id = d.doc_id""",
+}

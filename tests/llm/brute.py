@@ -148,3 +148,64 @@ def chat(turns):
     turns = [(r or "", t or "") for r, t in turns]
     loss = "".join(t for r, t in turns if r == "assistant")
     return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss)
+
+
+def pack(pieces, capacity):
+    """(bin, offset) of pieces(length, source, cluster) in their order: a linear scan for the tightest bin without a conflict, the oldest of equal ones."""
+    bins, out = [], []
+    for n, source, cluster in pieces:
+        fits = [(capacity - b["full"] - n, k) for k, b in enumerate(bins) if capacity - b["full"] >= n and (source is None or source not in b["sources"]) and cluster not in b["clusters"]]
+        k = min(fits)[1] if fits else len(bins)
+        if k == len(bins):
+            bins.append({"full": 0, "sources": set(), "clusters": set()})
+        out.append((k, bins[k]["full"]))
+        bins[k]["full"] += n
+        bins[k]["sources"].add(source)
+        bins[k]["clusters"].add(cluster)
+    return out
+
+
+def posterior(votes, kinds, false_alarm, rounds=100):
+    """Probability of good quality of each document by expectation-maximisation, document by document: votes are tuples of -1, 0, 1."""
+    import math
+
+    n, classes = len(votes), 1 + kinds
+    post = []
+    for v in votes:
+        bad = [x < 0 for x in v]
+        share = 0.9 if any(bad) else 0.1
+        total = sum(b + 0.02 for b in bad)
+        post.append([1 - share, *((b + 0.02) / total * share for b in bad)])
+    for _ in range(rounds):
+        table = [[[1.0] * 3 for _ in range(kinds)] for _ in range(classes)]
+        for r in range(kinds):
+            table[1 + r][r][0] = 20.0
+        for v, p in zip(votes, post, strict=True):
+            for c in range(classes):
+                for r in range(kinds):
+                    table[c][r][v[r] + 1] += p[c]
+        for c in range(classes):
+            for r in range(kinds):
+                total = sum(table[c][r])
+                table[c][r] = [x / total for x in table[c][r]]
+        for r in range(kinds):
+            table[0][r][0] = min(table[0][r][0], false_alarm)
+        prior = [(sum(p[c] for p in post) + 1) / (n + classes) for c in range(classes)]
+        after = []
+        for v in votes:
+            odds = [math.log(prior[c]) + sum(math.log(table[c][r][v[r] + 1]) for r in range(kinds)) for c in range(classes)]
+            top = max(odds)
+            e = [math.exp(o - top) for o in odds]
+            after.append([x / sum(e) for x in e])
+        moved = max(abs(a - b) for x, y in zip(after, post, strict=True) for a, b in zip(x, y, strict=True))
+        post = after
+        if moved < 1e-9:
+            break
+    return [p[0] for p in post]
+
+
+def proximity(words, terms, keys, slop):
+    """Starts at which the rarest term stands in its place and the other key terms within slop of theirs: keys are (term, offset), rarest first."""
+    starts = [p - keys[0][1] for p, w in enumerate(words) if w == keys[0][0]]
+    near = lambda s, k: any(0 <= s + k[1] + d < len(words) and words[s + k[1] + d] == k[0] for d in range(-slop, slop + 1))
+    return [s for s in starts if all(near(s, k) for k in keys[1:])]
