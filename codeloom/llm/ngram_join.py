@@ -15,9 +15,9 @@ neither, as all of it would have to be left out with it.  A set whose segments
 but for r are its own is linked with nothing and leaves here.
 
 In a bucket every class is compared with the smallest first, and only classes
-that this leaves in different components with each other.  Where these would
-still be more comparisons than rows allow, a few further classes, drawn by
-hash, are compared with all, as long as that halves what is left.  What remains
+that this leaves in different components with each other.  Where these are
+more than such a comparison takes, a few further classes, drawn by hash, are
+compared with all, as long as that halves what is left.  What remains
 costly is split by one-deletion neighbourhoods: of H // 2 + 1 segments of the
 universe, linked sets have one in which they differ by one shingle at most, so
 both emit each of these segments whole and less one shingle, and meet there.
@@ -265,11 +265,14 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(key, cls, comp, left, costly) of members(key, cls) in buckets with several components; left are the pairs across them."""
+    """(key, cls, comp, left, many, costly) of members(key, cls) in buckets with several components; left are the pairs across them.
+
+    many: more than a round of pivots compares; costly: more than the rows of one-deletion neighbourhoods.
+    """
     rows = members.join(comp, "cls", "left").join(sizes, "cls").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), "size")
     parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows"))
-    whole = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"), F.sum("rows").alias("rows")).where("left > 0")
-    return _tables.stored(rows.drop("size").join(whole.select("key", "left", (F.col("left") > F.col("rows") * NEIGHBOUR).alias("costly")), "key"))
+    whole = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"), F.sum("rows").alias("rows"), F.sum("n").alias("n")).where("left > 0")
+    return _tables.stored(rows.drop("size").join(whole.select("key", "left", (F.col("left") > F.col("n") * PIVOTS).alias("many"), (F.col("left") > F.col("rows") * NEIGHBOUR).alias("costly")), "key"))
 
 
 def unconnected(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -299,10 +302,10 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, rows: DataFram
     rest = members.where("cls <> low").select("key", "cls")
     sizes = sets.select("cls", "size")
     open_ = _open(rest, comp, sizes)
-    costs = lambda: float(open_.where("costly").agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0])
+    costs = lambda: float(open_.where("many").agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0])
     now, turn = costs(), 0
     while now:
-        costly = open_.where("costly").select("key", "cls", "comp")
+        costly = open_.where("many").select("key", "cls", "comp")
         drawn = costly.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(turn * PIVOTS + j)).alias("h"), "cls", "comp")) for j in range(PIVOTS)])).alias("pivots"))
         drawn = drawn.select("key", F.explode("pivots").alias("p")).select("key", F.col("p.cls").alias("a"), F.col("p.comp").alias("ca"))
         tried = costly.join(drawn, "key").where("comp <> ca").select("a", F.col("cls").alias("b")).distinct()
