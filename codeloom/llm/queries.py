@@ -76,6 +76,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.centroids import ball_kmeans
+
+    return ball_kmeans(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), weights=(1.0,) * 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,3 +146,32 @@ e as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as place from d),
 k as (select e.doc_id, count(gone.place) as n_removed, sha256(coalesce(string_agg(case when gone.place is null then x end, ' ' order by e.place), '')) as kept_sha256 from e left join gone on gone.doc_id = e.doc_id and gone.place = e.place group by 1)
 select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join k on k.doc_id = d.doc_id""",
 }
+
+
+def _rounds_sql(k: int, rounds: int, dims: int, scale: int) -> str:
+    """Lloyd's rounds over whole numbers, one pair of common table expressions a round."""
+    away = "list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    out = f"""with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+c0 as materialized (select row_number() over (order by sha256('1:' || vec_id), q) - 1 as c, q as m from v qualify c < {k})"""
+    for t in range(rounds + 1):
+        out += f""",
+a{t} as materialized (select r, any_value(vec_id) as vec_id, any_value(q) as q, min((d, c)) as near from (select v.*, c, {away} as d from v, c{t}) group by r)"""
+        if t < rounds:
+            out += f""",
+s{t} as (select near[2] as c, k, sum(q[k]) as s, count(*) as n from a{t}, range(1, {dims + 1}) as g(k) group by 1, 2),
+n{t} as (select c, list((s - ((s % n) + n) % n) // n order by k)::bigint[] as m from s{t} group by c),
+c{t + 1} as materialized (select o.c, coalesce(n.m, o.m) as m from c{t} o left join n{t} n on n.c = o.c)"""
+    return out + f"""
+select vec_id, near[2]::int as cluster, near[1] as distance, sum(near[1]) over (partition by near[2])::bigint as cluster_inertia, sum(near[1]) over ()::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} join c{rounds} on c = near[2]"""
+
+
+ORACLE_SQL["op11_centroid_clustering"] = _rounds_sql(k=16, rounds=3, dims=64, scale=64)
+
+_SCORE = "('0x' || md5(coalesce(doc_id::varchar, 'null') || ':' || s)[1:13])::bigint"
+#: The checksum byte by byte: entries of its table by the rule, then one step for each byte.
+ORACLE_SQL["op13_sharding"] = f"""with recursive e as (select b, b::bigint as x, 0 as k from range(256) as g(b) union all select b, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k + 1 from e where k < 8),
+t as (select list(x order by b) as entry from e where k = 8),
+d as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, n + 1 as size, xor(list_reduce(list_transform(range(n), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::bigint), lambda crc, byte: xor(entry[(xor(crc, byte) & 255) + 1], crc >> 8), 4294967295::bigint), 4294967295) as text_crc32 from d, t),
+p as (select *, (select max((_score, -s)) from (select {_SCORE} as _score, s from range(8) as g(s)))[2] as a, (select max((_score, -s)) from (select {_SCORE} as _score, s from range(9) as g(s)))[2] as b from c)
+select doc_id, size, text_crc32, 'key' as law, (-a)::int as shard, row_number() over (partition by a order by doc_id nulls last, text_crc32, size) - 1 as slot, (-b)::int as grown_shard from p"""
