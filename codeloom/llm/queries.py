@@ -172,6 +172,6 @@ _SCORE = "('0x' || md5(coalesce(doc_id::varchar, 'null') || ':' || s)[1:13])::bi
 ORACLE_SQL["op13_sharding"] = f"""with recursive e as (select b, b::bigint as x, 0 as k from range(256) as g(b) union all select b, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k + 1 from e where k < 8),
 t as (select list(x order by b) as entry from e where k = 8),
 d as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as h from documents),
-c as (select doc_id, n + 1 as size, xor(list_reduce(list_transform(range(n), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::bigint), lambda crc, byte: xor(entry[(xor(crc, byte) & 255) + 1], crc >> 8), 4294967295::bigint), 4294967295) as text_crc32 from d, t),
+c as (select doc_id, n + 1 as size, xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint), lambda crc, byte: xor(entry[(xor(crc, byte) & 255) + 1], crc >> 8), 4294967295::bigint), 4294967295) as text_crc32 from d, t),
 p as (select *, (select max((_score, -s)) from (select {_SCORE} as _score, s from range(8) as g(s)))[2] as a, (select max((_score, -s)) from (select {_SCORE} as _score, s from range(9) as g(s)))[2] as b from c)
 select doc_id, size, text_crc32, 'key' as law, (-a)::int as shard, row_number() over (partition by a order by doc_id nulls last, text_crc32, size) - 1 as slot, (-b)::int as grown_shard from p"""
