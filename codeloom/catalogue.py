@@ -15,6 +15,7 @@ from codeloom.operators import resolve as R
 from codeloom.operators import revisions as V
 from codeloom.operators import traverse as W
 from codeloom.plans.registry import ORACLE_SQL, QUERIES, query
+from codeloom.plans.shared import LOG_SQL, SNAPSHOT_SQL, event_log
 from codeloom.sources import extract as E
 from codeloom.sources import files as S
 from codeloom.streaming import watch
@@ -117,15 +118,6 @@ def closure_depths(spark, sf):  # noqa: ANN001, ANN201
     return W.closure(edges, spark.createDataFrame([("B:Brand#11",)], "id string"), "both", ["CONTAINS"], 4)
 
 
-@query("""with u as (select src as a, dst as b from edges where predicate = 'IN_REGION' union select dst, src from edges where predicate = 'IN_REGION'),
-p1 as (select b from u where a = 'S:0'), p2 as (select distinct u.b from p1 join u on u.a = p1.b), p3 as (select distinct u.b from p2 join u on u.a = p2.b), p4 as (select distinct u.b from p3 join u on u.a = p3.b)
-select case when 'S:0' = 'C:0' then 1 when exists (select 1 from p1 where b = 'C:0') then 2 when exists (select 1 from p2 where b = 'C:0') then 3
-  when exists (select 1 from p3 where b = 'C:0') then 4 when exists (select 1 from p4 where b = 'C:0') then 5 end as n_nodes where
-  exists (select 1 from p1 where b = 'C:0') or exists (select 1 from p2 where b = 'C:0') or exists (select 1 from p3 where b = 'C:0') or exists (select 1 from p4 where b = 'C:0')""", True)
-def shortest_path_len(spark, sf):  # noqa: ANN001, ANN201
-    return W.shortest_path(graph.edges(spark, sf), "S:0", "C:0", ["IN_REGION"], 5).select(F.size("path").alias("n_nodes"))
-
-
 @query("""select e1.dst as id, e1.src as ancestor, 1 as distance from edges e1 where e1.predicate = 'IN_REGION'
 union all select e1.dst, e2.src, 2 from edges e1 join edges e2 on e2.dst = e1.src and e2.predicate = 'IN_REGION' where e1.predicate = 'IN_REGION'""", True)
 def ancestors(spark, sf):  # noqa: ANN001, ANN201
@@ -363,34 +355,21 @@ _sets("union_dependents", "union")
 # ---- revisions ----------------------------------------------------------------------------------------------------
 
 
-_OP = "case event_type when 'error' then 'DeleteNode' when 'click' then 'UpsertEdge' when 'purchase' then 'AssertClaim' else 'UpsertNode' end"
-_LOG_SQL = f"""log as (select row_number() over (order by ts, event_id) as rev, ts, user_id || ':' || coalesce(json_extract_string(props, '$.k'), '') as id, {_OP} as op, value from events)"""
-
-
-def _log(spark: SparkSession, sf: str) -> DataFrame:
-    rows = graph.table(spark, sf, "events").withColumn("o", F.struct("ts", "event_id"))
-    out = V.numbered(rows, "o", "rev")
-    return out.select("rev", "ts", F.concat(F.col("user_id").cast("string"), F.lit(":"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("id"), F.expr(_OP).alias("op"), "value")
-
-
-_SNAP = "(select id, value, rev from (select *, row_number() over (partition by id order by rev desc) as rn from log where rev <= {r}) where rn = 1 and op <> 'DeleteNode')"
-
-
-@query(f"with {_LOG_SQL} select id, value, rev from {_SNAP.format(r=5000)}")
+@query(f"with {LOG_SQL} select id, value, rev from {SNAPSHOT_SQL.format(r=5000)}")
 def snapshot_at_rev(spark, sf):  # noqa: ANN001, ANN201
-    return V.snapshot(_log(spark, sf), 5000)
+    return V.snapshot(event_log(spark, sf), 5000)
 
 
-@query(f"with {_LOG_SQL}, v as (select id, rev as created_rev, lead(rev) over (partition by id order by rev) as deleted_rev, value, op from log) select id, created_rev, deleted_rev, value from v where op <> 'DeleteNode' and created_rev <= 3000 and (deleted_rev is null or deleted_rev > 3000)")
+@query(f"with {LOG_SQL}, v as (select id, rev as created_rev, lead(rev) over (partition by id order by rev) as deleted_rev, value, op from log) select id, created_rev, deleted_rev, value from v where op <> 'DeleteNode' and created_rev <= 3000 and (deleted_rev is null or deleted_rev > 3000)")
 def as_of(spark, sf):  # noqa: ANN001, ANN201
-    return V.as_of(V.intervals(_log(spark, sf)), 3000)
+    return V.as_of(V.intervals(event_log(spark, sf)), 3000)
 
 
-_DIFF_SQL = f"with {_LOG_SQL}, a as {_SNAP.format(r=3000)}, b as {_SNAP.format(r=6000)}, d as (select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' when a.value is distinct from b.value then 'modified' end as change from a full join b on a.id = b.id)"
+_DIFF_SQL = f"with {LOG_SQL}, a as {SNAPSHOT_SQL.format(r=3000)}, b as {SNAPSHOT_SQL.format(r=6000)}, d as (select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' when a.value is distinct from b.value then 'modified' end as change from a full join b on a.id = b.id)"
 
 
 def _diff(spark: SparkSession, sf: str) -> DataFrame:
-    log = _log(spark, sf)
+    log = event_log(spark, sf)
     return V.diff(V.snapshot(log, 3000), V.snapshot(log, 6000))
 
 
@@ -404,15 +383,15 @@ def diff_summary(spark, sf):  # noqa: ANN001, ANN201
     return _diff(spark, sf).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_LOG_SQL} select id, count(*) as n, min(rev) as first_rev, max(rev) as last_rev from log group by id")
+@query(f"with {LOG_SQL} select id, count(*) as n, min(rev) as first_rev, max(rev) as last_rev from log group by id")
 def history(spark, sf):  # noqa: ANN001, ANN201
-    return _log(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"))
+    return event_log(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"))
 
 
-@query(f"with {_LOG_SQL}, q as (select unnest([1, 500, 999, 100000000]) as rev) select q.rev, max(ts) as ts from q join log on log.rev <= q.rev group by 1")
+@query(f"with {LOG_SQL}, q as (select unnest([1, 500, 999, 100000000]) as rev) select q.rev, max(ts) as ts from q join log on log.rev <= q.rev group by 1")
 def rev_timestamp(spark, sf):  # noqa: ANN001, ANN201
     asked = spark.createDataFrame([(r,) for r in (1, 500, 999, 100000000)], "rev int")
-    return V.rev_timestamp(_log(spark, sf).select("rev", "ts"), asked)
+    return V.rev_timestamp(event_log(spark, sf).select("rev", "ts"), asked)
 
 
 @query("select user_id as entity, event_type as field, count(distinct value) as n_values from events group by 1, 2 having count(distinct value) > 1")
@@ -621,4 +600,4 @@ def stream_counts(spark, sf):  # noqa: ANN001, ANN201
 
 
 # Further areas register their queries when they are imported.
-from codeloom.plans import graphs, resolution, sources  # noqa: E402, F401
+from codeloom.plans import access, graphs, resolution, sources  # noqa: E402, F401

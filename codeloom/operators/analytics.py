@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators.textindex import names_with
 from codeloom.tables import stored
 
 #: Fixed values.
@@ -237,7 +238,7 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
 def resolve_scores(candidates: DataFrame, symbols: DataFrame, want_kind: str | None = None, want_path: str | None = None) -> DataFrame:
     """candidates(id, kind, name, path) for each of symbols(symbol) that their name contains, with a score: lower is better."""
     name, sym, kind = F.lower("name"), F.lower("symbol"), F.lower("kind")
-    rows = candidates.join(symbols, F.contains(F.lower("name"), F.lower("symbol")))  # symbols are those of one request
+    rows = names_with(candidates, name, symbols, sym)
     score = F.when(name == sym, 0).when(F.startswith(name, sym), 15).otherwise(30)
     if want_kind:
         score = score - F.when(kind == want_kind.lower(), 5).otherwise(0)

@@ -109,9 +109,10 @@ def cascade(files: DataFrame, entities: DataFrame, relationships: DataFrame, imp
     the only file that provides it (null if there is none or several).
     """
     spark = files.sparkSession
-    bound = bindings if bindings is not None else spark.createDataFrame([], "path string, local string, imported string, target string")
-    public = exports.select(F.col("path").alias("target"), F.col("public").alias("imported"), F.col("local").alias("own")) if exports is not None else spark.createDataFrame([], "target string, imported string, own string")
-    place = files.select("path", "language", "repo")
+    # Inputs are read by several tiers: each is written once, whatever they are derived from.
+    entities, relationships, imports, place = stored(entities), stored(relationships), stored(imports.select("path", "target")), stored(files.select("path", "language", "repo"))
+    bound = stored(bindings if bindings is not None else spark.createDataFrame([], "path string, local string, imported string, target string"))
+    public = stored(exports.select(F.col("path").alias("target"), F.col("public").alias("imported"), F.col("local").alias("own")) if exports is not None else spark.createDataFrame([], "target string, imported string, own string"))
     # A relationship is known by the provider's name of what it calls; its own name is kept for the edge.
     renamed = bound.where("imported <> 'default' and local <> imported").groupBy("path", "local").agg(F.min("imported").alias("imported"))
     rel = relationships.join(renamed.withColumnRenamed("local", "name"), ["path", "name"], "left").withColumn("asked", F.when(F.col("predicate") == "CALLS", F.coalesce("imported", "name")).otherwise(F.col("name"))).drop("imported")
@@ -157,18 +158,19 @@ def cascade(files: DataFrame, entities: DataFrame, relationships: DataFrame, imp
     by_name = tier(chosen, "1b-qualifier").select("id", "tier", F.when(F.col("qkey").isNotNull(), F.col("target")).alias("target"), "qkey", verdict.alias("verdict"), F.when(F.col("qkey").isNotNull(), F.when(F.col("n_near") == 1, CONFIDENCE["1b-qualifier"]).otherwise(QUALIFIED_GLOBALLY)).alias("confidence"))
     # Bare names.
     bare = rel.where("not asked like '%_._%'")
-    direct = tier(bare.join(imported, "path").join(of, ["target", "asked"]), "2-import").select(*columns)
+    direct = stored(tier(bare.join(imported, "path").join(of, ["target", "asked"]), "2-import").select(*columns))
     gate = tier(bare.join(common.withColumnRenamed("name", "asked"), "asked", "left_semi"), "gate-commodity").select("id", "tier", none.alias("target"), none.alias("qkey"), F.lit("stop").alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     rare = bare.join(common.withColumnRenamed("name", "asked"), "asked", "left_anti")
     further = imported.join(imported.select(F.col("path").alias("target"), F.col("target").alias("second")), "target").select("path", F.col("second").alias("target")).where("path <> target").distinct().join(imported, ["path", "target"], "left_anti")
-    second = tier(rare.join(further, "path").join(of, ["target", "asked"]), "2.5-transitive").select(*columns)
+    second = stored(tier(rare.join(further, "path").join(of, ["target", "asked"]), "2.5-transitive").select(*columns))
     # Rare names only, so a name meets fewer than COMMON files here.
     every = rare.where("not (language in ('c', 'cpp') and predicate = 'REFERENCES')").join(of, "asked").where("target <> path").join(place.select(F.col("path").alias("target"), F.col("language").alias("to")), "target").where("language = to")
     hint = aligned(direct).select("id", F.lower(stem(F.col("target"))).alias("hint"), F.lit(0).alias("rank")).unionByName(aligned(second).select("id", F.lower(stem(F.col("target"))).alias("hint"), F.lit(1).alias("rank")))
     every = every.join(hint.groupBy("id").agg(F.min_by("hint", "rank").alias("hint")), "id", "left").withColumn("_hinted", F.coalesce(F.lower(stem(F.col("target"))) == F.col("hint"), F.lit(False)))
     every = every.withColumn("_any", F.max("_hinted").over(Window.partitionBy("id"))).where("_hinted or not _any")
     world = tier(every, "3-global").select(*columns)
-    candidates = narrowed(direct.unionByName(second).unionByName(world)).unionByName(provided)
+    pool = stored(direct.unionByName(second).unionByName(world))
+    candidates = narrowed(pool).unionByName(provided)
     candidates = by_repository(candidates.join(place.select(F.col("path").alias("target"), F.col("repo").alias("to_repo")), "target"), allowed)
     # One target with one key emits; one target with several keys stops; several targets pass.
     agreed = candidates.groupBy("id", "tier").agg(F.min("target").alias("target"), F.max("target").alias("other"), F.min("keys").alias("keys")).where("target = other")
@@ -178,7 +180,7 @@ def cascade(files: DataFrame, entities: DataFrame, relationships: DataFrame, imp
     first = verdicts.groupBy("id").agg(F.min(F.struct("tier", "verdict", "target", "qkey", "confidence")).alias("v"))
     names = F.array(*[F.lit(t) for t in TIERS])
     out = stored(first.select("id", F.element_at(names, F.col("v.tier") + 1).alias("tier"), "v.verdict", "v.target", "v.qkey", "v.confidence"))
-    dropped(rel, keys, defs, common, imported, qualified)
+    dropped(rel, keys, defs, common, imported, qualified, entities, relationships, imports, place, bound, public, direct, second, pool)
     return out
 
 

@@ -42,27 +42,12 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change")).where("change is not null")
 
 
-#: Revisions of a block.
-BLOCK = 1 << 20
-
-
 def rev_timestamp(revs: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(rev) -> the timestamp of that revision, or of the nearest one before; revs(rev, ts).
+    """asked(rev) -> the timestamp of that revision, or of the nearest one before; revs(rev, ts)."""
+    from codeloom.operators.asof import asof_join
 
-    Both meet in blocks of revisions: within a block by comparison, and from the
-    blocks before only the last revision counts, so nothing is compared with all.
-    """
-    block = lambda c: F.floor(F.col(c) / BLOCK)
-    few = asked.select(F.col("rev").alias("asked")).distinct().withColumn("block", block("asked"))
-    rows = revs.select("rev", "ts").withColumn("block", block("rev"))
-    inside = rows.join(few, "block").where("rev <= asked").groupBy("asked").agg(F.max("rev").alias("rev"))
-    last = rows.groupBy("block").agg(F.max("rev").alias("rev"))
-    marks = last.select("block", "rev", F.lit(None).cast(few.schema["asked"].dataType).alias("asked")).unionByName(few.select("block", F.lit(None).cast("long").alias("rev"), "asked"))
-    # One row a block and one a request: what the sort has to hold is small even for long logs.
-    before = F.max("rev").over(Window.orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
-    earlier = marks.withColumn("before", before).where("asked is not null").select("asked", F.col("before").alias("rev"))
-    best = inside.unionByName(earlier).groupBy("asked").agg(F.max("rev").alias("rev")).where("rev is not null")
-    return best.join(rows.select("rev", "ts"), "rev").select(F.col("asked").alias("rev"), "ts")
+    found = asof_join(asked.select("rev").distinct(), revs.select("rev", "ts"), "rev", values=["ts"])
+    return found.where("at_right is not null").select("rev", "ts")
 
 
 def conflicts(claims: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def expand_seed(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query("select src as there, dst as id, predicate from edges where dst in (select id from nodes where kind = 'method')", True)
-def expand_in(spark, sf):  # noqa: ANN001, ANN201
+def expand_in_methods(spark, sf):  # noqa: ANN001, ANN201
     nodes, edges = _g(spark, sf)
     return W.expand(edges, nodes.where("kind = 'method'").select("id"), "in")
 
@@ -99,7 +99,11 @@ def overview_leaf(spark, sf):  # noqa: ANN001, ANN201
     return W.overview_leaf(nodes, edges)
 
 
-@query("select 3 as n_nodes", False)
+@query("""with --recursive
+t as (select min(dst) as a, max(dst) as b from edges where predicate = 'IN_REGION' and src = 'N:0' and dst like 'C:%'),
+u as (select src as a, dst as b from edges where predicate = 'IN_REGION' union select dst, src from edges where predicate = 'IN_REGION'),
+r as (select a as id, 1 as n from t union select u.b, r.n + 1 from r join u on u.a = r.id where r.n < 5)
+select min(n) as n_nodes from r join t on t.b = r.id having count(*) > 0""", True)
 def shortest_path_len(spark, sf):  # noqa: ANN001, ANN201
     edges = graph.edges(spark, sf)
     region = edges.where("predicate = 'IN_REGION'")
@@ -181,11 +185,15 @@ def explained(spark, sf):  # noqa: ANN001, ANN201
 # ---- lookup ----------------------------------------------------------------------------------------------------------
 
 
-@query("""with a as (select unnest(['Brand#11', 'C:0', 'nope', 'Brand#12']) as target) select target, case target when 'Brand#11' then 'symbol' when 'C:0' then 'id' when 'Brand#12' then 'symbol' end as how,
- case target when 'Brand#11' then 'B:Brand#11' when 'C:0' then 'C:0' when 'Brand#12' then 'B:Brand#12' end as id from a where target <> 'nope'""", True)
+@query("""with a as (select p_brand as target from part union select n_name from nation union select 'C:' || c_custkey from customer union select 'nope'), k as (select id, name from nodes where kind in ('class', 'subsystem', 'file')),
+i as (select target from a where contains(target, ':') and target in (select id from k))
+select target, 'id' as how, target as id from i union all select target, 'symbol', min(id) from a join k on name = target where target not in (select target from i) group by 1 having count(*) = 1""", True)
 def resolve_targets(spark, sf):  # noqa: ANN001, ANN201
+    """Classes and subsystems by name, files by id, and a name that is nowhere."""
     nodes, _ = _g(spark, sf)
-    return L.resolve_file_or_entity(_seeds(spark, "Brand#11", "C:0", "nope", "Brand#12", name="target"), nodes.where("kind in ('class', 'subsystem', 'file')"))
+    t = lambda name, c: graph.table(spark, sf, name).select(c.alias("target"))
+    asked = t("part", F.col("p_brand")).union(t("nation", F.col("n_name"))).union(t("customer", F.concat(F.lit("C:"), F.col("c_custkey").cast("string")))).union(_seeds(spark, "nope", name="target")).distinct()
+    return L.resolve_file_or_entity(asked, nodes.where("kind in ('class', 'subsystem', 'file')"))
 
 
 @query("""select n.id, n.kind, n.name, count(distinct cl.event_id) as n_claims, (select count(*) from edges where dst = n.id) as n_in, (select count(*) from edges where src = n.id) as n_out from nodes n left join events cl on 'C:' || cl.user_id = n.id and cl.event_type = 'purchase' where n.kind = 'file' and n.id like 'C:1%' group by 1, 2, 3""", True)

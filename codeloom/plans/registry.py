@@ -18,6 +18,8 @@ def query(sql: str | None = None, on_graph: bool = False) -> Callable:
     """Register a query under its function's name; on_graph puts nodes and edges before the SQL."""
 
     def put(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             body = _TABLE.sub(r"\1", sql.strip())

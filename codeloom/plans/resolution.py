@@ -7,11 +7,13 @@ import the next and the fifth next, and bind one alias of the next.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom import graph, ids
-from codeloom.functions import text as X
+from codeloom import graph
+from codeloom.operators import incremental
 from codeloom.operators import indexes as I
 from codeloom.operators import resolve as R
 from codeloom.plans.registry import fixture, query
@@ -258,4 +260,25 @@ def go_prescan(spark, sf):  # noqa: ANN001, ANN201
     return I.go_prescan(graph.table(spark, sf, "part").where("p_partkey < 50").select(F.concat(k, F.lit(".go")).alias("path"), c.alias("content")))
 
 
-_ = ids, X
+# ---- a change of some files -------------------------------------------------------------------------------------------
+
+#: The code base after a change of files 3 and 17: a third of their names are others, every fifth definition is gone, file 3 imports another file.
+_CHANGED = "(3, 17)"
+NEW_BASE = f"""{FILES}, {ENTITIES.replace('e as (', 'e0 as (')}, {re.sub(r'(?<![a-z0-9_])e(?![a-z0-9_])', 'e0', RELATIONS).replace('r as (', 'r0 as (').replace('i as (', 'i0 as (')},
+e as (select k, fid, line, last_line, case when fid in {_CHANGED} and k % 3 = 0 then name || 'x' else name end as name, container from e0 where not (fid in {_CHANGED} and k % 5 = 0)),
+r as (select r0.* from r0 join f on f.path = r0.path where not (f.fid in {_CHANGED} and id % 11 = 0)),
+i as (select path, case when path like '%mod3.%' and target like '%mod8.%' then (select path from f where fid = 30) else target end as target from i0)"""
+
+
+@query(f"with {_CASCADE.replace(BASE, NEW_BASE)} select id, ['1-same-file', '2-binding', '1b-qualifier', '2-import', 'gate-commodity', '2.5-transitive', '3-global'][tier + 1] as tier, verdict, target, qkey, confidence::double as confidence from out")
+def incremental_resolution(spark, sf):  # noqa: ANN001, ANN201
+    """All verdicts after the change, from those before it and what it touches."""
+    of = incremental.base(**_tables(spark, sf))
+    changed = fixture(spark, sf, f"with {FILES} select path from f where fid in {_CHANGED}")
+    at = lambda sql: fixture(spark, sf, f"with {NEW_BASE} {sql}")
+    new = {
+        "files": at("select path, lang as language, repo from f"), "entities": at("select f.path, k as seq, name, container, line as start, last_line as end from e join f on f.fid = e.fid"), "relationships": at("select id, path, src, name, predicate, bound from r"),
+        "imports": at("select path, target from i"), "bindings": at("select path, local, imported, target from b"), "exports": at("select path, local, public from x"),
+    }
+    delta = incremental.apply(of, changed, **{name: df.join(F.broadcast(changed), "path", "left_semi") for name, df in new.items()})
+    return delta.patched(of.verdicts)

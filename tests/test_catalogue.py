@@ -11,6 +11,8 @@ import pytest
 from codeloom import catalogue
 
 SF = "/root/testdata/sf0.001"
+#: Regions come from moves that depend on their order; tests of the engine hold them against a plain version.
+WITHOUT_SQL = {"region_map"}
 
 
 def plain(v):
@@ -34,7 +36,7 @@ def test_query(name, spark, duck):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    if name not in catalogue.ORACLE_SQL:
+    if name in WITHOUT_SQL:
         return
     result = duck.execute(catalogue.ORACLE_SQL[name])
     heads = [d[0] for d in result.description]
