@@ -3,19 +3,27 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found
 by linear-time forms of their patterns and checked (parts, Luhn, digits).
 
-Every value found is a protected entity, and so is the holding of a
-credential, which labels as `token =` announce.  How strongly a term reveals an
-entity is pointwise mutual information over the entity's information content,
-    log(N * c(t, e) / (c(t) * c(e))) / log(N / c(e)),
-with N different texts, c(t) and c(e) those that hold the term or the entity,
-c(t, e) those that hold both: 1 if the term never occurs without the entity.
-Candidates are terms that stand within REACH characters of the entity in some
-text: words of three letters or more, and opaque strings of letters and digits
-(only these, for credentials).  In every text that holds the entity all
-occurrences of a term that reveals it by DISCLOSURE or more are spans of kind
-`term` and become [TERM] in the sanitised text; from GENERALISE on they are
-spans of kind `broad` and become the name of their class: [NAME] with a
-capital, [CODE] if opaque, else [WORD].  Other terms are left.
+Every value found is a protected entity, and so is every opaque string: 16
+letters and digits or more, with some of both, as keys and tokens are.  Opaque
+strings are spans of kind `term` themselves.  A term gives an entity away as far
+as knowing it leaves little to be known.  Of the entity's information content
+log2(N / c(e)), pointwise mutual information log2(N * c(t, e) / (c(t) * c(e)))
+is what the term tells; with one more text that holds the term alone, so that a
+few co-occurrences don't look like certainty, there remain
+    log2((c(t) + 1) / c(t, e)) bits,
+whatever the number N of texts.  c(t) and c(e) are the different texts that hold
+the term or the entity, c(t, e) those that hold both.  Candidates are words of
+three letters or more that stand within REACH characters of the entity in some
+text, in SUPPORT texts with the entity at least, and there between different
+words: at least SUPPORT pairs of a word before and a word after, and half as
+many as texts.  So what near copies of one text share is one occurrence, not
+many.  If REMOVE bits or fewer remain, all occurrences of the term in texts with
+the entity are spans of kind `term` and become [TERM] in the sanitised text; up
+to GENERALISE bits they are spans of kind `broad` and become the name of their
+class: [NAME] with a capital, else [WORD].  Other terms are left.
+
+Counting starts from the texts with entities: a term that already occurs in too
+many of them is out, and only what is left is looked for in all texts.
 
 All counts are over all documents, each different text once.  Null and empty
 texts have no spans, and an empty table gives no rows.  Very long texts are
@@ -44,7 +52,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-REACH, DISCLOSURE, GENERALISE = 64, 0.9, 0.8
+REACH, SUPPORT, REMOVE, GENERALISE = 64, 2, 0.6, 1.0
 #: Prefix sums go over blocks of so many matches, so that texts with very many matches don't cost the square.
 BLOCK = 256
 
@@ -105,11 +113,9 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-#: Terms, lower-cased: opaque strings of letters and digits, and words of three letters or more.
+#: Opaque strings, and words of three letters or more.
 _OPAQUE = r"(?<![\p{L}\p{N}])(?=\p{L}*\p{N})(?=\p{N}*\p{L})[\p{L}\p{N}_]{16,}+"
-_TERM = rf"{_OPAQUE}|\p{{L}}{{3,}}+"
-#: Labels that announce a credential.
-_LABEL = r"(?i)(?<![\p{L}\p{N}])(?:token|password|passwd|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\x22']?\s*[=:]"
+_WORD = r"\p{L}{3,}+"
 #: Addresses in letters that the pattern of e-mail does not know; a term in one is removed with the whole of it.
 _ADDRESS = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+"
 _EXTRA = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
@@ -119,66 +125,69 @@ def _meet(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
-def _widened(term: Column, address: Column) -> Column:
-    """A term's (start, end, term); in an address, those of the address."""
-    whole = F.get(F.filter(address, lambda a: _meet(term, a)), F.lit(0))
-    return F.struct(F.coalesce(whole["start"], term["start"]).alias("start"), F.coalesce(whole["end"], term["end"]).alias("end"), F.lower(term["value"]).alias("term"), F.rlike(term["value"], F.lit(r"\p{N}")).alias("opaque"))
-
-
 def _blocks(start: Column, end: Column, reach: int) -> Column:
     """Numbers of the blocks of REACH characters that a span with `reach` characters on both sides touches."""
     return F.explode(F.sequence(F.floor(F.greatest(start - reach, F.lit(0)) / REACH), F.floor((end + reach) / REACH)))
 
 
-def disclosure(n: int, c_t: Column, c_e: Column, c_te: Column) -> Column:
-    return F.log(F.lit(float(n)) * c_te / (c_t * c_e)) / F.log(F.lit(float(n)) / c_e)
+def remaining(c_t: Column, c_te: Column) -> Column:
+    """Bits of the entity's information content that the term leaves."""
+    return F.log2((c_t + 1) / c_te)
 
 
 def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(text_key, extra): spans of revealing terms in texts with entities, for rows(text_key, text) with spans(text_key, text, base)."""
+    """(text_key, extra): opaque strings and revealing terms of texts with entities, for rows(text) with spans(text_key, text, base)."""
     # Written before lambdas refer to it, as they would evaluate the patterns again for each element.
-    held = _tables.stored(placed(spans.where(F.col("text").isNotNull()).select("text_key", "base", "text"), {"address": _ADDRESS, "label": _LABEL, "term": _TERM}).drop("text"))
-    near_base = held.withColumn("address", F.filter("address", lambda a: ~F.exists("base", lambda s: _meet(a, s))))
+    held = _tables.stored(placed(spans.where(F.col("text").isNotNull()).dropDuplicates(["text_key"]).select("text_key", "base", "text"), {"address": _ADDRESS, "opaque": _OPAQUE, "word": _WORD}).drop("text"))
+    inside = lambda x, y: F.exists(y, lambda s: _meet(x, s))
+    # An address that is no base span is removed with the whole of it.
+    held = held.withColumn("address", F.filter("address", lambda a: ~inside(a, "base"))).withColumn("opaque", F.filter("opaque", lambda o: ~inside(o, "base")))
+    whole = lambda t: F.get(F.filter("address", lambda a: _meet(t, a)), F.lit(0))
+    wide = lambda t: F.struct(F.coalesce(whole(t)["start"], t["start"]).alias("start"), F.coalesce(whole(t)["end"], t["end"]).alias("end"))
     values = F.transform("base", lambda s: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-    labels = F.transform("label", lambda s: F.struct(F.lit("credential").alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-    each = near_base.select("text_key", F.concat(values, labels).alias("entities"), F.transform("term", lambda t: _widened(t, F.col("address"))).alias("terms")).where(F.size("entities") > 0)
-    # Copies of a text count once.
-    entities = _tables.stored(each.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*").distinct())
-    terms = _tables.stored(each.select("text_key", F.explode("terms").alias("t")).select("text_key", "t.*").distinct())
-    near = terms.withColumn("block", _blocks(F.col("start"), F.col("end"), 0)).join(entities.select("text_key", "entity", F.col("start").alias("e0"), F.col("end").alias("e1")).withColumn("block", _blocks(F.col("e0"), F.col("e1"), REACH)), ["text_key", "block"])
-    near = near.where((F.col("end") + REACH >= F.col("e0")) & (F.col("start") <= F.col("e1") + REACH) & ((F.col("end") <= F.col("e0")) | (F.col("start") >= F.col("e1"))) & (F.col("opaque") | (F.col("entity") != "credential")))
-    pair = near.select("term", "entity").distinct()
+    secrets = F.transform("opaque", lambda s: F.struct(F.concat(F.lit("opaque:"), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    near = lambda k: F.coalesce(F.lower(F.get("word", k)["value"]), F.lit(""))
+    words = F.transform("word", lambda t, k: F.struct(wide(t).alias("at"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term"), F.xxhash64(near(k - 1), near(k + 1)).alias("between")))
+    every = held.withColumn("entities", F.concat(values, secrets)).where(F.size("entities") > 0)
+    entities = _tables.stored(every.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*").distinct())
+    terms = _tables.stored(every.select("text_key", F.explode(words).alias("t")).select("text_key", "t.*"))
     holders = entities.select("text_key", "entity").distinct()
-    c_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    n = rows.select("text_key").distinct().count()
-    # Terms of all different texts, as hashes; counted before they meet the candidates.
-    code = lambda c: F.xxhash64(c)
-    every = rows.select("text_key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), code))).alias("code"))
-    c_t = _tables.stored(every.distinct().groupBy("code").agg(F.count(F.lit(1)).alias("c_t")))
-    pair = pair.withColumn("code", code(F.col("term"))).join(c_t, "code").join(c_e, "entity").where(F.col("c_e") < n)
-    # At most min(c_t, c_e) texts hold both, so a term that is more frequent than this can't reveal the entity.
-    pair = _tables.stored(pair.where(disclosure(n, F.col("c_t"), F.col("c_e"), F.least("c_t", "c_e")) >= GENERALISE).select("term", "entity", "c_t", "c_e"))
-    both = pair.join(terms.select("term", "text_key").distinct(), "term").join(holders, ["text_key", "entity"])
-    both = _tables.stored(both.select("term", "entity", "text_key", "c_t", "c_e"))
-    told = both.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te"), F.first("c_t").alias("c_t"), F.first("c_e").alias("c_e"))
-    told = told.select("term", "entity", disclosure(n, F.col("c_t"), F.col("c_e"), F.col("c_te")).alias("strength")).where(F.col("strength") >= GENERALISE)
-    marked = both.join(told, ["term", "entity"]).groupBy("text_key", "term").agg(F.max("strength").alias("strength"))
-    marked = terms.join(marked, ["text_key", "term"]).groupBy("text_key", "start", "end").agg(F.max(F.struct("strength", "term", "opaque")).alias("t"))
-    sure = F.col("t.strength") >= DISCLOSURE
-    struct = F.struct("start", F.when(sure, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"), F.when(sure, "term").otherwise("broad").alias("kind"), "end", F.when(F.col("t.opaque"), "code").otherwise("word").alias("value"))
-    out = _tables.stored(marked.groupBy("text_key").agg(F.array_sort(F.collect_list(struct)).cast(_EXTRA).alias("extra")))
-    _tables.dropped(held, entities, terms, c_t, pair, both)
+    shared = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e") >= SUPPORT)
+    at = entities.join(shared.select("entity"), "entity").select("text_key", "entity", F.col("start").alias("e0"), F.col("end").alias("e1"))
+    beside = terms.withColumn("block", _blocks(F.col("start"), F.col("end"), 0)).join(at.withColumn("block", _blocks(F.col("e0"), F.col("e1"), REACH)), ["text_key", "block"])
+    beside = beside.where((F.col("end") + REACH >= F.col("e0")) & (F.col("start") <= F.col("e1") + REACH) & ((F.col("end") <= F.col("e0")) | (F.col("start") >= F.col("e1"))))
+    pair = beside.select("term", "entity").distinct()
+    # Both in one text, wherever they stand in it.
+    both = pair.join(terms.select("term", "text_key", "between").distinct(), "term").join(holders.join(shared.select("entity"), "entity"), ["text_key", "entity"])
+    c_te = F.count_distinct("text_key")
+    told = both.groupBy("term", "entity").agg(c_te.alias("c_te"), F.count_distinct("between").alias("contexts")).where((F.col("c_te") >= SUPPORT) & (F.col("contexts") >= SUPPORT) & (F.col("contexts") * 2 >= F.col("c_te")))
+    # A term is in at least as many texts as in those with entities.
+    least = terms.groupBy("term").agg(F.count_distinct("text_key").alias("least"))
+    told = _tables.stored(told.join(least, "term").where(remaining(F.col("least"), F.col("c_te")) <= GENERALISE).select("term", "entity", "c_te"))
+    asked = _tables.stored(told.select("term").distinct())
+    found = rows.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term")).join(_tables.small(asked), "term").distinct()
+    c_t = found.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+    told = _tables.stored((told if asked.isEmpty() else told.join(c_t, "term").withColumn("bits", remaining(F.col("c_t"), F.col("c_te"))).where(F.col("bits") <= GENERALISE)).select("term", "entity", *([F.lit(0.0).alias("bits")] if asked.isEmpty() else ["bits"])))
+    marked = told.join(terms.select("term", "text_key").distinct(), "term").join(holders, ["text_key", "entity"]).groupBy("text_key", "term").agg(F.min("bits").alias("bits"))
+    marked = terms.join(marked, ["text_key", "term"]).groupBy("text_key", "at").agg(F.min("bits").alias("bits"))
+    sure = F.col("bits") <= REMOVE
+    span = F.struct(F.col("at.start").alias("start"), F.when(sure, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"), F.when(sure, "term").otherwise("broad").alias("kind"), F.col("at.end").alias("end"), F.lit("word").alias("value"))
+    own = every.select("text_key", F.explode(F.array_distinct(F.transform("opaque", wide))).alias("at")).select("text_key", F.struct(F.col("at.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), F.col("at.end").alias("end"), F.lit("code").alias("value")).alias("span"))
+    each = marked.select("text_key", span.alias("span")).unionByName(own)
+    # Of one place the stronger kind.
+    each = each.groupBy("text_key", "span.start", "span.end").agg(F.min("span").alias("span"))
+    out = _tables.stored(each.groupBy("text_key").agg(F.array_sort(F.collect_list("span")).cast(_EXTRA).alias("extra")))
+    _tables.dropped(held, entities, terms, told, asked)
     return out
 
 
 def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): counts and digest of base spans, all spans, and with_text the sanitised text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    # Written once: base spans, and the texts that have some or a credential's label.
-    marked = (F.size("base") > 0) | F.rlike("text", F.lit(_LABEL))
-    spans = _tables.stored(with_base(rows).select("doc_id", "text_key", "base", F.when(marked | F.lit(with_text), F.col("text")).alias("text")))
-    extra = revealing(rows, spans)
+    # Written once: base spans, and the texts that have some or an opaque string.  128 bits stand for a text.
+    marked = (F.size("base") > 0) | F.rlike("text", F.lit(_OPAQUE))
+    spans = _tables.stored(with_base(rows).select("doc_id", F.md5("text").alias("text_key"), "base", marked.alias("marked"), F.when(marked | F.lit(with_text), F.col("text")).alias("text")))
+    extra = revealing(rows, spans.where("marked"))
     out = spans.join(_tables.small(extra), "text_key", "left")
     none = F.array().cast(_EXTRA)
     # A term inside a base span is part of it.
