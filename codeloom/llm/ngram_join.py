@@ -306,9 +306,12 @@ def class_components(docs: DataFrame, n: int, num: int, den: int, rows: DataFram
     now, turn = costs(), 0
     while now:
         costly = open_.where("many").select("key", "cls", "comp")
+        sketch = sets.select("cls", "size", *ODD)
         drawn = costly.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(turn * PIVOTS + j)).alias("h"), "cls", "comp")) for j in range(PIVOTS)])).alias("pivots"))
         drawn = drawn.select("key", F.explode("pivots").alias("p")).select("key", F.col("p.cls").alias("a"), F.col("p.comp").alias("ca"))
-        tried = costly.join(drawn, "key").where("comp <> ca").select("a", F.col("cls").alias("b")).distinct()
+        # A pivot meets the classes of its bucket that its sketch does not rule out; other pairs are not even made.
+        x, y = costly.join(sketch, "cls").alias("x"), drawn.join(sketch.withColumnRenamed("cls", "a"), "a").alias("y")
+        tried = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.ca")) & _close("x", "y", num, den)).select("y.a", F.col("x.cls").alias("b")).distinct()
         comp = _merged(comp, _tables.stored(verified(tried, sets, num, den)))
         open_ = _open(open_.select("key", "cls"), comp, sizes)
         before, now, turn = now, costs(), turn + 1
