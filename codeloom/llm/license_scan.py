@@ -1,12 +1,17 @@
 """License scans.
 
-An Aho-Corasick automaton finds notice phrases over a text's words and
-identifier tags over the text itself; the expression after a tag is read by a
-shunting-yard parser of and, or and with.
+Aho-Corasick automata find notice phrases over a text's words and identifier
+tags over the text itself; the expression after a tag, up to the end of its
+line, is read by a shunting-yard parser of and, or and with.  Operands are
+licences of a known family and identifiers with a version; a word that is
+neither ends the expression before its operator, so prose behind an identifier
+is not read as one.
 
 Null text counts as empty.  A document without evidence has no labels, null
-first_word and last_word, and score 0.  Rows are independent of each other, so
-repeated rows, ties, null ids and further columns need no care.
+first_word and last_word, and score 0.  Very long texts are scanned whole, in
+batches of bounded bytes; an empty table gives no rows.  Rows are independent
+of each other, so repeated rows, ties and null ids need no care; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -51,7 +56,8 @@ OPENNESS = {
 UNKNOWN = 0.5
 #: What an exception (`with`) adds.
 EXCEPTION = 0.1
-TAG = "spdx-license-identifier:"
+#: Tags that a licence expression follows, in lower case.
+TAGS = ("spdx-license-identifier:", "license-expression:")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _SPLIT = bytes(c if chr(c).isascii() and (chr(c).isdigit() or chr(c).islower()) or c > 127 else 32 for c in range(256))
 _TOKEN = re.compile(rb"[()\n]|[a-z0-9][a-z0-9.+-]*")
@@ -63,6 +69,11 @@ def family(identifier: str) -> str:
     return next((f for f in _FAMILIES if identifier == f or identifier.startswith(f + "-")), identifier)
 
 
+def known(identifier: str, after: str = "") -> bool:
+    """Whether a word names a licence, or behind `with` an exception."""
+    return family(identifier) in OPENNESS or bool(re.search(r"-v?[0-9]", identifier)) or after == "with" and "exception" in identifier
+
+
 def evaluate(expression: bytes, at: int = 0) -> tuple[set[str], float] | None:
     """Labels and openness of the lower-case licence expression from `at` on; None if there is none on that line.
 
@@ -84,7 +95,7 @@ def evaluate(expression: bytes, at: int = 0) -> tuple[set[str], float] | None:
         token = match[0].decode()
         if want_operand and token == "(":
             operators.append(token)
-        elif want_operand and token not in _PRECEDENCE and token not in ")\n":
+        elif want_operand and token not in _PRECEDENCE and token not in ")\n" and known(token, operators[-1] if operators else ""):
             if operators and operators[-1] == "with":
                 values.append(0.0)
             else:
@@ -121,7 +132,15 @@ def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     return found
 
 
-def scan(text: str, found: ahocorasick.Automaton, base: dict[str, str]) -> tuple:
+def tag_automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for tag in TAGS:
+        found.add_word(tag, len(tag))
+    found.make_automaton()
+    return found
+
+
+def scan(text: str, found: ahocorasick.Automaton, tagged: ahocorasick.Automaton, base: dict[str, str]) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
@@ -145,12 +164,12 @@ def scan(text: str, found: ahocorasick.Automaton, base: dict[str, str]) -> tuple
         if longer in labels:
             labels.discard(shorter)
     tags: list[float] = []
-    at = low.find(TAG.encode())
-    while at >= 0:
-        if got := evaluate(low, at + len(TAG)):
+    plain = low.decode("utf-8", "surrogatepass")
+    for end, _ in tagged.iter(plain):
+        line = plain.find("\n", end)
+        if got := evaluate(plain[end + 1 : line if line >= 0 else len(plain)].encode("utf-8", "surrogatepass")):
             labels |= got[0]
             tags.append(got[1])
-        at = low.find(TAG.encode(), at + 1)
     labels |= base_labels
     scores = tags + [OPENNESS.get(x, UNKNOWN) for x in labels if not tags]
     return len(parts), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(scores, default=0.0)
@@ -166,12 +185,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _tables.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(phrases)
+        found, tagged = automaton(phrases), tag_automaton()
         kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
         names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         for batch in batches:
             texts = batch.column(1)
-            rows = [scan(t.as_py() or "", found, base) for t in texts]
+            rows = [scan(t.as_py() or "", found, tagged, base) for t in texts]
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
 
