@@ -9,8 +9,10 @@ free of conflicts it opens a new one at once.
 
 Pieces are dealt by a hash into shards of about SHARD, which are packed on
 their own, so no task sees more than that, however large a source or a group of
-copies is: the hash takes in a number of the row, so neither rows without an id
-nor rows that repeat one meet in one shard.  Bins that a shard leaves with more
+copies is.  The hash is that of the row's number in the order of id, source,
+cluster and length, so neither rows without an id nor rows that repeat one meet
+in one shard, and bins do not depend on how the table is laid out: rows that are
+equal in all of these are interchangeable.  Bins that a shard leaves with more
 than a fiftieth of their room are opened again, and their pieces dealt to fewer
 shards, as long as one shard is not enough and bins are more than a fiftieth
 above what words, the largest source and the largest cluster need at least, and
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import _tables
+from codeloom.operators.revisions import numbered
 
 #: Pieces of a shard, and the share of a bin that may stay empty.
 SHARD, SLACK = 8192, 0.02
@@ -99,8 +102,8 @@ def _packed(pieces: DataFrame, capacity: int, shards: int, turn: int) -> DataFra
 
     def run(table: pa.Table) -> pa.Table:
         bins, at, offset = Bins(capacity), [], []
-        rows = table.select(["n_words", "source", "cluster", "doc_id", "piece"]).to_pylist()
-        order = sorted(range(len(rows)), key=lambda k: (-rows[k]["n_words"], rows[k]["source"] or "", rows[k]["cluster"], rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0, rows[k]["piece"]))
+        rows = table.select(["n_words", "source", "cluster", "doc_id", "piece", "salt"]).to_pylist()
+        order = sorted(range(len(rows)), key=lambda k: (-rows[k]["n_words"], rows[k]["source"] or "", rows[k]["cluster"], rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0, rows[k]["piece"], rows[k]["salt"]))
         for k in order:
             b, o = bins.place(rows[k]["n_words"], rows[k]["source"], rows[k]["cluster"])
             at.append(b)
@@ -122,9 +125,11 @@ def best_fit(docs: DataFrame, capacity: int = 2048, shard: int = SHARD, cluster:
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), *([F.col(cluster).alias("given")] if cluster else []), words.alias("w"))
     group = F.xxhash64("given") if cluster else F.xxhash64(F.transform("w", lambda w: F.lower(w)))
-    # The salt is written with the rows, so that it is the same whenever they are read.
-    rows = rows.select("doc_id", "source", group.alias("cluster"), F.size("w").cast("long").alias("n"), F.xxhash64(F.monotonically_increasing_id()).alias("salt")).where("n > 0")
-    rows = _tables.stored(rows.withColumn("pieces", F.ceil(F.col("n") / capacity)))
+    narrow = _tables.stored(rows.select("doc_id", "source", group.alias("cluster"), F.size("w").cast("long").alias("n"), F.rand(1).alias("r")).where("n > 0"))
+    # Equal rows are dealt out among the ranges of the order by a random number, which decides nothing else.
+    numbers = numbered(narrow.withColumn("o", F.struct("doc_id", "source", "cluster", "n", "r")), "o", "number")
+    rows = _tables.stored(numbers.select("doc_id", "source", "cluster", "n", F.xxhash64("number").alias("salt"), F.ceil(F.col("n") / capacity).alias("pieces")))
+    _tables.dropped(narrow)
     # A document's pieces go to shards of their own, so that one long text does not fill one shard.
     left = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     left = left.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("n") - F.col("first_word")))
