@@ -12,18 +12,18 @@ is what the term tells; with one more text that holds the term alone, so that a
 few co-occurrences don't look like certainty, there remain
     log2((c(t) + 1) / c(t, e)) bits,
 whatever the number N of texts.  c(t) and c(e) are the different texts that hold
-the term or the entity, c(t, e) those that hold both.  Candidates are words of
-three letters or more that stand within REACH characters of the entity in some
-text, in SUPPORT texts with the entity at least, and there between different
-words: at least SUPPORT pairs of a word before and a word after, and half as
-many as texts.  So what near copies of one text share is one occurrence, not
+the term or the entity, c(t, e) those in which the term stands within REACH
+characters of the entity.  Terms are words of three letters or more.  They need
+SUPPORT such texts at least, and to stand there between different words: at
+least SUPPORT pairs of a word before and a word after, and half as many as
+texts.  So what near copies of one text share is one occurrence, not
 many.  If REMOVE bits or fewer remain, all occurrences of the term in texts with
 the entity are spans of kind `term` and become [TERM] in the sanitised text; up
 to GENERALISE bits they are spans of kind `broad` and become the name of their
 class: [NAME] with a capital, else [WORD].  Other terms are left.
 
-Counting starts from the texts with entities: a term that already occurs in too
-many of them is out, and only what is left is looked for in all texts.
+Counting starts from the words beside entities: a term that already stands there
+in too many texts is out, and only what is left is looked for in all texts.
 
 All counts are over all documents, each different text once.  Null and empty
 texts have no spans, and an empty table gives no rows.  Very long texts are
@@ -125,62 +125,78 @@ def _meet(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
-def _blocks(start: Column, end: Column, reach: int) -> Column:
-    """Numbers of the blocks of REACH characters that a span with `reach` characters on both sides touches."""
-    return F.explode(F.sequence(F.floor(F.greatest(start - reach, F.lit(0)) / REACH), F.floor((end + reach) / REACH)))
-
-
 def remaining(c_t: Column, c_te: Column) -> Column:
     """Bits of the entity's information content that the term leaves."""
     return F.log2((c_t + 1) / c_te)
 
 
+#: Characters of a piece of text, so that a window is cut from at most three of them, however long the text is.
+PIECE = 4096
+
+
+def _beside(pieces: Column, start: Column, end: Column) -> Column:
+    """Words, lower-cased, with the word before and after each, of the REACH characters on either side of a span; words that a window cuts are left out."""
+
+    def cut(at: Column, length: Column) -> Column:
+        k = F.floor(at / PIECE).cast("int")
+        return F.substring(F.concat_ws("", F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit(""))), (at - k * PIECE + 1).cast("int"), length)
+
+    # One character more on the outer side shows whether the outermost word goes on there.
+    first = F.greatest(start - REACH - 1, F.lit(0))
+    left, right = cut(first, start - first), cut(end, F.lit(REACH + 1))
+    left = F.when(start > REACH, F.regexp_replace(left, r"\A\p{L}+", "")).otherwise(left)
+    right = F.when(F.length(right) > REACH, F.regexp_replace(right, r"\p{L}+\z", "")).otherwise(right)
+    some = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
+    near = lambda w, k: F.coalesce(F.get(w, k), F.lit(""))
+    told = lambda w: F.transform(w, lambda t, k: F.struct(t.alias("term"), F.xxhash64(near(w, k - 1), near(w, k + 1)).alias("between")))
+    return F.concat(told(some(left)), told(some(right)))
+
+
 def revealing(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(text_key, extra): opaque strings and revealing terms of texts with entities, for rows(text) with spans(text_key, text, base)."""
     # Written before lambdas refer to it, as they would evaluate the patterns again for each element.
-    held = _tables.stored(placed(spans.where(F.col("text").isNotNull()).dropDuplicates(["text_key"]).select("text_key", "base", "text"), {"address": _ADDRESS, "opaque": _OPAQUE, "word": _WORD}).drop("text"))
+    once = spans.where(F.col("text").isNotNull()).dropDuplicates(["text_key"]).withColumn("pieces", F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
+    held = _tables.stored(placed(once.select("text_key", "base", "pieces", "text"), {"address": _ADDRESS, "opaque": _OPAQUE}))
     inside = lambda x, y: F.exists(y, lambda s: _meet(x, s))
     # An address that is no base span is removed with the whole of it.
-    held = held.withColumn("address", F.filter("address", lambda a: ~inside(a, "base"))).withColumn("opaque", F.filter("opaque", lambda o: ~inside(o, "base")))
-    whole = lambda t: F.get(F.filter("address", lambda a: _meet(t, a)), F.lit(0))
-    wide = lambda t: F.struct(F.coalesce(whole(t)["start"], t["start"]).alias("start"), F.coalesce(whole(t)["end"], t["end"]).alias("end"))
+    every = held.withColumn("address", F.filter("address", lambda a: ~inside(a, "base"))).withColumn("opaque", F.filter("opaque", lambda o: ~inside(o, "base")))
+    wide = lambda t: F.coalesce(F.get(F.filter("address", lambda a: _meet(t, a)), F.lit(0)), t)
     values = F.transform("base", lambda s: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
     secrets = F.transform("opaque", lambda s: F.struct(F.concat(F.lit("opaque:"), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-    near = lambda k: F.coalesce(F.lower(F.get("word", k)["value"]), F.lit(""))
-    words = F.transform("word", lambda t, k: F.struct(wide(t).alias("at"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term"), F.xxhash64(near(k - 1), near(k + 1)).alias("between")))
-    every = held.withColumn("entities", F.concat(values, secrets)).where(F.size("entities") > 0)
-    entities = _tables.stored(every.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*").distinct())
-    terms = _tables.stored(every.select("text_key", F.explode(words).alias("t")).select("text_key", "t.*"))
-    holders = entities.select("text_key", "entity").distinct()
-    shared = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e") >= SUPPORT)
-    at = entities.join(shared.select("entity"), "entity").select("text_key", "entity", F.col("start").alias("e0"), F.col("end").alias("e1"))
-    beside = terms.withColumn("block", _blocks(F.col("start"), F.col("end"), 0)).join(at.withColumn("block", _blocks(F.col("e0"), F.col("e1"), REACH)), ["text_key", "block"])
-    beside = beside.where((F.col("end") + REACH >= F.col("e0")) & (F.col("start") <= F.col("e1") + REACH) & ((F.col("end") <= F.col("e0")) | (F.col("start") >= F.col("e1"))))
-    pair = beside.select("term", "entity").distinct()
-    # Both in one text, wherever they stand in it.
-    both = pair.join(terms.select("term", "text_key", "between").distinct(), "term").join(holders.join(shared.select("entity"), "entity"), ["text_key", "entity"])
-    c_te = F.count_distinct("text_key")
-    told = both.groupBy("term", "entity").agg(c_te.alias("c_te"), F.count_distinct("between").alias("contexts")).where((F.col("c_te") >= SUPPORT) & (F.col("contexts") >= SUPPORT) & (F.col("contexts") * 2 >= F.col("c_te")))
-    # A term is in at least as many texts as in those with entities.
-    least = terms.groupBy("term").agg(F.count_distinct("text_key").alias("least"))
+    near = F.transform(F.concat(values, secrets), lambda e: F.struct(e["entity"].alias("entity"), _beside(F.col("pieces"), e["start"], e["end"]).alias("words")))
+    at = _tables.stored(every.select("text_key", F.explode(near).alias("e")).select("text_key", "e.*"))
+    beside = at.select("text_key", "entity", F.explode("words").alias("w")).select("text_key", "entity", "w.*")
+    holders = at.select("text_key", "entity").distinct()
+    shared = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e") >= SUPPORT).select("entity")
+    told = beside.join(shared, "entity").groupBy("term", "entity").agg(F.count_distinct("text_key").alias("c_te"), F.count_distinct("between").alias("contexts")).where((F.col("c_te") >= SUPPORT) & (F.col("contexts") >= SUPPORT) & (F.col("contexts") * 2 >= F.col("c_te")))
+    # A term is in at least as many texts as it stands in beside any entity.
+    least = beside.select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     told = _tables.stored(told.join(least, "term").where(remaining(F.col("least"), F.col("c_te")) <= GENERALISE).select("term", "entity", "c_te"))
     asked = _tables.stored(told.select("term").distinct())
-    found = rows.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term")).join(_tables.small(asked), "term").distinct()
-    c_t = found.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    told = _tables.stored((told if asked.isEmpty() else told.join(c_t, "term").withColumn("bits", remaining(F.col("c_t"), F.col("c_te"))).where(F.col("bits") <= GENERALISE)).select("term", "entity", *([F.lit(0.0).alias("bits")] if asked.isEmpty() else ["bits"])))
-    marked = told.join(terms.select("term", "text_key").distinct(), "term").join(holders, ["text_key", "entity"]).groupBy("text_key", "term").agg(F.min("bits").alias("bits"))
-    marked = terms.join(marked, ["text_key", "term"]).groupBy("text_key", "at").agg(F.min("bits").alias("bits"))
-    sure = F.col("bits") <= REMOVE
-    span = F.struct(F.col("at.start").alias("start"), F.when(sure, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"), F.when(sure, "term").otherwise("broad").alias("kind"), F.col("at.end").alias("end"), F.lit("word").alias("value"))
-    own = every.select("text_key", F.explode(F.array_distinct(F.transform("opaque", wide))).alias("at")).select("text_key", F.struct(F.col("at.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), F.col("at.end").alias("end"), F.lit("code").alias("value")).alias("span"))
-    each = marked.select("text_key", span.alias("span")).unionByName(own)
+    own = every.select("text_key", F.explode(F.array_distinct(F.transform("opaque", wide))).alias("at")).select("text_key", _span(F.col("at"), "term", "code").alias("span"))
+    each, left = own, [held, at, told, asked]
+    if not asked.isEmpty():
+        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+        c_t = rows.select(F.md5("text").alias("text_key"), F.explode(words).alias("term")).join(_tables.small(asked), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+        sure = _tables.stored(told.join(c_t, "term").withColumn("bits", remaining(F.col("c_t"), F.col("c_te"))).where(F.col("bits") <= GENERALISE).select("term", "entity", "bits"))
+        # The places of these terms in the texts that hold the entity.
+        marks = _tables.stored(sure.join(holders, "entity").groupBy("text_key", "term").agg(F.min("bits").alias("bits")))
+        texts = every.join(_tables.small(marks.select("text_key").distinct(), marks), "text_key", "left_semi").select("text_key", "address", F.array_join("pieces", "").alias("text"))
+        found = _tables.stored(placed(texts, {"word": _WORD}).drop("text"))
+        found = found.select("text_key", F.explode(F.transform("word", lambda t: F.struct(wide(t).alias("at"), F.lower(t["value"]).alias("term")))).alias("t")).select("text_key", "t.*").join(marks, ["text_key", "term"])
+        each = each.unionByName(found.select("text_key", F.when(F.col("bits") <= REMOVE, _span(F.col("at"), "term", "word")).otherwise(_span(F.col("at"), "broad", "word")).alias("span")))
+        left += [sure, marks]
     # Of one place the stronger kind.
     each = each.groupBy("text_key", "span.start", "span.end").agg(F.min("span").alias("span"))
     out = _tables.stored(each.groupBy("text_key").agg(F.array_sort(F.collect_list("span")).cast(_EXTRA).alias("extra")))
-    _tables.dropped(held, entities, terms, told, asked)
+    _tables.dropped(*left)
     return out
 
 
+def _span(at: Column, kind: str, value: str) -> Column:
+    return F.struct(at["start"].alias("start"), F.lit(len(KINDS) + (kind == "broad")).alias("rank"), F.lit(kind).alias("kind"), at["end"].alias("end"), F.lit(value).alias("value"))
+
+
 def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): counts and digest of base spans, all spans, and with_text the sanitised text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -80,6 +80,8 @@ def test_license_expressions():
     assert at("mit and gpl-3.0") == ({"mit", "gpl"}, 0.4)
     assert at("gpl-2.0 with classpath-exception-2.0 or mit and lgpl-2.1")[1] == 0.6
     assert at("(mit or gpl-2.0) and apache-2.0 with llvm-exception")[1] == 1.0
+    assert at("mit and the rest of prose") == ({"mit"}, 1.0) and at("mit or (the other)") == ({"mit"}, 1.0) and at("the mit") is None
+    assert at("foo-1.0 and mit with foo-exception and bar") == ({"foo-1.0", "mit"}, 0.5) and at("licence of ours") is None
     assert at("mit and") == ({"mit"}, 1.0) and at("or mit") is None and at("") is None and at("(mit")[1] == 1.0
 
 
@@ -141,8 +143,11 @@ def test_pii_formula(spark):
     mails = {t: set(re.findall(r"n\d@x\.org", t)) for t in texts}
     best = {}
     for term, e in itertools.product({w for t in texts for w in spelled[t]}, set().union(*mails.values())):
-        both = [t for t in texts if term in spelled[t] and e in mails[t]]
-        between = {(([""] + s)[k], (s + [""])[k + 1]) for t in both for s in [spelled[t]] for k, w in enumerate(s) if w == term}
+        both = [t for t in texts if term in spelled[t] and e in mails[t]]  # all stand close by
+        # Either side of the value is a window of its own.
+        sides = [re.findall(r"[^\W\d_]{3,}", x) for t in both for x in (t[: t.index(e)], t[t.index(e) + len(e) :])]
+        both = [t for t in both if any(term in re.findall(r"[^\W\d_]{3,}", x) for x in (t[: t.index(e)], t[t.index(e) + len(e) :]))]
+        between = {(([""] + s)[k], (s + [""])[k + 1]) for s in sides for k, w in enumerate(s) if w == term}
         if len(both) >= 2 and len(between) >= 2 and 2 * len(between) >= len(both) and sum(e in mails[t] for t in texts) >= 2:
             best[term, e] = math.log2((sum(term in spelled[t] for t in texts) + 1) / len(both))
     assert best["rare", "n9@x.org"] == math.log2(5 / 3) and best["unique", "n9@x.org"] == math.log2(4 / 3)
@@ -159,6 +164,17 @@ def test_pii_formula(spark):
     assert kinds == {"term", "broad"}
 
 
+def test_pii_windows(spark):
+    """Words of 64 characters on either side, without those that the window cuts; pieces of a long text make no difference."""
+    for long in (0, 3 * pii.PIECE - 40):
+        for gap in range(50, 70):
+            text = "z" * long + f" alpha{'.' * gap}v@x.org{'-' * gap}omega {'y' * 9}"
+            rows = spark.createDataFrame([(1, text)], "k int, text string").withColumn("pieces", F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % pii.PIECE), F.lit(0)))
+            at = text.index("v@")
+            got = {w.term for w in rows.select(pii._beside(F.col("pieces"), F.lit(at), F.lit(at + 7)).alias("w")).first().w}
+            assert ("alpha" in got) == (gap + 5 <= 64) and ("omega" in got) == (gap + 5 <= 64) and got <= {"alpha", "omega"}
+
+
 def test_pii_copies(spark):
     """Copies of a text, under ids of their own, the same id or none, leave the terms as they are."""
     rows = [(k, f"filler{k} {a} Zanzibar {b} to bob@example.com") for k, (a, b) in enumerate(zip("the codename our project see old this about".split(), "belongs goes reports was sent given moved led".split(), strict=True))] + [(100 + k, f"nothing here belongs to the number {k}") for k in range(200)]
@@ -334,6 +350,63 @@ def test_packing(which, request):
         assert not m.duplicated(["bin_id", "source"]).any() and not m.duplicated(["bin_id", "text"]).any()
 
 
+def test_license_labels(spark):
+    """Labels and scores of phrases and tags, as worked out by hand."""
+    rows = {
+        1: ("SPDX-License-Identifier: MIT and the rest of prose", "mit", 1.0), 2: ("a\nx spdx-license-identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception\nmore", "apache,gpl,mit", 1.0),
+        3: ("License-Expression: LGPL-2.1 OR foo", "lgpl", 0.6), 4: ("SPDX-License-Identifier: something else", "", 0.0), 5: ("under the BSD 3-Clause terms, all rights reserved", "bsd,proprietary", 0.05),
+        6: ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: AGPL-3.0", "agpl,mit", 0.3), 7: ("CC-BY-SA and MIT License", "cc-by-sa,mit", 0.5), 8: ("é" * 50_000 + "\nSPDX-License-Identifier:GPL-3.0\rMIT", "gpl", 0.4),
+        9: ("spdx-license-identifier:\nMIT", "", 0.0), 10: (None, "", 0.0),
+    }
+    got = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (t, _, _) in rows.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, round(r.score, 6)) for r in got} == {k: v[1:] for k, v in rows.items()}
+
+
+@pytest.mark.parametrize("shard", [16, 40, 10**6])
+def test_packing_brute(spark, shard):
+    """The whole query, rounds and deals included, and the same bins from one partition and from eight."""
+    import xxhash
+
+    rows = [(None if k % 11 == 0 else k % 150, "w " * (1 + k * 37 % 90) + str(k % 60), f"s{k % 40}" if k % 5 else None) for k in range(260)] + [(5, "same " * 12, "hot")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [[tuple(r) for r in packing.best_fit(df.repartition(p), capacity=64, shard=shard).collect()] for p in (1, 8)]
+    assert bag(got[0]) == bag(got[1])
+    cluster = {r.text: r.c for r in df.select("text", F.xxhash64(F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.lower(w))).alias("c")).distinct().collect()}
+    none_first = lambda v: (v is not None, v or ("" if isinstance(v, str) else 0))
+    order = sorted(((d, s, cluster[t], len(t.split())) for d, t, s in rows), key=lambda r: (none_first(r[0]), r[1] is not None, r[1] or "", r[2], r[3]))
+    long = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    code = lambda v, size, seed: xxhash.xxh64((v % (1 << 8 * size)).to_bytes(size, "little"), seed=seed).intdigest()
+    left = []
+    for k, (d, s, c, n) in enumerate(order):
+        left += [(n_words, s, c, d, p, p * 64, long(code(k + 1, 8, 42))) for p in range(-(-n // 64)) for n_words in [min(64, n - p * 64)]]
+    out, bins, turn = [], None, 0
+    while True:
+        shards = max(1, len(left) // shard)
+        parts = {}
+        for piece in left:
+            parts.setdefault(long(code(turn, 4, code(piece[4], 8, code(piece[6], 8, 42)))) % shards, []).append(piece)
+        packed = []
+        for number, part in parts.items():
+            part.sort(key=lambda x: (-x[0], x[1] or "", x[2], x[3] is None, x[3] or 0, x[4], x[6]))
+            placed = brute.pack([x[:3] for x in part], 64)
+            full = {b: sum(x[0] for x, (c, _) in zip(part, placed, strict=True) if c == b) for b, _ in placed}
+            packed += [(x, (turn << 58) + (number << 26) + b, o, full[b]) for x, (b, o) in zip(part, placed, strict=True)]
+        loose = [x for x in packed if x[3] < 64 * (1 - packing.SLACK)]
+        turn += 1
+        now, every = len({x[1] for x in loose}), len({x[1] for x in packed})
+        if shards == 1 or not loose or turn == 16 or bins is not None and every > bins * 0.99:
+            out += packed
+            break
+        most = lambda k: max(({v: sum(x[0][k] == v for x in loose) for v in {x[0][k] for x in loose} - {None}}).values(), default=0)  # noqa: B023, E731
+        if now <= max(sum(x[0][0] for x in loose) / 64, most(1), most(2)) * (1 + packing.SLACK):
+            out += packed
+            break
+        bins = now
+        out += [x for x in packed if x not in loose]
+        left = [x[0] for x in loose]
+    assert bag(got[0]) == bag((x[3], x[4], b, o, x[5], x[0]) for x, b, o, _ in out)
+
+
 def test_best_fit_brute():
     """The same bins as a linear scan finds."""
     r = random.Random(3)
