@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators import analytics as A
+from codeloom.tables import stored
 
 #: Extensions that make a target look like a file.
 FILE_ENDS = (
@@ -74,7 +75,7 @@ def resolve_entities(requests: DataFrame, nodes: DataFrame, preferred: tuple[str
     picked as resolve_verdicts does, and an ambiguous target by its number.
     """
     rows = nodes if kind is None else nodes.where(F.col("kind") == kind)
-    scored = A.resolve_scores(rows, requests.select(F.col("target").alias("symbol")).distinct(), kind, path)
+    scored = stored(A.resolve_scores(rows, requests.select(F.col("target").alias("symbol")).distinct(), kind, path))
     other = F.col("role").isin("test", "fixture")
     if tests == "only":
         scored = scored.where(other).withColumn("hidden", F.lit(0))
@@ -88,7 +89,7 @@ def resolve_entities(requests: DataFrame, nodes: DataFrame, preferred: tuple[str
     scored = scored.withColumn("level", level)
     best = scored.groupBy("symbol").agg(F.min("level").alias("level"), F.max("hidden").alias("hidden"))
     scored = scored.drop("hidden").join(best, ["symbol", "level"])
-    verdicts = A.resolve_verdicts(scored, preferred)
+    verdicts = stored(A.resolve_verdicts(scored, preferred))
     if pick is not None:
         shown = ambiguous(scored, preferred).where(F.col("rn") == pick).select("symbol", F.col("id").alias("picked"))
         verdicts = verdicts.join(shown, "symbol", "left").withColumn("pick", F.coalesce("pick", "picked")).withColumn("verdict", F.when(F.col("verdict") != "ambiguous", F.col("verdict")).when(F.col("picked").isNotNull(), "picked").otherwise("out-of-range")).drop("picked")
@@ -131,13 +132,17 @@ def resolve_file_or_entity(requests: DataFrame, nodes: DataFrame, path: str | No
     A scoped name is looked for near the file of its holder, or of the holder's
     name in snake case; one that is not found is not looked for as a whole.
     """
-    asked = requests.select("target").distinct()
+    # Each attempt is written once: the next ones ask for what it leaves.
+    nodes, asked = stored(nodes), stored(requests.select("target").distinct())
     ids = asked.join(nodes.select(F.col("id").alias("target"), F.col("id")).distinct(), "target").where(X.raw_id(F.col("target")) | F.contains("target", F.lit(":"))).select("target", F.lit("id").alias("how"), "id")
+    ids = stored(ids)
     left = asked.where(~X.raw_id(F.col("target"))).join(ids.select("target"), "target", "left_anti")
     short = resolve_prefix(left.where(F.rlike("target", F.lit("(?i)^[0-9a-f]{8,31}$"))), nodes).where("status = 'found'").select("target", F.lit("prefix").alias("how"), "id")
+    short = stored(short)
     left = left.join(short.select("target"), "target", "left_anti")
     files = file_matches(left.where(looks_like_file(F.col("target"))), nodes, path).select("target", F.lit("file").alias("how"), "id")
-    left = left.join(files.select("target"), "target", "left_anti").withColumn("s", scoped_symbol(F.col("target")))
+    files = stored(files)
+    left = stored(left.join(files.select("target"), "target", "left_anti").withColumn("s", scoped_symbol(F.col("target"))))
     scoped = left.where("s is not null").select("target", F.substring_index("s.holder", "::", -1).alias("holder"), "s.member")
     holders = resolve_entities(scoped.select(F.col("holder").alias("target")), nodes.where(F.col("kind").isin(*HOLDERS)), HOLDERS)
     at = holders.where("id is not null").join(nodes.select("id", "path"), "id").select(F.col("target").alias("holder"), F.lower(F.regexp_replace(X.basename(F.col("path")), r"\.[^.]+$", "")).alias("hint"))

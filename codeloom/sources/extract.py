@@ -36,14 +36,26 @@ def extractor(*languages: str) -> Callable:
 def python(source: str) -> Parsed:
     entities, relations = [], []
 
-    def walk(body: list, container: str | None, caller: str | None) -> None:
+    def named(node: ast.expr | None) -> str | None:
+        """The type that an annotation or a base names: `C` of C, b.C, C[int] and "C"."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str) and node.value.isidentifier():
+            return node.value
+        node = node.value if isinstance(node, ast.Subscript) else node
+        return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
+    def walk(body: list, container: str | None, caller: str | None, types: dict[str, str]) -> None:
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(node, ast.ClassDef) else "method" if container else "function"
                 entities.append((node.name, kind, container, node.lineno, node.end_lineno))
                 if kind == "class":
-                    relations.extend((node.name, b.id if isinstance(b, ast.Name) else b.attr, "EXTENDS") for b in node.bases if isinstance(b, (ast.Name, ast.Attribute)))
-                walk(node.body, node.name if kind == "class" else container, node.name)
+                    relations.extend((node.name, base, "EXTENDS") for b in node.bases if (base := named(b)))
+                    walk(node.body, node.name, node.name, {})
+                    continue
+                args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
+                own = {a.arg: t for a in args if (t := named(a.annotation))}
+                relations.extend((node.name, t, "REFERENCES") for t in [*own.values(), named(node.returns)] if t and t not in _BUILTINS["python"] and t not in ("None", "object", "bool", "bytes"))
+                walk(node.body, container, node.name, types | own)
             else:
                 for x in ast.walk(node):
                     if isinstance(x, ast.ImportFrom):
@@ -55,17 +67,17 @@ def python(source: str) -> Parsed:
                     elif isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute):
                         relations.append((caller, x.func.attr, "CALLS"))
                         if isinstance(x.func.value, ast.Name):
-                            root = container if x.func.value.id in ("self", "cls") and container else x.func.value.id
+                            root = container if x.func.value.id in ("self", "cls") and container else types.get(x.func.value.id, x.func.value.id)
                             relations.append((caller, f"{root}.{x.func.attr}", "CALLS"))
 
-    walk(ast.parse(source).body, None, None)
+    walk(ast.parse(source).body, None, None, {})
     return entities, list(dict.fromkeys(relations))
 
 
 #: Definition patterns by language family: (kind, pattern with the name as group 1).
 _DEFINITIONS = {
     "typescript": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfunction\s+(\w+)"), ("function", r"\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("method", r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return|else|do|try|with)\b)(\w+)\s*\([^()]*\)\s*(?::\s*[\w<>\[\]|&., ]+)?\s*\{")],
-    "java": [("class", r"\b(?:class|enum|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"\b(?:public|private|protected)\s[\w<>\[\], ]*?\b(\w+)\s*\(")],
+    "java": [("class", r"\b(?:class|enum|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"\b(?:public|private|protected)\s[\w<>\[\], ]*?\b(\w+)\s*\("), ("method", r"(?<!\bnew )(?<![\w.])(?!(?:if|for|while|switch|catch|synchronized|try|do|else|return|new)\b)(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+?)?\s*\{")],
     "go": [("function", r"^func\s+(\w+)"), ("method", r"^func\s+\([^)]*\)\s+(\w+)"), ("class", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
     "rust": [("function", r"\bfn\s+(\w+)"), ("class", r"\b(?:struct|enum)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("module", r"\bmod\s+(\w+)"), ("macro", r"\bmacro_rules!\s*(\w+)")],
     "c": [("class", r"\b(?:struct|union|enum)\s+(\w+)\s*\{"), ("macro", r"^#\s*define\s+(\w+)"), ("function", r"^[\w*\s]+?\b(\w+)\s*\([^;]*\)\s*\{")],
@@ -106,6 +118,8 @@ _BUILTINS = {
     "sas": ("input", "put", "sum", "mean", "scan", "substr", "trim", "compress"),
 }
 _BUILTINS["typescript"] = _BUILTINS["javascript"]
+#: Words of a language that stand before parentheses and are no calls.
+_BUILTINS |= {"go": ("import", "type", "var", "const", "defer", "go", "select"), "java": ("synchronized",), "csharp": ("lock", "using", "fixed")}
 
 
 def is_supported(language: str) -> bool:
@@ -126,7 +140,9 @@ def _by_patterns(language: str) -> Callable[[str], Parsed]:
             for m in re.finditer(pattern, code if '"' not in pattern else source, re.M):
                 named.setdefault(m.start(1), (m[1], kind))
         entities = scopes.contained([(at, name, kind) for at, (name, kind) in sorted(named.items())], code, language, lines)
-        relations = [(None, next(g for g in m.groups() if g), "IMPORTS") for m in re.finditer(_IMPORTS[language], source, re.M)] if language in _IMPORTS else []
+        if language == "php":
+            entities = [(name, "method" if kind == "function" and container else kind, container, *span) for name, kind, container, *span in entities]
+        relations = [(None, next(g for g in m.groups() if g), "IMPORTS") for m in re.finditer(_IMPORTS[language], ungrouped(source, language), re.M)] if language in _IMPORTS else []
         relations += scopes.heritage(code, language)
         own, builtin = {(e[3], e[0]) for e in entities}, _NO_CALLS | set(_BUILTINS.get(language, ()))
         for m in re.finditer(r"\b(\w+)\s*\(", code):
@@ -139,6 +155,19 @@ def _by_patterns(language: str) -> Callable[[str], Parsed]:
     return parse
 
 
+#: Imports of several names at once: what stands before the braces, and what joins it to each name.
+_GROUPS = {"php": (r"^(\s*use\s+(?:function\s+|const\s+)?[\w\\]+\\)\{([^}]*)\}", r"\s+as\s+"), "scala": (r"^(\s*import\s+[\w.]+\.)\{([^}]*)\}", r"\s*=>\s*"), "rust": (r"^(\s*(?:pub\s+)?use\s+[\w:]+::)\{([^{}]*)\}", r"\s+as\s+")}
+
+
+def ungrouped(source: str, language: str) -> str:
+    """The source with imports of several names in braces as one import a line."""
+    if language not in _GROUPS:
+        return source
+    pattern, renamed = _GROUPS[language]
+    names = lambda group: [n for x in group.split(",") if (n := re.split(renamed, x.strip())[0]) not in ("", "_", "*", "self")]
+    return re.sub(pattern, lambda m: "\n".join(m[1].lstrip("\n") + n for n in names(m[2])), source, flags=re.M)
+
+
 def merged_clauses(entities: list[tuple]) -> list[tuple]:
     """Clauses of one function as one entity, from the first line of the first to the last line of the last."""
     out: dict[tuple, tuple] = {}
@@ -176,19 +205,24 @@ def html(source: str) -> Parsed:
 
 @extractor("json")
 def json_keys(source: str) -> Parsed:
-    """Every object key, its dotted path as container; arrays are transparent."""
-    out = []
-
-    def walk(value: object, path: str) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                out.append((k, "config_entry", path or None, 1, 1))
-                walk(v, f"{path}.{k}" if path else k)
-        elif isinstance(value, list):
-            for v in value:
-                walk(v, path)
-
-    walk(json.loads(source), "")
+    """Every object key at its line, its dotted path as container; arrays are transparent."""
+    json.loads(source)
+    out, stack, line, at = [], [], 1, 0
+    for m in re.finditer(r'"(?:\\.|[^"\\])*"|[{}\[\],]', source):
+        line += source.count("\n", at, m.start())
+        at, token = m.start(), m[0]
+        if token in "{[":
+            above = stack[-1] if stack else {"path": "", "key": None}
+            path = ".".join(x for x in (above["path"], above["key"]) if x)
+            stack.append({"path": path, "key": None, "next": token == "{", "object": token == "{"})
+        elif token in "}]":
+            stack.pop()
+        elif token == ",":
+            stack[-1]["next"] = stack[-1]["object"]
+        elif stack and stack[-1]["next"]:
+            key = json.loads(token)
+            out.append((key, "config_entry", stack[-1]["path"] or None, line, line))
+            stack[-1] |= {"key": key, "next": False}
     return out, []
 
 
@@ -256,7 +290,8 @@ def markdown(source: str) -> Parsed:
 @extractor("dockerfile")
 def dockerfile(source: str) -> Parsed:
     out, relations, stage, number = [], [], None, 0
-    joined = re.sub(r"\\\n", " ", source)
+    # A line that goes on stands at its first line; what it goes on with is a blank one.
+    joined = re.sub(r"(?:[^\n]*\\\n)+[^\n]*", lambda m: m[0].replace("\\\n", " ") + "\n" * m[0].count("\\\n"), source)
     for at, line in enumerate(joined.split("\n"), 1):
         if m := re.match(r"(?i)^\s*FROM\s+(?:--\S+\s+)*(\S+)(?:\s+AS\s+(\S+))?", line):
             stage, number = m[2] or f"stage-{number}", number + 1

@@ -266,3 +266,25 @@ def test_watch_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("watched"), "path", "change") == [("a", "changed"), ("a", "new"), ("b", "deleted"), ("b", "new")]
+
+
+def test_extract_faults():
+    """Facts that patterns once got wrong."""
+    ents = lambda lang, src: [(e[0], e[1], e[3]) for e in E.EXTRACTORS[lang](src)[0]]
+    rels = lambda lang, src: E.EXTRACTORS[lang](src)[1]
+    java = "class A { int f; A() { g(); } void pkg(int x) { if (x > 0) { h(); } } Runnable r = new Runnable() { public void run() {} }; }"
+    assert {("A", "method"), ("pkg", "method"), ("run", "method")} <= {e[:2] for e in ents("java", java.replace("; ", ";\n").replace("{ ", "{\n"))}
+    assert {n for n, _, _ in ents("java", java)} == {"A", "pkg", "run"}
+    assert {t for _, t, p in rels("java", java) if p == "CALLS"} & {"pkg", "if", "A"} == set() and {"g", "h"} <= {t for _, t, p in rels("java", java) if p == "CALLS"}
+    go = 'package p\nimport (\n\t"fmt"\n\tx "a/b"\n)\nvar (\n\tv = 1\n)\nfunc F() {\n\tg()\n}\n'
+    assert {r for r in rels("go", go) if r[2] == "CALLS"} == {("F", "g", "CALLS")} and {t for _, t, p in rels("go", go) if p == "IMPORTS"} == {"fmt", "a/b"}
+    php = "<?php\nuse A\\{B, C as D};\nuse E\\F;\nclass K {\n  function m() { n(); }\n}\nfunction top() {}\n"
+    assert {t for _, t, p in rels("php", php) if p == "IMPORTS"} == {"A\\B", "A\\C", "E\\F"}
+    assert {e[:2] for e in ents("php", php)} == {("K", "class"), ("m", "method"), ("top", "function")}
+    assert {t for _, t, p in rels("scala", "import a.b.{C, D => E, _}\nimport x.Y\n") if p == "IMPORTS"} == {"a.b.C", "a.b.D", "x.Y"}
+    docker = "FROM a AS s\nRUN x \\\n  && y \\\n  && z\n\nCOPY f g\n"
+    assert [(n, k) for n, _, k in ents("dockerfile", docker)] == [("s", 1), ("a", 1), ("run", 2), ("copy:f", 6)]
+    assert [(e[0], e[2], e[3]) for e in E.EXTRACTORS["json"]('{"a": 1,\n "b": [{"c": "x, y"},\n {"d": {"e\\"": []}}],\n"f": "{"}')[0]] == [("a", None, 1), ("b", None, 2), ("c", "b", 2), ("d", "b", 3), ('e"', "b.d", 3), ("f", None, 4)]
+    python = "class A(b.C[int], D):\n  pass\ndef f(x: Foo, n: int, y: 'Bar' = None) -> list[Baz]:\n  x.go()\n  n.go()\n"
+    assert {(s, t) for s, t, p in rels("python", python) if p == "EXTENDS"} == {("A", "C"), ("A", "D")}
+    assert {t for _, t, p in rels("python", python) if p == "REFERENCES"} == {"Foo", "Bar"} and ("f", "Foo.go", "CALLS") in rels("python", python)
