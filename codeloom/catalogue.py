@@ -19,6 +19,7 @@ from codeloom.plans.shared import LOG_SQL, SNAPSHOT_SQL, event_log
 from codeloom.sources import extract as E
 from codeloom.sources import files as S
 from codeloom.streaming import watch
+from codeloom.tables import stored
 
 def _g(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return graph.nodes(spark, sf), graph.edges(spark, sf)
@@ -319,6 +320,16 @@ def region_map(spark, sf):  # noqa: ANN001, ANN201
     return A.communities(A.coupling(edges, _file_of(nodes, edges)))
 
 
+@query(f"with {_COUPLING_SQL} select id, 1::bigint as n_regions, 0.0::double as gain from (select a as id from coupling union select b from coupling)", True)
+def region_state(spark, sf):  # noqa: ANN001, ANN201
+    """What defines the map: every linked file is in one region, and moving it to another one gains nothing."""
+    nodes, edges = _g(spark, sf)
+    links = stored(A.coupling(edges, _file_of(nodes, edges)))
+    member = stored(A.communities(links))
+    times = member.groupBy("id").agg(F.count(F.lit(1)).alias("n_regions"))
+    return A.gains(links, member).join(times, "id").select("id", "n_regions", F.round("gain", 3).alias("gain"))
+
+
 @query(f"""with {_SMELL_SQL}, s as (select src as region, f.id, f.chunks, case when chunks >= 20 or fan >= 15 then 1 else 0 end as smelly from f join edges e on e.dst = f.id and e.predicate = 'IN_REGION'),
 g as (select region, count(*) as files, sum(chunks) as chunks, sum(smelly) as smelly from s group by 1)
 select region, round(0.5 * least(1, chunks / files / 5) + 0.5 * (1 - smelly / files), 4)::double as health, case when 0.5 * least(1, chunks / files / 5) + 0.5 * (1 - smelly / files) >= 0.8 then 'good'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators.textindex import names_with
-from codeloom.tables import stored
+from codeloom.tables import dropped, stored
 
 #: Fixed values.
 CONTAINERS = ("class", "object", "trait", "interface", "module", "file")
@@ -174,44 +174,89 @@ def coupling(edges: DataFrame, file_of: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.sum("w").alias("weight"))
 
 
-#: A round that raises modularity by less ends the moves.
-LEAST_GAIN = 1e-5
+#: Weights and resolutions are whole numbers of these parts; shares of movers that a community may admit are 1, 1/2, 1/4, ..
+PARTS_OF_ONE, SHARES = 1000, 8
 
 
 def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(id, community): modularity moves on links(a, b, weight), as long as they raise modularity.
-
-    In each round a node moves to the neighbouring community with the largest
-    gain, weight to it less resolution * degree * community degree / 2m; of
-    equal ones it stays, or takes the least.  Only every other half of the nodes,
-    by hash, may move in a round, so that neighbours don't swap places for ever.
-    When neither half raises modularity by LEAST_GAIN any more, the best state
-    stands.
+    """(id, community): a state of links(a, b, weight) in which no move of a single node to a neighbouring community raises modularity.
+
+    With whole weights w, degrees k, their sums K by community and 2m over all, the gain of a move from A to B is
+        2m (w(i, B) - w(i, A)) - resolution k(i) (K(B) - K(A) + k(i)),
+    in whole numbers, so every run gives the same communities, however the tables lie.
+
+    In every round a community either gives nodes away or admits some.  A node of a giving one proposes its best
+    admitting neighbour.  Movers into one community, or out of one, spoil each other's gain by at
+    most resolution k(i) k(j) / 2 each; a community admits the largest share of its proposals, drawn by hash, in which
+    every mover's gain covers that for all others.  So moves of a round may be made at once and modularity rises with
+    every round, until there is no gain left.  If no share is small enough anywhere, the single best move is made.
     """
-    both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
-    degree = stored(both.groupBy("id").agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    now = best = stored(degree.select("id", F.col("id").alias("community")))
-    top, since, r = None, 0, 0
+    whole = lambda c: F.round(c * PARTS_OF_ONE).cast("long")
+    ends = links.where("a <> b").select("a", "b", whole(F.col("weight")).alias("w"))
+    both = stored(ends.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(ends.select(F.col("b").alias("id"), F.col("a").alias("other"), "w")).groupBy("id", "other").agg(F.sum("w").alias("w")))
+    degree = stored(both.groupBy("id").agg(F.sum("w").alias("k")))
+    total, weight = int(degree.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]), round(resolution * PARTS_OF_ONE)
+    now, turn = stored(degree.select("id", F.col("id").alias("community"), "k")), 0
+    big = lambda c: c.cast("decimal(20, 0)")
     while True:
-        size = now.join(degree, "id").groupBy("community").agg(F.sum("k").alias("ck"))
-        near = stored(both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w")))
-        own = now.select("id", F.col("community").alias("own"))
-        inside = near.join(own, "id").where("community = own").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        spread = size.agg(F.coalesce(F.sum(F.col("ck") * F.col("ck")), F.lit(0.0))).first()[0]
-        modularity = inside / total - resolution * spread / total / total
-        if top is None or modularity > top + LEAST_GAIN:
-            top, since, best = modularity, 0, now
-        else:
-            since += 1
-            if since == 2:
-                return best
-        gain = near.join(own, "id").select("id", "community", "w", "own").unionByName(own.select("id", F.col("own").alias("community"), F.lit(0.0).alias("w"), "own"))
-        gain = gain.groupBy("id", "community", "own").agg(F.sum("w").alias("w")).join(size, "community").join(degree, "id")
-        gain = gain.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * (F.col("ck") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total, 9))
-        to = gain.groupBy("id", "own").agg(F.min_by("community", F.struct(-F.col("gain"), F.col("community") != F.col("own"), "community")).alias("to"))
-        now = stored(to.select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2, F.col("to")).otherwise(F.col("own")).alias("community")))
-        r += 1
+        size = now.groupBy("community").agg(F.sum("k").alias("mass"))
+        near = both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
+        own = now.join(size, "community").select("id", F.col("community").alias("own"), "k", F.col("mass").alias("own_mass"))
+        inside = F.coalesce(F.sum(F.when(F.col("community") == F.col("own"), F.col("w"))).over(Window.partitionBy("id")), F.lit(0))
+        rows = near.join(own, "id").withColumn("inside", inside).where("community <> own").join(size, "community")
+        gain = big(F.col("w") - F.col("inside")) * F.lit(total).cast("decimal(20, 0)") * F.lit(PARTS_OF_ONE).cast("decimal(4, 0)") - big(F.col("k")) * big(F.col("mass") - F.col("own_mass") + F.col("k")) * F.lit(weight).cast("decimal(10, 0)")
+        rows = stored(rows.withColumn("gain", gain.cast("decimal(38, 0)")).where("gain > 0").select("id", "own", "k", "community", "gain"))
+        if rows.isEmpty():
+            return now.select("id", "community")
+        # A community gives if the best move out of it is better than the best one into it, else it admits; so the best move of all is always open.
+        prize = F.struct("gain", F.xxhash64("id", "community", F.lit(turn)), "id", "community")
+        out, into = rows.groupBy(F.col("own").alias("c")).agg(F.max(prize).alias("out")), rows.groupBy(F.col("community").alias("c")).agg(F.max(prize).alias("into"))
+        role = out.join(into, "c", "full").select("c", (F.col("into").isNull() | (F.col("out") > F.col("into"))).alias("gives"))
+        offers = rows.join(role.where("gives").select(F.col("c").alias("own")), "own", "left_semi").join(role.where("not coalesce(gives, false)").select(F.col("c").alias("community")), "community", "left_semi")
+        # The largest gain, of equal ones the least community.
+        least = offers.groupBy("id", "own", "k").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("b")).select("id", "own", "k", F.col("b.community").alias("community"), (-F.col("b.loss")).cast("decimal(38, 0)").alias("gain"))
+        leaving = least.groupBy("own").agg(F.sum("k").alias("leaving"))
+        # A mover bears so much weight of others beside its own.
+        bears = (F.ceil(F.col("gain") * 2 / (big(F.col("k")) * F.lit(max(weight, 1)).cast("decimal(10, 0)"))) - 1).cast("decimal(38, 0)") + F.col("k") * 2 - F.col("leaving")
+        code = F.xxhash64("id", F.lit(-1 - turn))
+        # Half of the nodes have share 0, a quarter 1, and so on.
+        share = F.coalesce(*[F.when(F.shiftright(code, j).bitwiseAND(F.lit(1)) == 1, j) for j in range(SHARES - 1)], F.lit(SHARES - 1))
+        asked = least.join(leaving, "own").withColumn("bears", bears).withColumn("share", share)
+        held = lambda j: F.sum(F.when(F.col("share") >= j, F.col("k")))
+        weakest = lambda j: F.min(F.when(F.col("share") >= j, F.col("bears")))
+        fits = F.coalesce(*[F.when(weakest(j) >= held(j), F.lit(j)) for j in range(SHARES)])
+        admitted = asked.groupBy("community").agg(fits.alias("from_share")).where("from_share is not null")
+        moves = stored(asked.join(admitted, "community").where("share >= from_share").select("id", F.col("community").alias("to")))
+        if moves.isEmpty():
+            moves = stored(rows.orderBy(F.desc("gain"), "id", "community").limit(1).select("id", F.col("community").alias("to")))
+        after = stored(now.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k"))
+        dropped(now, rows, moves)
+        now, turn = after, turn + 1
+
+
+def modularity(links: DataFrame, member: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of member(id, community) on links(a, b, weight)."""
+    at = lambda c: member.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    rows = links.where("a <> b").join(at("a"), "a").join(at("b"), "b")
+    total = rows.agg(F.sum("weight")).first()[0] or 1.0
+    inside = rows.agg(F.coalesce(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight"))), F.lit(0.0))).first()[0]
+    spread = rows.select(F.explode(F.array("ca", "cb")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).first()[0]
+    return inside / total - resolution * spread / (2 * total) ** 2
+
+
+def gains(links: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, gain): the best rise of modularity (times 2m^2) that moving each node of member(id, community) to a neighbouring community would bring; 0 without one."""
+    both = links.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(links.where("a <> b").select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    degree = both.groupBy("id").agg(F.sum("weight").alias("k"))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    of = member.join(degree, "id")
+    size = of.groupBy("community").agg(F.sum("k").alias("mass"))
+    near = both.join(member.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w"))
+    own = of.join(size, "community").select("id", F.col("community").alias("own"), "k", F.col("mass").alias("own_mass"))
+    inside = own.join(near, (own.id == near.id) & (own.own == near.community), "left").select(own.id, "own", "k", "own_mass", F.coalesce("w", F.lit(0.0)).alias("inside"))
+    rows = near.join(inside, "id").where("community <> own").join(size, "community")
+    best = rows.groupBy("id").agg(F.max(total * (F.col("w") - F.col("inside")) - resolution * F.col("k") * (F.col("mass") - F.col("own_mass") + F.col("k"))).alias("gain"))
+    return member.select("id").join(best, "id", "left").select("id", F.greatest(F.coalesce("gain", F.lit(0.0)), F.lit(0.0)).alias("gain"))
 
 
 def region_scores(links: DataFrame, member: DataFrame) -> DataFrame:

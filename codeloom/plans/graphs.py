@@ -182,6 +182,28 @@ def explained(spark, sf):  # noqa: ANN001, ANN201
     return f.select("id", F.when((F.length("explanation") > 0) & F.col("importance").isin("high", "medium", "low"), 1).alias("explained"))
 
 
+#: Every part calls the one with half its number, so chains are as deep as numbers have bits.
+_CHAIN = "pk as (select p_partkey as k, p_name as name, 'brand/' || p_brand as path from {part}), ce as (select 'P:' || pk.k as src, 'P:' || q.k as dst, 'CALLS' as predicate from pk join pk q on q.k = cast(floor(pk.k / 2) as bigint) and q.k <> pk.k)"
+_LEVELS = "lv as (select dst as id, src as there, 1 as depth from ce union all select lv.id, ce.src, lv.depth + 1 from lv join ce on ce.dst = lv.there where lv.depth < {depth})"
+
+
+def _chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return fixture(spark, sf, f"with {_CHAIN} select 'P:' || k as id, 'function' as kind, name, path from pk"), fixture(spark, sf, f"with {_CHAIN} select src, dst, predicate from ce")
+
+
+@query(f"with recursive {_CHAIN}, {_LEVELS.format(depth=N.DOWNSTREAM_DEPTH)} select 'P:' || k as id, least(count(there), {N.DOWNSTREAM_NODES} - 1) as downstream, coalesce(max(depth), 0) as downstream_depth from pk left join lv on lv.id = 'P:' || k group by k")
+def downstream_levels(spark, sf):  # noqa: ANN001, ANN201
+    nodes, edges = _chain(spark, sf)
+    return N.downstream(edges, nodes)
+
+
+@query(f"with recursive {_CHAIN}, {_LEVELS.format(depth=3)} select 'P:' || k as id, (select count(*) from lv where lv.id = 'P:' || k) as callers, (select count(*) from ce where src = 'P:' || k) as callees, (select count(*) from lv where lv.id = 'P:' || k) as propagated from pk")
+def impact_levels(spark, sf):  # noqa: ANN001, ANN201
+    """Impact within three hops."""
+    nodes, edges = _chain(spark, sf)
+    return N.impact(nodes, nodes, edges, 3).select("id", "callers", "callees", "propagated")
+
+
 # ---- lookup ----------------------------------------------------------------------------------------------------------
 
 
