@@ -186,10 +186,10 @@ def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
     in whole numbers, so every run gives the same communities, however the tables lie.
 
     In every round a community either gives nodes away or admits some.  A node of a giving one proposes its best
-    admitting neighbour.  Movers into one community, or out of one, spoil each other's gain by at
-    most resolution k(i) k(j) / 2 each; a community admits the largest share of its proposals, drawn by hash, in which
-    every mover's gain covers that for all others.  So moves of a round may be made at once and modularity rises with
-    every round, until there is no gain left.  If no share is small enough anywhere, the single best move is made.
+    admitting neighbour.  Movers into one community, or out of one, spoil each other's gain by at most
+    resolution k(i) k(j) / 2 each.  Of all proposals, half of them, a quarter .., drawn by hash, those are kept whose gain
+    covers that for all others drawn; the share with the largest sum of gains moves.  So the moves of a round may be made
+    at once and modularity rises with every round, until there is no gain left.  If none is kept, the best one is made.
     """
     whole = lambda c: F.round(c * PARTS_OF_ONE).cast("long")
     ends = links.where("a <> b").select("a", "b", whole(F.col("weight")).alias("w"))
@@ -215,22 +215,21 @@ def communities(links: DataFrame, resolution: float = 1.0) -> DataFrame:
         offers = rows.join(role.where("gives").select(F.col("c").alias("own")), "own", "left_semi").join(role.where("not coalesce(gives, false)").select(F.col("c").alias("community")), "community", "left_semi")
         # The largest gain, of equal ones the least community.
         least = offers.groupBy("id", "own", "k").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("b")).select("id", "own", "k", F.col("b.community").alias("community"), (-F.col("b.loss")).cast("decimal(38, 0)").alias("gain"))
-        leaving = least.groupBy("own").agg(F.sum("k").alias("leaving"))
-        # A mover bears so much weight of others beside its own.
-        bears = (F.ceil(F.col("gain") * 2 / (big(F.col("k")) * F.lit(max(weight, 1)).cast("decimal(10, 0)"))) - 1).cast("decimal(38, 0)") + F.col("k") * 2 - F.col("leaving")
+        # Half of the movers have share 0, a quarter 1, and so on; drawn anew in every round.
         code = F.xxhash64("id", F.lit(-1 - turn))
-        # Half of the nodes have share 0, a quarter 1, and so on.
-        share = F.coalesce(*[F.when(F.shiftright(code, j).bitwiseAND(F.lit(1)) == 1, j) for j in range(SHARES - 1)], F.lit(SHARES - 1))
-        asked = least.join(leaving, "own").withColumn("bears", bears).withColumn("share", share)
-        held = lambda j: F.sum(F.when(F.col("share") >= j, F.col("k")))
-        weakest = lambda j: F.min(F.when(F.col("share") >= j, F.col("bears")))
-        fits = F.coalesce(*[F.when(weakest(j) >= held(j), F.lit(j)) for j in range(SHARES)])
-        admitted = asked.groupBy("community").agg(fits.alias("from_share")).where("from_share is not null")
-        moves = stored(asked.join(admitted, "community").where("share >= from_share").select("id", F.col("community").alias("to")))
-        if moves.isEmpty():
-            moves = stored(rows.orderBy(F.desc("gain"), "id", "community").limit(1).select("id", F.col("community").alias("to")))
+        asked = stored(least.withColumn("share", F.coalesce(*[F.when(F.shiftright(code, j).bitwiseAND(F.lit(1)) == 1, j) for j in range(SHARES - 1)], F.lit(SHARES - 1))))
+        held = lambda c, name: asked.groupBy(c).agg(*[F.coalesce(F.sum(F.when(F.col("share") >= j, F.col("k"))), F.lit(0)).alias(f"{name}{j}") for j in range(SHARES)])  # noqa: B023, E731
+        # So much weight of others beside its own may move with a mover, and its gain still covers it.
+        bears = F.ceil(F.col("gain") * 2 / (big(F.col("k")) * F.lit(max(weight, 1)).cast("decimal(10, 0)"))) - 1 + F.col("k") * 2
+        open_ = asked.join(held("community", "into"), "community").join(held("own", "out"), "own").withColumn("bears", bears)
+        may = [(F.col("share") >= j) & (F.col("bears") >= F.col(f"into{j}") + F.col(f"out{j}")) for j in range(SHARES)]
+        open_ = stored(open_.select("id", F.col("community").alias("to"), "gain", *[m.alias(f"may{j}") for j, m in enumerate(may)]))
+        sums = open_.agg(*[F.coalesce(F.sum(F.when(F.col(f"may{j}"), F.col("gain"))), F.lit(0)).alias(f"g{j}") for j in range(SHARES)]).first()
+        moves = open_.where(f"may{max(range(SHARES), key=lambda j: sums[j])}").select("id", "to")
+        if not max(sums):
+            moves = rows.orderBy(F.desc("gain"), "id", "community").limit(1).select("id", F.col("community").alias("to"))
         after = stored(now.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k"))
-        dropped(now, rows, moves)
+        dropped(now, rows, asked, open_)
         now, turn = after, turn + 1
 
 
