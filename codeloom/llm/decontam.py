@@ -5,8 +5,9 @@ postings (term, document, position) of the KEYS rarest terms of every
 benchmark window.  A window's lists, each moved by the term's offset in the
 window, are intersected document by document, from the rarest term on: first
 starts at which the others follow at exactly their offsets, or within SLOP
-words of them.  Starts that are left are held against the whole window, which
-gives exact phrases; the others are proximity matches.
+words of them.  Starts that are left are held against the whole window, a chunk
+of the text at a time, which gives exact phrases; the others are proximity
+matches.
 
 A window that stands in several items is one window.  Windows of fewer
 different terms have fewer lists.  Null and empty texts have no words, and are
@@ -85,20 +86,28 @@ def intersected(index: DataFrame, keys: DataFrame) -> DataFrame:
     return out.select("win", *place, "start")
 
 
-def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """(doc_id, text_key, win, start, length, exact) of docs(doc_id, text_key, text): exact phrase and proximity matches."""
+#: Words of a text that its starts are held against at a time.
+CHUNK = 1024
+
+
+def occurrences(docs: DataFrame, wins: DataFrame, length: int = 10) -> DataFrame:
+    """(doc_id, text_key, win, start, length, exact) of docs(doc_id, text_key, text): exact phrase and proximity matches of windows of at most `length` words."""
     place = ["doc_id", "text_key"]
     keys = key_terms(docs, wins)
     index = postings(docs, keys)
-    found = intersected(index, keys).join(_tables.small(wins.select("win", "terms"), wins), "win")
-    found = _tables.stored(found.groupBy(*place).agg(F.collect_list(F.struct("win", "terms", "start")).alias("found")))
+    chunk = F.floor(F.greatest("start", F.lit(0)) / CHUNK)
+    found = intersected(index, keys).groupBy(*place, chunk.alias("chunk")).agg(F.collect_list(F.struct("win", "start")).alias("found"))
+    found = _tables.stored(found)
     _tables.dropped(index, keys)
-    # The whole window at the starts that are left; each text is split once.
-    some = docs.join(_tables.small(found.select(*place), found), place, "left_semi").dropDuplicates(place).join(_tables.small(found), place)
-    some = some.select(*place, words(F.col("text")).alias("w"), "found")
-    # The outer form, as for the inner one a filter on the list would be pushed down, with the words split again for each element.
-    near = some.select(*place, "w", F.explode_outer("found").alias("c")).where("c is not null").select(*place, "w", "c.win", "c.terms", "c.start")
-    exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
+    # Each text is split once and goes on in chunks, so that no row holds all starts of a text.
+    some = docs.join(_tables.small(found.select(*place), found), place, "left_semi").dropDuplicates(place).select(*place, words(F.col("text")).alias("w"))
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / CHUNK), F.lit(0)).cast("int")), lambda k: F.slice("w", k * CHUNK + 1, CHUNK + length - 1))
+    # Outer forms, as for inner ones a filter on the list would be pushed down, with the words split again.
+    some = some.select(*place, F.posexplode_outer(cuts).alias("k", "w")).where("k is not null").withColumn("chunk", F.col("k").cast("long"))
+    some = some.join(_tables.small(found), [*place, "chunk"]).select(*place, "chunk", "w", F.explode_outer("found").alias("c")).where("c is not null")
+    here = F.slice("w", F.greatest("c.start", F.lit(0)) - F.col("chunk") * CHUNK + 1, length)
+    near = some.select(*place, "c.win", "c.start", here.alias("here")).join(_tables.small(wins.select("win", "terms"), wins), "win")
+    exact = (F.col("start") >= 0) & (F.slice("here", 1, F.size("terms")) == F.col("terms"))
     return near.select(*place, "win", "start", F.size("terms").alias("length"), exact.alias("exact")).where(F.col("exact") | (F.col("length") > 1))
 
 
@@ -106,7 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     """One row per row of docs(doc_id, text): words, words inside windows of benchmark items, those items, proximity matches."""
     wins = _tables.stored(windows(benchmark, length))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = _tables.stored(occurrences(rows, wins).dropDuplicates(["doc_id", "text_key", "win", "start"]))
+    found = _tables.stored(occurrences(rows, wins, length).dropDuplicates(["doc_id", "text_key", "win", "start"]))
     place = ["doc_id", "text_key"]
     hit = found.where("exact").select(*place, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.where("exact").select(*place, "win").distinct().join(_tables.small(wins.select("win", "items"), wins), "win").select(*place, F.explode("items").alias("item")).groupBy(*place).agg(F.array_sort(F.collect_set("item")).alias("items"))
