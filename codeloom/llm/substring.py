@@ -11,11 +11,12 @@ maximal repeats.
 
 Both exchanges move packed arrays, a few bytes a word, grouped by a slice of
 the hash space; the number of slices follows the bytes of the texts, so that
-one slice fits a task.  What a task can tell by itself does not travel: of a
+one slice fits a task, and beyond TASKS of them a task takes several, one after
+the other.  What a task can tell by itself does not travel: of a
 block or window that it meets often, it sends one witness and answers the
 others at once, so a passage that very many documents share reaches its slice
 once a task's unit of words, not once a document.  Anchors carry 40 bits of
-hash (a false hit costs work, never results), windows 64 bits and independent
+hash in a slice by all 64 (a false hit costs work, never results), windows 64 bits and independent
 bits that choose the slice.
 
 Null and empty texts have no words and keep nothing.  Rows that share an id
@@ -40,6 +41,8 @@ from codeloom.llm import _tables, _text
 
 #: Words that a task packs at a time, and entries of a slice of the hash space.
 UNIT, SLICE = 1 << 20, 1 << 20
+#: Shuffle partitions at most.
+TASKS = 20_000
 #: Bytes of text that a word takes, for the number of slices only.
 WORD_BYTES = 6
 
@@ -110,7 +113,7 @@ def collected(df: DataFrame, names: list[str], parts: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(place)]]).astype(np.int32)), pa.array(place.astype(np.int32)))
         return pa.Table.from_arrays([*(pa.array(k[first]) for k in keys), lists], [*names, "places"])
 
-    return df.repartition(parts, "part").groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", places array<int>")
+    return df.repartition(min(parts, TASKS), "part").groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", places array<int>")
 
 
 def _text_key(data: bytes) -> int:
@@ -141,7 +144,7 @@ def _dealt(packed: DataFrame, parts: int, match: Callable[[pa.Table], pa.Table])
         some, passed = table.filter(pc.invert(told)), table.filter(told).select(["part", "blob"])
         return pa.concat_tables([match(some), passed]) if len(some) else passed
 
-    return packed.repartition(parts, "part").groupBy("part").applyInArrow(run, "part long, blob binary")
+    return packed.repartition(min(parts, TASKS), "part").groupBy("part").applyInArrow(run, "part long, blob binary")
 
 
 def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
@@ -164,7 +167,7 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
             yield _marked(replies(row[hit], place[hit], [ids], parts), True)
             send = ~hit | witness
             code, row, place = code[send], row[send], place[send]
-            yield _marked(pack(((code >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), code & np.uint64((1 << 40) - 1), 5, row, place, [ids]), False)
+            yield _marked(pack((_text.mix(code) % np.uint64(parts)).astype(np.int64), code & np.uint64((1 << 40) - 1), 5, row, place, [ids]), False)
 
         for batch in batches:
             ids = np.asarray(batch.column(0))
