@@ -14,7 +14,8 @@ lines stood before.  These are compared as they are, without fingerprints.
 Lines without a word belong to no run and stay.  Null text stays null and has
 no lines.  Rows that share an id but not the text are told apart by the text;
 equal rows count as one place and lose the same lines.  A null id orders after
-all others.
+all others.  Very long texts are read whole, in slices of bounded bytes; an
+empty table gives no rows.  Columns beside doc_id and text pass through.
 """
 
 from __future__ import annotations
@@ -30,9 +31,6 @@ from pyspark.sql.types import LongType, StructType
 from codeloom.llm import _tables, _text
 from codeloom.llm._features import _LINE
 
-#: Ids that are broadcast at most (8 bytes each); beyond, a shuffled join takes over.
-BROADCAST_IDS = 2_000_000
-
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash, words) of each line that has a word."""
@@ -155,9 +153,8 @@ def cut_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None)
     keyed = keyed.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_tables.NO_ID))).withColumn(KEY, F.xxhash64("text"))
     late = repeated(keyed.select(F.col(ID).alias("doc_id"), F.col(KEY).alias("text_key"), "text"), min_lines, min_words)
     late = _tables.stored(late.select(F.col("doc_id").alias(ID), F.col("text_key").alias(KEY), F.col("places").alias(PLACES)))
-    ids = late.select(ID).distinct()
-    if late.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _tables.stored(late.select(ID).distinct())
+    ids = _tables.small(ids)
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias(LINES)
     none = F.lit(0).cast("long").alias(REMOVED)
     rest = keyed.join(ids, ID, "left_anti").select(*docs.columns, lines, none)
