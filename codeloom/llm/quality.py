@@ -11,7 +11,9 @@ Labels, language, source and id are never features.
 Null and empty texts are scored like any other, as texts without words.  If no
 labelled row can be used, or all have the same label, every score is the
 smoothed share of label 1 (0.5 without labels).  Repeated rows get equal
-scores; a null doc_id counts as not held out.
+scores, and scores of equal texts tie at any length; a null doc_id counts as not
+held out.  Very long texts are counted whole, in slices of bounded bytes.  An
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ what the driver sees is bounded whatever the number of documents.
 
 Null and empty texts have no words: they fail the base rules.  Rows are
 independent, so repeated rows get equal verdicts; without any document there
-is nothing to estimate and the result is empty.
+is nothing to estimate and the result is empty.  Very long texts are counted
+whole, in slices of bounded bytes.  A posterior of exactly the bound keeps the
+text; other columns are not read.
 """
 
 from __future__ import annotations

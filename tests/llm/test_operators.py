@@ -318,6 +318,17 @@ def test_decontaminate(which, request, spark):
     assert decontam.keep_clean(df, bench).columns == df.columns
 
 
+def test_decontaminate_in_chunks(spark, monkeypatch):
+    """Windows at every offset to the ends of a text's chunks, short items too."""
+    monkeypatch.setattr(decontam, "CHUNK", 16)
+    item = " ".join(f"k{k}" for k in range(12))
+    rows = [(n, " ".join(["a"] * n + [item] + ["b"] * 7 + ["short one"] + ["c"] * (n % 5))) for n in range(40)] + [(99, " ".join(f"k{k}" for k in range(8)))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), [(1, item), (2, "short one")]
+    got = decontam.decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert bag((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == bag(brute.decontaminate(rows, bench))
+    assert all(r.n_hit == 14 and r.n_items == 2 for r in got if r.doc_id < 40)
+
+
 def test_decontaminate_near(spark):
     """A window whose rare terms stand a little off is a proximity match, with and without an exact one elsewhere."""
     base = prose(900, 10).split()
@@ -328,6 +339,15 @@ def test_decontaminate_near(spark):
     assert got[1] == (1, False) and got[2] == (0, True) and got[3] == (0, False)
 
 
+def test_substring_many_slices(docs, monkeypatch):
+    """More slices than shuffle partitions, and 1 or 8 partitions of input: the same result."""
+    monkeypatch.setattr(substring, "SLICE", 32)
+    monkeypatch.setattr(substring, "TASKS", 3)
+    for n in (1, 8):
+        got = substring.substring_dedup(docs.repartition(n)).collect()
+        assert bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == bag(brute.substring(pairs(docs)))
+
+
 @pytest.mark.parametrize("which", ["docs", "corpus"])
 def test_substring(which, request):
     df = request.getfixturevalue(which)
