@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import _tables, _text
 
 #: Words that a task packs at a time, and entries of a slice of the hash space.
-UNIT, SLICE = 1 << 20, 1 << 20
+UNIT, SLICE = 1 << 19, 1 << 19
 #: Shuffle partitions at most.
 TASKS = 20_000
 #: Bytes of text that a word takes, for the number of slices only.
@@ -87,8 +87,8 @@ def unpack(blobs: pa.ChunkedArray, width: int, keys: int) -> tuple[np.ndarray, n
         code, at = _plain(data, at, n, width)
         place, at = _plain(data, at, n, 4)
         codes.append(code)
-        rows.append(np.repeat(np.arange(base, base + docs), counts.astype(np.int64)))
-        places.append(place.astype(np.int64))
+        rows.append(np.repeat(np.arange(base, base + docs, dtype=np.int32), counts.astype(np.int64)))
+        places.append(place.astype(np.int32))
         base += docs
     return np.concatenate(codes), np.concatenate(rows), np.concatenate(places), [np.concatenate(k) for k in found]
 
@@ -155,7 +155,8 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         words = docs_so_far = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            code, row, place, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
+            code, row, place, ids = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            kept.clear()
             # Next to a reference block of this unit every other entry is a hit; one block speaks for all to other tasks.
             fixed = place % block == 0
             group, size = _groups(code)
@@ -175,12 +176,12 @@ def anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
                 w = _text.words(data, offsets)
                 at, code = w.grams(block)
                 doc = w.doc[at]
-                kept.append((code, doc + docs_so_far, at - w.of[doc], ids[a:b]))
+                kept.append((code, (doc + docs_so_far).astype(np.int32), (at - w.of[doc]).astype(np.int32), ids[a:b]))
                 docs_so_far += b - a
                 words += len(at)
                 if words >= UNIT:
                     yield from flush()
-                    kept, words, docs_so_far = [], 0, 0
+                    words = docs_so_far = 0
         if words:
             yield from flush()
 
@@ -206,7 +207,8 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
         words = docs_so_far = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            part, code, row, place, ids, keys = (np.concatenate(x) for x in zip(*kept, strict=True))
+            part, code, row, place, ids, keys = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            kept.clear()
             # What has a smaller id in this unit is late; one window of the smallest speaks for all to other tasks.
             group, size = _groups(code)
             low = np.full(len(size), np.iinfo(np.int64).max)
@@ -233,12 +235,12 @@ def repeats(hits: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 part = (_text.roll(w.hashes[1], window)[at] % np.uint64(parts)).astype(np.int64)
                 doc = w.doc[at]
                 raw = data.tobytes()
-                kept.append((part, code, doc + docs_so_far, at - w.of[doc], ids[a:b], np.array([_text_key(raw[offsets[k] : offsets[k + 1]]) for k in range(b - a)], np.int64)))
+                kept.append((part.astype(np.int32), code, (doc + docs_so_far).astype(np.int32), (at - w.of[doc]).astype(np.int32), ids[a:b], np.array([_text_key(raw[offsets[k] : offsets[k + 1]]) for k in range(b - a)], np.int64)))
                 docs_so_far += b - a
                 words += len(at)
                 if words >= UNIT:
                     yield from flush()
-                    kept, words, docs_so_far = [], 0, 0
+                    words = docs_so_far = 0
         if words:
             yield from flush()
 
