@@ -92,7 +92,7 @@ def _expand(name: str, direction: str, predicates: list[str] | None, seeds_where
     query({"out": out, "in": back, "both": f"{out} union {back}"}[direction], True)(run)
 
 
-_expand("expand_in", "in", None, "kind = 'class'", "select id from nodes where kind = 'class'")
+_expand("expand_in", "in", None, "kind in ('class', 'method')", "select id from nodes where kind in ('class', 'method')")
 _expand("expand_out", "out", None, "kind = 'subsystem'", "select id from nodes where kind = 'subsystem'")
 _expand("expand_both", "both", None, "kind = 'class'", "select id from nodes where kind = 'class'")
 _expand("callers", "in", ["CALLS", "REFERENCES"], "kind = 'function'", "select id from nodes where kind = 'function'")
