@@ -514,7 +514,8 @@ l as (select path, case when regexp_matches(tag, '^<(script|img|iframe|source)')
 select distinct path, target, 'IMPORTS' as predicate from l where target <> ''""")
 def html_extract(spark, sf):  # noqa: ANN001, ANN201
     pages = graph.table(spark, sf, "pages").select(F.col("url").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
-    return E.extract(pages).where("row = 'relationship'").select("path", "target", "predicate")
+    # Several pages may have one url.
+    return E.extract(pages).where("row = 'relationship'").select("path", "target", "predicate").distinct()
 
 
 # ---- resolution ---------------------------------------------------------------------------------------------------
