@@ -1,11 +1,16 @@
 """The revision log as files: deltas by ranges of revisions, and snapshots between them.
 
-    <path>/deltas/span=<s>/    operations (id, rev, op, value) with rev in [s * every, (s + 1) * every)
+    <path>/deltas/span=<s>/    operations (id, rev, op, value) from rev s * every up to the next span
     <path>/snapshots/upto=<b>/ what stands before revision b: (id, value, rev) of live ids
 
-Appending writes the spans of the batch.  A snapshot is the one before it and
-the deltas since, so the log is read once however long it gets, and it counts
-only once its files are complete.  A state reads the last snapshot at or before
+Appending writes the spans of the batch.  The first 128 spans are `every`
+revisions wide, and then a span is as wide as a 64th to a 128th of its revision, so their
+number grows with the logarithm of the log.  A snapshot is the one before it
+and the deltas since, and it counts only once its files are complete.  The next
+one is due after `snapshot_spans` narrow spans, or as many revisions as the last
+one has rows, or a quarter of the revisions before it, whatever is most: what
+is written stays in proportion to the log, and the number of snapshots grows
+with its logarithm.  A state reads the last snapshot at or before
 its revision and the spans after it; a difference reads the operations between
 its revisions and looks up what stood before only for the ids that they touch.
 Spans are the partitions of the tables, so files outside of them are never
@@ -17,16 +22,18 @@ finished snapshots.  An id's operations have different revisions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Operations that end an id.
 ENDS = ("DeleteNode",)
+#: Spans with numbers of up to so many bits are narrow; a number's bits beyond them are zero.
+BITS = 7
 
 
 class RevisionLog:
     def __init__(self, spark: SparkSession, path: str, every: int = 1 << 20, snapshot_spans: int = 4) -> None:
-        """every: revisions of a span; snapshot_spans: spans between two snapshots."""
+        """every: revisions of a narrow span; snapshot_spans: narrow spans between two snapshots, at least."""
         self._spark, self._path, self._every, self._spans = spark, path.rstrip("/"), every, snapshot_spans
         self._kinds: tuple[str, str] | None = None
 
@@ -40,16 +47,25 @@ class RevisionLog:
         names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(at) if s.getPath().getName().startswith(f"{key}=")]
         return sorted(int(n.split("=")[1]) for n, p in names if not done or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
+    def _span(self, rev: int) -> int:
+        k = rev // self._every
+        low = max(k.bit_length() - BITS, 0)
+        return k >> low << low
+
+    def _span_of(self, rev: str) -> Column:
+        k = F.floor(F.col(rev) / self._every).cast("long")
+        return k - k % F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(k)) - BITS, F.lit(0)))
+
     def append(self, rows: DataFrame) -> None:
         """Add operations rows(id, rev, op, value)."""
-        out = rows.select("id", "rev", "op", "value", F.floor(F.col("rev") / self._every).cast("long").alias("span"))
+        out = rows.select("id", "rev", "op", "value", self._span_of("rev").alias("span"))
         # Ranges of revisions: a span is as many files as it needs, each with narrow bounds.
         out.repartitionByRange("rev").sortWithinPartitions("span", "rev").write.mode("append").partitionBy("span").parquet(f"{self._path}/deltas")
 
     def _deltas(self, after: int, upto: int) -> DataFrame:
         """Operations with after <= rev < upto: the spans are told to the scan as partitions, the revisions as statistics."""
         rows = self._spark.read.parquet(f"{self._path}/deltas")
-        return rows.where((F.col("span") >= after // self._every) & (F.col("span") <= (upto - 1) // self._every) & (F.col("rev") >= after) & (F.col("rev") < upto)).drop("span")
+        return rows.where((F.col("span") >= self._span(after)) & (F.col("span") <= self._span(max(upto - 1, 0))) & (F.col("rev") >= after) & (F.col("rev") < upto)).drop("span")
 
     def _state(self, before: int) -> DataFrame:
         """(id, value, rev) of what stands before a revision."""
@@ -68,10 +84,16 @@ class RevisionLog:
         """Write the snapshots that the finished spans allow, each from the one before; the boundaries written."""
         spans = self._names("deltas", "span")
         step, have, out = self._every * self._spans, self.snapshots(), []
-        # The last span may still grow.
-        for b in range((have[-1] if have else 0) + step, (spans[-1] if spans else 0) * self._every + 1, step):
+        last = have[-1] if have else 0
+        while True:
+            rows = self._spark.read.parquet(f"{self._path}/snapshots/upto={last}").count() if last else 0
+            b = last + -(-max(step, rows, last // 4) // step) * step
+            # The last span may still grow.
+            if not spans or b > spans[-1] * self._every:
+                break
             self._state(b).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self._path}/snapshots/upto={b}")
             out.append(b)
+            last = b
         return out
 
     def at(self, rev: int) -> DataFrame:
@@ -92,6 +114,5 @@ class RevisionLog:
 
     def history(self, ids: DataFrame, a: int = 0, b: int | None = None) -> DataFrame:
         """(id, rev, op, value): operations of ids(id) from revision a to b."""
-        spans = self._names("deltas", "span")
-        upto = b + 1 if b is not None else ((spans[-1] if spans else 0) + 1) * self._every
+        upto = b + 1 if b is not None else 1 << 62
         return self._deltas(a, upto).join(ids.select("id").distinct(), "id", "left_semi")
