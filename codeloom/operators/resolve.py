@@ -130,9 +130,12 @@ def cascade(files: DataFrame, entities: DataFrame, relationships: DataFrame, imp
 
     # Same file: what it defines itself is not looked for elsewhere, unless an import binds the name and the definition is out of scope.
     has_binding = rel.join(bound.select("path", F.col("local").alias("name"), F.lit(True).alias("binding")).distinct(), ["path", "name"], "left")
+    own = has_binding.join(defs.select("path", "name"), ["path", "name"], "left_semi")
+    # Where it stands is asked only of names that an import binds as well: frequent names have many spans on either side.
     spans = entities.select("path", "name", "start", "end")
-    scope = relationships.select("id", "path", "src", "name").join(spans.select("path", F.col("name").alias("src"), F.col("start").alias("s0"), F.col("end").alias("s1")), ["path", "src"]).join(spans, ["path", "name"]).where("start >= s0 and end <= s1").select("id", F.lit(True).alias("inside")).distinct()
-    own = has_binding.join(defs.select("path", "name"), ["path", "name"], "left_semi").join(scope, "id", "left")
+    hidden = own.where("binding and not coalesce(bound, false)").select("id", "path", "src", "name")
+    scope = hidden.join(spans.select("path", F.col("name").alias("src"), F.col("start").alias("s0"), F.col("end").alias("s1")), ["path", "src"]).join(spans, ["path", "name"]).where("start >= s0 and end <= s1").select("id", F.lit(True).alias("inside")).distinct()
+    own = own.join(scope, "id", "left")
     own = own.where(F.col("binding").isNull() | (~F.coalesce("bound", F.lit(False)) & F.coalesce("inside", F.lit(False))))
     stop = tier(own.unionByName(has_binding.where("bound = false").withColumn("inside", F.lit(None).cast("boolean"))), "1-same-file").select("id", "tier", none.alias("target"), none.alias("qkey"), F.lit("stop").alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     # Bindings: the provider's public name, or its own; a default is never a member's name.
