@@ -31,6 +31,9 @@ from codeloom.llm._features import NAMES, Counts
 
 SAMPLE = 20_000
 
+#: Texts are counted in slices of so many bytes: temporary arrays are many times larger, and every task has its own.
+SLICE = _text.PIECE // 4
+
 
 @dataclass
 class Model:
@@ -129,6 +132,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, row after the last, features) of runs of rows."""
+    for a, b, data, offsets in _text.slices(batch, "text", SLICE):
+        yield a, b, Counts(data, offsets).features()
+
+
 def features(docs: DataFrame, keep: str) -> DataFrame:
     """(keep, one column per feature) of docs(keep, text)."""
     _tables.bounded_batches(docs.sparkSession)
@@ -136,8 +145,7 @@ def features(docs: DataFrame, keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.slices(batch, "text"):
-                x = Counts(data, offsets).features()
+            for a, b, x in _counted(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(x[:, k]) for k in range(x.shape[1]))], [keep, *NAMES])
 
     return docs.select(keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{n} double" for n in NAMES))
@@ -163,8 +171,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.slices(batch, "text"):
-                s = model.score(Counts(data, offsets).features())
+            for a, b, x in _counted(batch):
+                s = model.score(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), batch.column(1)[a:b], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -177,7 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.slices(batch, "text"):
-                yield batch.slice(a, b - a).filter(pa.array(model.score(Counts(data, offsets).features()) >= threshold))
+            for a, b, x in _counted(batch):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
