@@ -60,3 +60,15 @@ def test_communities(spark, kind, resolution):
 def test_no_links(spark):
     none = spark.createDataFrame([("a", "a", 1.0)], "a string, b string, weight double")
     assert A.communities(none).count() == 0 and A.modularity(none, A.communities(none)) == 0.0
+
+
+def test_rounds_of_a_dense_graph(spark, monkeypatch):
+    """Every round writes tables; where all is linked with all, they are few."""
+    r = random.Random(5)
+    links = [(f"c{i:03}", f"s{j:02}", float(r.randrange(1, 4))) for i in range(150) for j in r.sample(range(30), 12)]
+    tables, stored = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda *a: tables.append(1) or stored(*a))
+    df = spark.createDataFrame(links, "a string, b string, weight double")
+    got = {x.id: x.community for x in A.communities(df).collect()}
+    assert best_gain(links, got, 1.0)[0] <= 1e-6
+    assert len(tables) <= 60
