@@ -226,7 +226,7 @@ facts as (select n.*, coalesce(callers, 0) as callers, coalesce(importers, 0) as
 
 @query(f"with {_FACTS_SQL} select id, callers, importers, dependents, callees, members, container_id from facts", True)
 def facts(spark, sf):  # noqa: ANN001, ANN201
-    return A.facts(*_g(spark, sf)).select("id", "callers", "importers", "dependents", "callees", "members", "container_id")
+    return A.facts(*_g(spark, sf), names=False).select("id", "callers", "importers", "dependents", "callees", "members", "container_id")
 
 
 @query(f"""with {_FACTS_SQL},
@@ -234,7 +234,7 @@ h as (select id, callers, dependents, importers, members, callers >= 8 or depend
 select id, case when choke or high then 'high' when dependents = 0 and callers <= 1 and importers = 0 and members <= 1 then 'low' else 'medium' end as level,
  case when choke then 'pipeline-choke-point' when high then 'broad-shared-dependency' when callers <= 2 and dependents <= 3 then 'localized-helper' else 'normal' end as category from h""", True)
 def importance(spark, sf):  # noqa: ANN001, ANN201
-    f = A.facts(*_g(spark, sf))
+    f = A.facts(*_g(spark, sf), names=False)
     level, category = A.importance(F.col("callers"), F.col("dependents"), F.col("importers"), F.col("members"), F.col("dependents"))
     return f.select("id", level.alias("level"), category.alias("category"))
 
@@ -256,7 +256,7 @@ def risk_level(spark, sf):  # noqa: ANN001, ANN201
     nodes, edges = _g(spark, sf)
     calls = edges.where("predicate in ('CALLS', 'REFERENCES')").select(F.col("src").alias("caller"), "dst")
     members = edges.where("predicate = 'CONTAINS'").select("src", "dst").join(calls, "dst").groupBy(F.col("src").alias("id")).agg(F.count_distinct("caller").alias("member_callers"))
-    f = A.facts(nodes, edges).join(members, "id", "left").withColumn("member_callers", F.coalesce("member_callers", F.lit(0))).withColumn("buckets", F.lit(0))
+    f = A.facts(nodes, edges, names=False).join(members, "id", "left").withColumn("member_callers", F.coalesce("member_callers", F.lit(0))).withColumn("buckets", F.lit(0))
     return A.risk(f).select("id", "category", "risk_level")
 
 
