@@ -177,13 +177,21 @@ def locate(requested: DataFrame, nodes: DataFrame, edges: DataFrame, state: Data
     The breadcrumb leads over CONTAINS edges, from the outermost container to the
     entity; of several containers the least id counts.
     """
-    up = edges.where("predicate = 'CONTAINS'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-    named = nodes.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    up = edges.where("predicate = 'CONTAINS'").groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("parent"))
+    above = stored(up.join(nodes.select(F.col("id").alias("parent"), F.col("name").alias("parent_name")), "parent", "left").select("at", "parent", "parent_name"))
     level = requested.select("id").distinct().join(nodes.select("id", "name"), "id").select("id", F.col("id").alias("at"), F.array("name").alias("crumbs"))
+    ended = []
     for _ in range(most):
-        step = up.select(F.col("id").alias("at"), "parent")
-        level = level.join(step, "at", "left").join(named, "parent", "left").select("id", F.coalesce("parent", F.lit("")).alias("at"), F.when(F.col("parent_name").isNotNull(), F.concat(F.array("parent_name"), F.col("crumbs"))).otherwise(F.col("crumbs")).alias("crumbs"))
-    rows = requested.select("id").distinct().join(nodes.select("id", "path", "start", "end"), "id").join(up, "id", "left").join(named, "parent", "left")
+        crumbs = F.when(F.col("parent_name").isNotNull(), F.concat(F.array("parent_name"), F.col("crumbs"))).otherwise(F.col("crumbs"))
+        climbed = stored(level.join(above, "at", "left").select("id", F.col("parent").alias("at"), crumbs.alias("crumbs")))
+        # What has come to the top is joined no further: it has no key, and would meet in one task.
+        ended.append(climbed.where("at is null"))
+        level = climbed.where("at is not null")
+        if level.isEmpty():
+            break
+    for part in ended:
+        level = level.unionByName(part)
+    rows = requested.select("id").distinct().join(nodes.select("id", "path", "start", "end"), "id").join(above.withColumnRenamed("at", "id"), "id", "left")
     rows = rows.join(level.select("id", F.array_join("crumbs", " > ").alias("breadcrumb")), "id").join(state, "path", "left")
     return rows.select("id", "path", "start", "end", F.col("parent_name").alias("container"), "breadcrumb", (F.coalesce("state", F.lit("fresh")) != "fresh").alias("stale"))
 
