@@ -72,3 +72,26 @@ def test_rounds_of_a_dense_graph(spark, monkeypatch):
     got = {x.id: x.community for x in A.communities(df).collect()}
     assert best_gain(links, got, 1.0)[0] <= 1e-6
     assert len(tables) <= 60
+
+
+@pytest.mark.parametrize("in_turn", [0, 200])
+def test_rounds_of_many_copies_are_few(spark, monkeypatch, in_turn):
+    """Moves at once that use up each other's gain are held back, and the last ones are made one by one; without an end in turn the state is one that no move improves, too."""
+    r = random.Random(7)
+    links = [(f"c{i:03}", f"s{i // 40}{j:02}", float(r.randrange(1, 4))) for i in range(160) for j in r.sample(range(25), 10)]
+    rounds, stored = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df: rounds.append("gain" in df.columns) or stored(df))
+    monkeypatch.setattr(A, "IN_TURN", in_turn)
+    got = {x.id: x.community for x in A.communities(spark.createDataFrame(links, "a string, b string, weight double")).collect()}
+    assert best_gain(links, got, 1.0)[0] <= 1e-6 and len(set(got.values())) >= 4
+    assert sum(rounds) <= (25 if in_turn else 40)
+    plan = A.bucketed(spark.range(100).selectExpr("id % 7 as id", "id as other"), "id", lambda rows: rows).groupBy("id", "other").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_small_graphs_take_few_rounds(spark, monkeypatch):
+    links = graph("random", 3)
+    rounds, stored = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df: rounds.append("gain" in df.columns) or stored(df))
+    got = {x.id: x.community for x in A.communities(spark.createDataFrame(links, "a string, b string, weight double")).collect()}
+    assert best_gain(links, got, 1.0)[0] <= 1e-6 and sum(rounds) <= 4
