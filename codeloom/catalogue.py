@@ -301,7 +301,7 @@ regions as (select region, files, internal::double as internal, external::double
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _g(spark, sf)
     member = edges.where("predicate = 'IN_REGION' and src like 'N:%'").select(F.col("dst").alias("id"), F.col("src").alias("region"))
-    return A.region_scores(A.coupling(edges, _file_of(nodes, edges)), member)
+    return A.region_scores(A.region_links(edges, _file_of(nodes, edges), member), member)
 
 
 @query(f"with {_REGION_SQL} select *, case when confidence >= 0.75 then 'Well-defined' when confidence >= 0.5 then 'Moderate' else 'Fuzzy' end as label from regions", True)
